@@ -43,8 +43,8 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, count: str = "n_rows") -> DataFrame:
-    """Left join of ``rows`` to ``unique`` (one row per ``key``, with the
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, count: str = "n_rows", how: str = "left") -> DataFrame:
+    """Left (or inner) join of ``rows`` to ``unique`` (one row per ``key``, with the
     number of rows of that key in ``count``) whose tasks stay even.
 
     Keys that hold at least HOT_SHARE of ``total`` rows number at most 256,
@@ -52,10 +52,68 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, count:
     """
     hot = unique.filter(F.col(count) >= F.lit(max(2.0, total * HOT_SHARE)))
     cold = unique.filter(F.col(count) < F.lit(max(2.0, total * HOT_SHARE)))
-    beside = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    beside = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return rows.join(F.broadcast(hot), key, "inner").unionByName(beside)
 
 
+#: Bits of one bitmap of bitmap_construct_agg, and the most a filter may have:
+#: its bitmaps are broadcast and never exceed MAX_BITS / 8 = 32 MiB.
+BUCKET_BITS = 32768
+MAX_BITS = 1 << 28
+
+
+def filter_bits(keys: int, each: int = 16) -> int:
+    """Slots of a Bloom filter: a power of two, at most MAX_BITS."""
+    return min(MAX_BITS, 1 << (max(BUCKET_BITS, keys * each) - 1).bit_length())
+
+
+def bitmaps(slots: DataFrame) -> DataFrame:
+    """``(bucket, bitmap)`` of a table of set ``slot`` numbers."""
+    return slots.groupBy(F.expr(f"slot div {BUCKET_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"slot % {BUCKET_BITS}")).alias("bitmap"))
+
+
+def tested(rows: DataFrame, maps: DataFrame, slots: list[Column], name: str = "maybe") -> DataFrame:
+    """Adds ``name``: whether all ``slots`` are set in the broadcast bitmaps."""
+    kept = rows.columns
+    side = maps.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap"))
+    for i, slot in enumerate(slots):
+        rows = rows.withColumn("_slot", slot).join(F.broadcast(side), F.expr(f"_slot div {BUCKET_BITS} = _bucket"), "left")
+        byte = F.conv(F.hex(F.expr(f"substring(_bitmap, cast((_slot % {BUCKET_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("long")
+        rows = rows.withColumn("_byte", byte).withColumn(f"_hit{i}", F.coalesce(F.expr("1 = getbit(_byte, cast(_slot % 8 as int))"), F.lit(False)))
+        rows = rows.drop("_slot", "_bucket", "_bitmap", "_byte")
+    every = F.lit(True)
+    for i in range(len(slots)):
+        every = every & F.col(f"_hit{i}")
+    return rows.select(*kept, every.alias(name))
+
+
+class KeySet:
+    """A written table of distinct keys with a Bloom filter of bounded size, so
+    that rows whose key is surely not in it need no shuffle."""
+
+    def __init__(self, keys: DataFrame, key: str, name: str = "keys"):
+        self.keys, self.key = written(keys, name), key
+        self.bits = filter_bits(self.keys.count())
+        slots = self.keys.select(F.explode(F.array(*self._slots())).alias("slot"))
+        self.maps = written(bitmaps(slots.distinct()), "bitmaps")
+
+    def _slots(self) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), F.col(self.key)), F.lit(self.bits)) for i in range(2)]
+
+    def _split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        known = tested(rows, self.maps, self._slots(), "_maybe")
+        return known.filter("_maybe").drop("_maybe"), known.filter("not _maybe").drop("_maybe")
+
+    def join(self, rows: DataFrame, how: str = "inner") -> DataFrame:
+        """Inner or left semi join of ``rows`` with the table on its key."""
+        return self._split(rows)[0].join(self.keys, self.key, how)
+
+    def without(self, rows: DataFrame) -> DataFrame:
+        """Rows whose key is not in the table (null keys stay)."""
+        maybe, surely_not = self._split(rows)
+        return surely_not.unionByName(maybe.join(self.keys.select(self.key), self.key, "left_anti"))
+
+
 def arrow_map(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]],

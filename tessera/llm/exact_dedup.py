@@ -6,7 +6,7 @@ Pass two tests every row against those bitmaps: a row whose slots are not all
 hit twice cannot have a copy and passes straight through.  Only the others
 shuffle, and as (digest, id) pairs, never as texts.
 
-The bitmap is broadcast and never exceeds ``MAX_BITS`` / 8 = 32 MiB; with more
+The bitmaps are broadcast and never exceed 32 MiB (``common.MAX_BITS``); with more
 rows than it serves well, more rows go the exact way, and the result is the same.
 """
 
@@ -16,18 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import HOT_SHARE, free_name, join_unique, text_or_empty, written
+from .common import bitmaps, filter_bits, free_name, join_unique, tested, text_or_empty, written
 
 HASHES = 2
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 28
-BUCKET_BITS = 32768  # of one bitmap of bitmap_construct_agg
-
-
-def bits_for(rows: int) -> int:
-    """Slots of the filter: a power of two, BITS_PER_ROW a row, at most MAX_BITS."""
-    want = max(BUCKET_BITS, rows * BITS_PER_ROW)
-    return min(MAX_BITS, 1 << (want - 1).bit_length())
 
 
 def _slots(digest: Column, bits: int) -> list[Column]:
@@ -39,21 +30,12 @@ def repeated_slots(digests: DataFrame, bits: int) -> DataFrame:
     """``(bucket, bitmap)``: the slots that at least two rows of ``digest`` hit."""
     slot = digests.select(F.explode(F.array_distinct(F.array(*_slots(F.col("digest"), bits)))).alias("slot"))
     twice = slot.groupBy("slot").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1")
-    return twice.groupBy(F.expr(f"slot div {BUCKET_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"slot % {BUCKET_BITS}")).alias("bitmap"))
+    return bitmaps(twice)
 
 
-def _maybe_repeated(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
+def _maybe_repeated(rows: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
     """Adds ``maybe``: whether all slots of ``digest`` were hit twice."""
-    for i, slot in enumerate(_slots(F.col("digest"), bits)):
-        side = bitmaps.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap"))
-        rows = rows.withColumn("_slot", slot).join(F.broadcast(side), F.expr(f"_slot div {BUCKET_BITS} = _bucket"), "left")
-        byte = F.conv(F.hex(F.expr(f"substring(_bitmap, cast((_slot % {BUCKET_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        hit = F.coalesce(F.expr("1 = getbit(_byte, cast(_slot % 8 as int))"), F.lit(False))
-        rows = rows.withColumn("_byte", byte.cast("long")).withColumn(f"_hit{i}", hit).drop("_slot", "_bucket", "_bitmap", "_byte")
-    every = F.lit(True)
-    for i in range(HASHES):
-        every = every & F.col(f"_hit{i}")
-    return rows.withColumn("maybe", every).drop(*[f"_hit{i}" for i in range(HASHES)])
+    return tested(rows, repeated, _slots(F.col("digest"), bits))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
@@ -70,11 +52,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _decide(hashed: DataFrame, bits: int | None) -> DataFrame:
     rows = hashed.count()
-    bits = bits or bits_for(rows)
-    bitmaps = written(repeated_slots(hashed, bits), "repeated")
-    tested = _maybe_repeated(hashed, bitmaps, bits)
-    lone = tested.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    maybe = written(tested.filter("maybe").select("doc_id", "digest"), "maybe")
+    bits = bits or filter_bits(rows)
+    twice = written(repeated_slots(hashed, bits), "repeated")
+    known = _maybe_repeated(hashed, twice, bits)
+    lone = known.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    maybe = written(known.filter("maybe").select("doc_id", "digest"), "maybe")
     return lone.unionByName(_groups(maybe)).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
@@ -96,12 +78,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     """
     digest = F.unhex(F.sha2(text_or_empty(text_col), 256))
     hashed = written(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest")), "digests")
-    bits = bits or bits_for(hashed.count())
-    bitmaps = written(repeated_slots(hashed, bits), "repeated")
+    bits = bits or filter_bits(hashed.count())
+    twice = written(repeated_slots(hashed, bits), "repeated")
     row, names = free_name(docs.columns, "_row"), docs.columns
-    tested = _maybe_repeated(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(row), F.col(id_col).alias("doc_id"), digest.alias("digest")), bitmaps, bits)
-    lone = tested.filter("not maybe").select(f"{row}.*")
-    maybe = tested.filter("maybe").select(row, "doc_id", "digest")
+    known = _maybe_repeated(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(row), F.col(id_col).alias("doc_id"), digest.alias("digest")), twice, bits)
+    lone = known.filter("not maybe").select(f"{row}.*")
+    maybe = known.filter("maybe").select(row, "doc_id", "digest")
     groups = written(maybe.groupBy("digest").agg(F.count(F.lit(1)).alias("n_rows"), F.max("doc_id").alias("keep_id")), "groups")
     # A row can stay only if its id is its group's largest: at most the rows of
     # one id remain for the window below, however large the group is.

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, join_unique, written
+from .common import KeySet, arrow_map, join_unique, written
 from .components import components
 
 BITS = 64
@@ -133,5 +133,5 @@ def keep_one(docs: DataFrame, width: int = 5, distance: int = 4, id_col: str = "
     one that stays, are kept.
     """
     found = near_duplicates(docs, width, distance, id_col, text_col)
-    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return KeySet(gone, id_col, "gone").without(docs)
