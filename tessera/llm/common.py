@@ -104,6 +104,10 @@ class KeySet:
         known = tested(rows, self.maps, self._slots(), "_maybe")
         return known.filter("_maybe").drop("_maybe"), known.filter("not _maybe").drop("_maybe")
 
+    def maybe(self, rows: DataFrame) -> DataFrame:
+        """All rows whose key is in the table, and a few others; no shuffle."""
+        return self._split(rows)[0]
+
     def join(self, rows: DataFrame, how: str = "inner") -> DataFrame:
         """Inner or left semi join of ``rows`` with the table on its key."""
         return self._split(rows)[0].join(self.keys, self.key, how)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_or_empty, written
+from .common import KeySet, arrow_map, text_or_empty, written
 
 #: Byte classes that are counted; a byte above 127 is a letter of its own class.
 UPPER, LOWER, DIGIT, SPACE, MARK, SYMBOL, WIDE = range(7)
@@ -178,11 +178,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that the classifier does not reject, with all their columns.
 
-    The rows themselves are not shuffled: the fit reads labelled rows only, and
-    each row is scored where it is read.
+    Texts are never shuffled: a Bloom filter finds the rows that may have labels,
+    their features meet the labels, and each row is scored where it is read.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out("doc_id"))
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    wanted = KeySet(known.select("doc_id").distinct(), "doc_id", "labelled").maybe(given)
     model = fit(written(features(wanted), "features").join(known, "doc_id"))
 
     @F.pandas_udf("double")
