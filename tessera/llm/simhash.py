@@ -126,12 +126,171 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+# Similarity of shingles as such: wide fingerprints.  Two texts whose shingle
+# sets have Jaccard similarity s are at an angle of acos(2s / (1 + s)), and a bit
+# of their SimHash differs with probability angle / pi.  More bits estimate that
+# angle well enough to decide at s; random choices of bits are the blocks.
+
+WIDE = 512
+BLOCK = 512
+EARLY = 4  # blocks of the first pass
+SUBSETS_SEED = 7
+
+
+def wide_fingerprint(text: bytes, width: int, bits: int = WIDE) -> bytes:
+    """SimHash of ``bits`` bits; further words are mixed from a shingle's hash."""
+    ones, total = np.zeros(bits, np.int64), 0
+    odd = np.arange(1, bits // BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for hashes in shingle_hashes(text, width):
+        total += len(hashes)
+        for at in range(0, len(hashes), 4096):
+            h = hashes[at : at + 4096, None] + odd
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > total).tobytes()
+
+
+class WidePlan:
+    """Blocks of ``block_bits`` random bits, and as many as it takes for a pair
+    just at the similarity to share one with probability ``1 - miss``."""
+
+    def __init__(self, distinct: int, similarity: float, bits: int = WIDE, miss: float = 0.05):
+        self.bits = bits
+        share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+        self.distance = int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+        self.block_bits = max(16, int(np.ceil(np.log2(max(2, distinct)))) - 2)
+        self.blocks = int(np.ceil(np.log(miss) / np.log1p(-((1 - share) ** self.block_bits))))
+        rng = np.random.default_rng(SUBSETS_SEED)
+        self.chosen = np.stack([rng.choice(bits, self.block_bits, replace=False) for _ in range(self.blocks)])
+        self.weights = 1 << np.arange(self.block_bits, dtype=np.int64)
+
+    def keys(self, packed: list[bytes]) -> np.ndarray:
+        signs = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)
+        return signs[:, self.chosen] @ self.weights + (np.arange(self.blocks, dtype=np.int64) << self.block_bits)
+
+
+def _keyed(distinct: DataFrame, plan: WidePlan) -> DataFrame:
+    """Adds ``buckets``, the keys of all blocks, to ``node, fp``."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            fps = batch.column("fp").to_pylist()
+            yield {"node": batch.column("node"), "fp": fps, "buckets": list(plan.keys(fps))}
+
+        return work
+
+    return written(arrow_map(distinct.select("node", "fp"), make, "node long, fp binary, buckets array<long>"), "keyed")
+
+
+def _dealt(keyed: DataFrame, first: int, count: int) -> DataFrame:
+    """``bucket, i, j, chunk, node, known, fp`` of ``count`` blocks from ``first``:
+    buckets of more than BLOCK rows are dealt out as pairs of chunks, so that
+    none is one task's work."""
+    rows = keyed.select("node", "known", "fp", F.explode(F.slice("buckets", first + 1, count)).alias("bucket"))
+    large = rows.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks"))
+    rows = rows.join(written(large, "large"), "bucket", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("node"), "chunks").cast("int"), F.lit(0)))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
+    return rows.select("*", other).select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "known", "fp")
+
+
+def _forest(dealt: DataFrame, plan: WidePlan) -> DataFrame:
+    """``a, b``: edges of spanning forests of the close pairs of each block, between
+    the components that are ``known``; as many as there are rows at most, however
+    many pairs are close."""
+    ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    distance, near, head = plan.distance, int(128 * plan.distance / plan.bits) + 16, 2
+
+    def pairs(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        bucket, i, j, chunk, node = (rows.column(c).to_numpy() for c in ("bucket", "i", "j", "chunk", "known"))
+        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(node), -1)
+        first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        left = np.repeat(np.diff(np.append(first, len(node))), np.diff(np.append(first, len(node)))) - (np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node)))))
+        x, step = np.flatnonzero(left > 1), 1
+        while len(x):
+            y = x + step
+            ok = ((i[x] == j[x]) | (chunk[x] != chunk[y])) & (node[x] != node[y])
+            a, b = x[ok], y[ok]
+            ok = np.bitwise_count(fps[a, :head] ^ fps[b, :head]).sum(1, dtype=np.int64) <= near
+            a, b = a[ok], b[ok]
+            ok = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= distance
+            yield from zip(node[a[ok]].tolist(), node[b[ok]].tolist())
+            step += 1
+            x = x[left[x] > step]
+
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (up := root.setdefault(k, k)) != k:
+                root[k] = root[up]
+                k = up
+            return k
+
+        out: list[tuple[int, int]] = []
+        for a, b in pairs(rows):
+            if (ra := find(a)) != (rb := find(b)):
+                root[ra] = rb
+                out.append((a, b))
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:  # sorted: a block may span batches, so its rows are held
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            last = [held.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            cut = np.flatnonzero(np.any([k != k[-1] for k in last], axis=0))
+            if len(cut):
+                yield edges(held.slice(0, cut[-1] + 1))
+                held = held.slice(cut[-1] + 1)
+        if held is not None and held.num_rows:
+            yield edges(held)
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of every row: the smallest id reachable over pairs
+    whose shingles have about the Jaccard ``similarity`` or more.
+
+    A null text is empty; texts without words are copies of each other.  Rows
+    with a null id link to nothing and get a null component.
+    """
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            yield {"doc_id": batch.column("doc_id"), "fp": [wide_fingerprint(t or b"", width) for t in texts]}
+
+        return work
+
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fps = written(arrow_map(given, make, "doc_id long, fp binary"), "wide")
+    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_rows")), "distinct")
+    some = groups.filter("node is not null")
+    plan = WidePlan(some.count(), similarity)
+    keyed = _keyed(some, plan)
+    # The first blocks join most of a large group; the others then look only at
+    # pairs that are not joined yet, and so give few edges.
+    early = _forest(_dealt(keyed.withColumn("known", F.col("node")), 0, EARLY), plan)
+    early = written(early, "forest")
+    known = components(early)
+    again = keyed.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+    late = written(_forest(_dealt(again, EARLY, plan.blocks - EARLY), plan), "forest")
+    linked = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
+    named = written(groups.join(linked, "node", "left").select("fp", "n_rows", F.coalesce("component", "node").alias("component_id")), "named")
+    return join_unique(fps, named, "fp", fps.count()).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are near-duplicates of one with a smaller id.
 
     All columns stay.  Rows with a null id, and rows that share an id with the
     one that stays, are kept.
     """
-    found = near_duplicates(docs, width, distance, id_col, text_col)
+    found = similar_groups(docs, width, similarity, id_col, text_col)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return KeySet(gone, id_col, "gone").without(docs)
