@@ -123,6 +123,17 @@ def _cells(one, two, level: int, lo: int, hi: int, plan, length: int, hashers) -
         yield from _cells(one, two, level + 1, a, b, plan, length, hashers)
 
 
+def _joined(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Ranges of a level that touch, as one: they are parsed anew in any case."""
+    out: list[tuple[int, int, int]] = []
+    for level, first, last in sorted(ranges):
+        if out and out[-1][0] == level and first <= out[-1][2] + 1:
+            out[-1] = (level, out[-1][1], max(out[-1][2], last))
+        else:
+            out.append((level, first, last))
+    return out
+
+
 def _parse(rows: DataFrame, length: int) -> DataFrame:
     """Cells of ``uid, text, ranges`` rows; without ranges, of whole texts."""
 
@@ -135,7 +146,7 @@ def _parse(rows: DataFrame, length: int) -> DataFrame:
             held = 0
             for doc_id, text, own in zip(batch.column("uid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), ranges):
                 data = np.frombuffer(text, np.uint8)
-                spans = [(0, 0, len(data) - length)] if own is None else [(r["level"], r["first"], r["last"]) for r in own]
+                spans = [(0, 0, len(data) - length)] if own is None else _joined([(r["level"], r["first"], r["last"]) for r in own])
                 for found in cells(data, spans, length, hashers):
                     for c, v in zip(("level", "first", "last", "k", "h"), found):
                         out[c].append(v.view(np.int64) if v.dtype == np.uint64 else v)
@@ -158,7 +169,10 @@ def _decide(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_k = found.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows"), F.min("h").alias("low"), F.max("h").alias("high"))
     known = written(by_k.filter("n_rows > 1").withColumn("same", F.expr("low = high")).select("k", "n_rows", "same"), "contexts")
     total = int(known.agg(F.sum("n_rows")).first()[0] or 0)
-    met = written(join_unique(found, known, "k", total, how="inner").drop("n_rows"), "met")
+    # Most contexts of a corpus occur once; a Bloom filter keeps their cells
+    # from the shuffle.
+    near = KeySet(known.select("k"), "k", "contexts").maybe(found)
+    met = written(join_unique(near, known, "k", total, how="inner").drop("n_rows"), "met")
     # Where contexts agree but phrases differ, count each (k, h).
     other = met.filter("not same")
     by_h = other.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("uid", "level", "first", "last")).alias("one"))
