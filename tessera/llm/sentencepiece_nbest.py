@@ -7,7 +7,8 @@ then takes those scores as exact heuristics and pops complete segmentations in
 order of their score.
 
 A lattice falls apart wherever no piece holds two neighbouring characters, so
-texts are cut there and the parts are remembered.  The N best of a text can
+texts are cut there and the parts are remembered, words and parts of words in
+two tables of bounded size.  The N best of a text can
 only differ from its best in the ``n - 1`` parts that lose least by their
 second-best segmentation, so A-star runs on these alone.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,11 +30,32 @@ from pyspark.sql import functions as F
 from .common import arrow_map, text_or_empty
 
 SPACE = "▁"
-CACHED = 400_000  # parts that a worker remembers
+CACHED = 250_000  # parts in the newer half of what a worker remembers
 UNKNOWN_PENALTY = 10.0
 WITHOUT = float("inf")  # what a part without a second segmentation loses
 
 
+Part = tuple[bytes, int, float, float]  # packed ids, their number, score, loss of the second best
+
+
+class _Remembered(dict):
+    """Values by key, made when first asked for.  When the newer half is full it
+    becomes the older half, and what is asked for again moves back."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str):
+        if (value := self.older.pop(key, None)) is None:
+            value = self.make(key)
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Pieces:
     """Vocabulary and scores of a model file."""
 
@@ -41,37 +64,51 @@ class Pieces:
         m, n = self.model, self.model.get_piece_size()
         normal = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.ids = {m.id_to_piece(i): i for i in normal}
-        self.scores = {p: float(m.get_score(i)) for p, i in self.ids.items()}
         self.bytes = {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)}
         self.unknown_id = m.unk_id()
-        self.unknown = min((s for s in self.scores.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
-        self.longest = max(map(len, self.ids), default=1)
-        self.starts: dict[str, list[int]] = {}
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            lengths.setdefault(p[0], set()).add(len(p))
-        self.starts = {c: sorted(x) for c, x in lengths.items()}
-        self.text = np.array(["" if m.is_control(i) else m.id_to_piece(i) for i in range(n)], dtype=object)
-        self.byte_ids = np.zeros(n, bool)
-        self.byte_ids[list(self.bytes.values())] = True
+        scores = {p: float(m.get_score(i)) for p, i in self.ids.items()}
+        self.unknown = min((s for s in scores.values() if s > -1e8), default=0.0) - UNKNOWN_PENALTY
+        # A trie: children by character, and the score of the piece that ends here.
+        self.trie: tuple[dict, float | None] = ({}, None)
+        self.joins: set[str] = set()  # pairs of characters that some piece holds
+        for piece, score in scores.items():
+            node = self.trie[0]
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, None))[0]
+            node[piece[-1]] = (node.get(piece[-1], ({}, None))[0], score)
+            self.joins.update(map("".join, zip(piece, piece[1:])))
+        self.spaced = any(j[1] == SPACE and j[0] != SPACE for j in self.joins)
+        self.text = np.array(["" if m.is_control(i) else chr(b) if (b := self._byte(m, i)) is not None and b < 128 else m.id_to_piece(i) for i in range(n)], dtype=object)
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.cut = self._cutter()
-        self.parts: dict[str, tuple[bytes, int, float, float]] = {}
-
-    def _cutter(self):
-        """Splits a normalised text where no piece can cross."""
-        multi = [p for p in self.ids if len(p) > 1]
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in multi):
-            return lambda text: [text]
-        joined = set("".join(multi))
-        alone = "".join(sorted(c for c in self.ids if len(c) == 1 and c not in joined))
-        alone = re.escape(alone + "\n\t\r") if not joined & set("\n\t\r") else re.escape(alone)
-        return re.compile(f"[{alone}]|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        self.high = np.zeros(n, bool)  # bytes beyond ASCII are joined before they are decoded
+        self.high[[i for b, i in self.bytes.items() if b > 127]] = True
+        self.parts, self.words, self.lists = _Remembered(self._part), _Remembered(self._word), _Remembered(lambda key: self.nbest(key[1:], ord(key[0])))
+
+    @staticmethod
+    def _byte(model, i: int) -> int | None:
+        return int(model.id_to_piece(i)[3:5], 16) if model.is_byte(i) else None
+
+    def split(self, text: str) -> list[str]:
+        """A normalised text cut before each space that no piece can hold inside."""
+        if self.spaced:
+            return [text] if text else []
+        if SPACE + SPACE in text:
+            return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text)
+        first, *rest = text.split(SPACE)
+        words = [SPACE + w for w in rest]
+        return [first, *words] if first else words
 
     def edges(self, text: str, at: int) -> list[tuple[int, float]]:
-        """``(end, score)`` of the pieces that start at ``at``."""
-        scores = self.scores
-        found = [(at + n, s) for n in self.starts.get(text[at], ()) if (s := scores.get(text[at : at + n])) is not None and at + n <= len(text)]
+        """``(end, score)`` of the pieces that start at ``at``; an unknown edge
+        where no piece is the character itself."""
+        found, children = [], self.trie[0]
+        for end in range(at, len(text)):
+            node = children.get(text[end])
+            if node is None:
+                break
+            children, score = node
+            if score is not None:
+                found.append((end + 1, score))
         if not found or found[0][0] != at + 1:
             found.insert(0, (at + 1, self.unknown))
         return found
@@ -81,12 +118,25 @@ class Pieces:
         n = len(text)
         best, into = [-WITHOUT] * (n + 1), [[] for _ in range(n + 1)]
         best[0] = 0.0
+        root = self.trie[0]
         for i in range(n):
-            b = best[i]
-            for end, s in self.edges(text, i):
-                into[end].append((i, s))
-                if b + s > best[end]:
-                    best[end] = b + s
+            b, children, alone = best[i], root, True
+            for end in range(i, n):
+                node = children.get(text[end])
+                if node is None:
+                    break
+                children, s = node
+                if s is not None:
+                    into[end + 1].append((i, s))
+                    if b + s > best[end + 1]:
+                        best[end + 1] = b + s
+                    if end == i:
+                        alone = False
+            if alone:
+                s = self.unknown
+                into[i + 1].append((i, s))
+                if b + s > best[i + 1]:
+                    best[i + 1] = b + s
         return best, into
 
     def nbest(self, text: str, n: int) -> list[tuple[float, list[str]]]:
@@ -116,57 +166,66 @@ class Pieces:
                 out.append(self.unknown_id)
         return out
 
-    def part(self, text: str) -> tuple[bytes, int, float, float]:
-        """Packed ids of the best segmentation, their number, its score, and
-        what the second-best loses."""
-        known = self.parts.get(text)
-        if known is None:
-            best, into = self.forward(text)
-            n = len(text)
-            cuts, at = [n], n
-            while at:
-                at = next(i for i, s in into[at] if best[i] + s == best[at])
-                cuts.append(at)
-            # The second-best path leaves the best one first (seen from the end)
-            # at one of its positions, by another edge.
-            lost, on = WITHOUT, set(zip(cuts, cuts[1:]))
-            for end in cuts[:-1]:
-                for start, s in into[end]:
-                    if (end, start) not in on:
-                        lost = min(lost, best[end] - best[start] - s)
-            cuts.reverse()
-            ids = self.piece_ids([text[a:b] for a, b in zip(cuts, cuts[1:])])
-            if len(self.parts) >= CACHED:
-                self.parts.clear()
-            known = self.parts[text] = (np.array(ids, "<i4").tobytes(), len(ids), best[n], lost)
-        return known
-
-    def encode(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """``(score, packed ids)`` of the ``n`` best segmentations of a text."""
-        parts = self.cut(self.model.Normalize(text))
-        known = [self.part(p) for p in parts]
-        score = float(sum(k[2] for k in known))
-        weak = heapq.nsmallest(n - 1, [(k[3], i) for i, k in enumerate(known) if k[3] < WITHOUT])
+    def _part(self, text: str) -> Part:
+        best, into = self.forward(text)
+        cuts, at = [len(text)], len(text)
+        # The second-best path leaves the best one first (seen from the end) at
+        # one of its positions, by another edge.
+        lost = WITHOUT
+        while at:
+            top, back = best[at], None
+            for start, s in into[at]:
+                less = top - (best[start] + s)
+                if back is None and less == 0:
+                    back = start
+                elif less < lost:
+                    lost = less
+            cuts.append(at := back)
+        cuts.reverse()
+        ids = self.piece_ids([text[a:b] for a, b in zip(cuts, cuts[1:])])
+        return struct.pack(f"<{len(ids)}i", *ids), len(ids), best[-1], lost
+
+    def _word(self, text: str) -> Part:
+        """A word from its parts: it is cut where no piece holds both characters."""
+        joins, at, cuts = self.joins, 0, []
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in joins:
+                cuts.append(text[at:i])
+                at = i
+        if not cuts:
+            return self._part(text)
+        known = [self.parts[p] for p in (*cuts, text[at:])]
+        return b"".join(k[0] for k in known), sum(k[1] for k in known), float(sum(k[2] for k in known)), min(k[3] for k in known)
+
+    def encode(self, text: str, n: int, normal: bool = False) -> list[tuple[float, bytes]]:
+        """``(score, packed ids)`` of the ``n`` best segmentations of a text;
+        ``normal`` tells that it is normalised."""
+        words = self.split(text if normal else self.model.Normalize(text))
+        if not words:
+            return [(0.0, b"")]
+        packed, _, scores, losses = zip(*map(self.words.__getitem__, words))
+        score = float(sum(scores))
         choices = []
-        for _, i in weak:
-            packed = [(known[i][2] - s, np.array(self.piece_ids(p), "<i4").tobytes()) for s, p in self.nbest(parts[i], n)]
-            choices.append((i, [x for x in packed if x[1] != known[i][0]][: n - 1]))
-        # The n cheapest sums of one loss (or none) from each weak part.
+        for lost, i in heapq.nsmallest(n - 1, zip(losses, range(len(words)))):
+            if lost < WITHOUT:
+                every = [(scores[i] - s, np.array(self.piece_ids(p), "<i4").tobytes()) for s, p in self.lists[chr(n) + words[i]]]
+                choices.append((i, [x for x in every if x[1] != packed[i]][: n - 1]))
+        # The n cheapest sums of one loss (or none) from each weak word.
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for k, (_, options) in enumerate(choices):
             sums = heapq.nsmallest(n, [*sums, *((lost + o[0], (*picks, (k, j))) for lost, picks in sums for j, o in enumerate(options))])
         out = []
         for lost, picks in sums:
-            packed = [k[0] for k in known]
+            ids = list(packed) if picks else packed
             for k, j in picks:
-                packed[choices[k][0]] = choices[k][1][j][1]
-            out.append((score - lost, b"".join(packed)))
+                ids[choices[k][0]] = choices[k][1][j][1]
+            out.append((score - lost, b"".join(ids)))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The normalised text of ids; byte pieces are joined as UTF-8."""
-        if not self.byte_ids[ids].any():
-            return "".join(self.text[ids])
+        if not self.high[ids].any():
+            return "".join(self.text[ids].tolist())
         out, run = [], bytearray()
         for i in ids.tolist():
             if i in self.byte_of:
@@ -231,7 +290,8 @@ def summary(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id"
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             out: dict[str, list] = {c: [] for c in ("n_pieces", "ids_crc32", "score", "n_found", "last_score", "nbest_crc32", "round_trip")}
             for text in batch.column("text").to_pylist():
-                found, plain = model.encode(text, n), model.model.Normalize(text)
+                plain = model.model.Normalize(text)
+                found = model.encode(plain, n, normal=True)
                 back = all(model.decode(np.frombuffer(p, "<i4")) == plain for _, p in (found[0], found[-1]))
                 crc = 0
                 for _, p in found:
