@@ -182,7 +182,7 @@ def _keyed(distinct: DataFrame, plan: WidePlan) -> DataFrame:
 
         return work
 
-    return written(arrow_map(distinct.select("node", "fp"), make, "node long, fp binary, buckets array<long>"), "keyed")
+    return written(arrow_map(distinct.select("node", "fp"), make, "node long, fp binary, buckets array<long>", slice_bytes=1 << 18), "keyed")
 
 
 def _dealt(keyed: DataFrame, first: int, count: int) -> DataFrame:
