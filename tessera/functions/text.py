@@ -59,8 +59,8 @@ MOJIBAKE = (
     ("‚Äô", "'"),
     ("Â", ""),
 )
-URL = r"(?:https?://|www\.)\S+"
-RETWEET = r"^(?:RT\s+@\w+:?\s*)+"
+URL = r"(?i)(?:https?://|www\.)\S+"
+RETWEET = r"(?i)^\s*(?:RT\s+@[A-Za-z0-9_]{1,20}:?\s*)+"
 
 
 def unescaped(c: Column) -> Column:
@@ -80,8 +80,8 @@ def clean_tweet(c: Column | str) -> Column:
     retweet prefixes and ``#`` in this order; blanks squeezed."""
     x = repaired(unescaped(_col(c)))
     x = F.regexp_replace(x, r"[\x{1F00}-\x{1FFF}]", "")
-    x = F.regexp_replace(x, r"[\x00-\x1f\x7f]", " ")
-    x = F.trim(F.regexp_replace(x, URL, ""))
+    x = F.regexp_replace(x, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]+", " ")
+    x = F.regexp_replace(x, URL, "")
     x = F.regexp_replace(x, RETWEET, "")
     return squeeze(F.replace(x, F.lit("#"), F.lit("")))
 
@@ -119,24 +119,27 @@ def option_table(c: Column | str) -> Column:
 
 #: Instructions on the form of an answer that are taken out.
 ANSWER_FORMS = (
-    "Answer with the option's letter from the given choices directly.",
-    "Answer with only one letter.",
-    "Please answer with the letter only.",
-    "Answer:",
+    r"(?i)Answer with the option's letter from the given choices directly and only give the best option\.?",
+    r"(?i)Respond with ONLY one uppercase option letter from\s*\{?[A-Z,\s]+\}?\.",
+    r"用单个字母回答这句话[。.!！?？]?",
+    r"请只用单个字母回答[。.!！?？]?",
 )
+#: Fixed value: the cue that an answer follows.
+ANSWER_CUE = r"(?i)\n?(?:the best answer is:|the answer is:|answer:)\s*$"
 
 
 def without_answer_forms(c: Column | str) -> Column:
     x = _col(c)
     for form in ANSWER_FORMS:
-        x = F.replace(x, F.lit(form), F.lit(""))
+        x = F.regexp_replace(x, form, "")
     return F.trim(F.regexp_replace(x, r"\n{2,}", "\n"))
 
 
 def letter_constraint(prompt: Column | str, letters: Column) -> Column:
     """Without a trailing answer cue, and with the letters it may use."""
-    x = F.regexp_replace(_col(prompt), r"\s*(?i:answer)\s*:?\s*$", "")
-    return F.concat(x, F.lit("\nAnswer with only one letter from {"), F.array_join(F.array_sort(letters), ", "), F.lit("}."))
+    x = F.regexp_replace(F.regexp_replace(_col(prompt), ANSWER_CUE, ""), r"\s+$", "")
+    tail = "}.\nDo not output the option text, explanation, or punctuation.\nAnswer:"
+    return F.concat(x, F.lit("\n\nRespond with ONLY one uppercase option letter from {"), F.array_join(F.array_sort(letters), ", "), F.lit(tail))
 
 
 def joined_path(*parts: Column) -> Column:
@@ -156,14 +159,44 @@ def numbered_image(subtype: Column | str, image_id: Column | str) -> Column:
 
 #: Contractions written without their apostrophe.
 CONTRACTIONS = (
-    ("aint", "ain't"), ("arent", "aren't"), ("cant", "can't"), ("couldnt", "couldn't"), ("didnt", "didn't"), ("doesnt", "doesn't"), ("dont", "don't"),
-    ("hadnt", "hadn't"), ("hasnt", "hasn't"), ("havent", "haven't"), ("isnt", "isn't"), ("shouldnt", "shouldn't"), ("wasnt", "wasn't"), ("werent", "weren't"),
-    ("wont", "won't"), ("wouldnt", "wouldn't"),
-)
+    ("aint", "ain't"),
+    ("arent", "aren't"),
+    ("cant", "can't"),
+    ("couldve", "could've"),
+    ("couldnt", "couldn't"),
+    ("didnt", "didn't"),
+    ("doesnt", "doesn't"),
+    ("dont", "don't"),
+    ("hadnt", "hadn't"),
+    ("hasnt", "hasn't"),
+    ("havent", "haven't"),
+    ("hes", "he's"),
+    ("im", "i'm"),
+    ("isnt", "isn't"),
+    ("itll", "it'll"),
+    ("its", "it's"),
+    ("ive", "i've"),
+    ("lets", "let's"),
+    ("mightnt", "mightn't"),
+    ("mustnt", "mustn't"),
+    ("shes", "she's"),
+    ("shouldnt", "shouldn't"),
+    ("thats", "that's"),
+    ("theres", "there's"),
+    ("theyre", "they're"),
+    ("wasnt", "wasn't"),
+    ("werent", "weren't"),
+    ("whats", "what's"),
+    ("wheres", "where's"),
+    ("whos", "who's"),
+    ("wont", "won't"),
+    ("wouldnt", "wouldn't"),
+    ("youre", "you're"),
+)
 #: Number words.
 NUMBERS = (("none", "0"), ("zero", "0"), ("one", "1"), ("two", "2"), ("three", "3"), ("four", "4"), ("five", "5"), ("six", "6"), ("seven", "7"), ("eight", "8"), ("nine", "9"), ("ten", "10"))
 #: Plurals without a rule.
-IRREGULAR = (("men", "man"), ("women", "woman"), ("children", "child"), ("people", "person"), ("feet", "foot"), ("teeth", "tooth"), ("mice", "mouse"), ("geese", "goose"))
+IRREGULAR = (("men", "man"), ("women", "woman"), ("children", "child"), ("people", "person"), ("mice", "mouse"), ("geese", "goose"), ("teeth", "tooth"), ("feet", "foot"))
 
 
 def _mapped(pairs) -> Column:
@@ -171,13 +204,12 @@ def _mapped(pairs) -> Column:
 
 
 def singular(w: Column) -> Column:
-    """One word: irregular plurals, then -ies, -ves, -(s|x|z|ch|sh)es, -s; short
-    words and numbers stay."""
+    """One word: irregular plurals, then -ies, -ses, -(x|z|ch|sh)es, -s; words of
+    up to three letters and numbers stay."""
     rule = (
         F.when(w.rlike("^[0-9]+$") | (F.length(w) <= 3), w)
-        .when(w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
-        .when(w.endswith("ves"), F.regexp_replace(w, "ves$", "f"))
-        .when(w.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(w, "es$", ""))
+        .when((F.length(w) > 4) & w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
+        .when((F.length(w) > 4) & w.endswith("ses") | w.rlike("(x|z|ch|sh)es$"), F.regexp_replace(w, "es$", ""))
         .when(w.endswith("s") & ~w.endswith("ss"), F.regexp_replace(w, "s$", ""))
         .otherwise(w)
     )
@@ -185,14 +217,15 @@ def singular(w: Column) -> Column:
 
 
 def vqa_answer(c: Column | str) -> Column:
-    """Normal form of a short answer (see the parts above)."""
-    x = F.translate(F.lower(F.trim(_col(c))), "‘’“”", "''\"\"")
+    """Normal form of a short answer: marks become blanks, then each word goes
+    through contractions, number words, articles and plurals."""
+    x = F.translate(F.lower(F.trim(_col(c))), "’`", "''")
     x = F.regexp_replace(x, r"(?<=\d),(?=\d)", "")
-    x = F.regexp_replace(x, r"(?<!\d)\.|\.(?!\d)", " ")
-    x = F.regexp_replace(x, r"[^\w\s.']", " ")
-    words = F.filter(F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " "), lambda w: ~w.isin("a", "an", "the", ""))
+    x = F.regexp_replace(x, r"(?U)[^\w\s']", " ")
+    words = F.filter(F.split(squeeze(x), " "), lambda w: w != "")
     fixed = F.transform(words, lambda w: F.coalesce(F.try_element_at(_mapped(CONTRACTIONS), w), F.try_element_at(_mapped(NUMBERS), w), w))
-    return F.array_join(F.transform(fixed, singular), " ")
+    kept = F.filter(fixed, lambda w: ~w.isin("a", "an", "the"))
+    return F.array_join(F.transform(kept, singular), " ")
 
 
 def basic_tokens(c: Column | str) -> Column:

@@ -17,9 +17,10 @@ def strict_label(answer: Column, options: dict[str, str]) -> Column:
     clean = F.trim(answer)
     letters = F.create_map(*[F.lit(x) for kv in options.items() for x in kv])
     known = F.array(*[F.lit(v) for v in options.values()])
-    letter = F.upper(F.regexp_extract(clean, r"^\(([A-Za-z])\)", 1))
-    tail = T.label_strict(F.regexp_extract(clean, r"^\([A-Za-z]\)\s*(.*)$", 1))
-    bare = F.upper(F.regexp_extract(clean, r"^([A-Za-z])$", 1))
+    valid = "".join(options)
+    letter = F.upper(F.regexp_extract(clean, rf"(?i)\(\s*([{valid}])\s*\)\s*.+", 1))
+    tail = T.label_strict(F.regexp_extract(clean, rf"(?i)\(\s*[{valid}]\s*\)\s*(.+)", 1))
+    bare = F.upper(F.regexp_extract(clean, rf"(?i)^\(?\s*([{valid}])\s*\)?$", 1))
     whole = T.label_strict(clean)
     return F.coalesce(
         F.when((letter != "") & F.array_contains(known, tail), tail), F.when(letter != "", F.try_element_at(letters, letter)), F.when(bare != "", F.try_element_at(letters, bare)),
@@ -28,30 +29,31 @@ def strict_label(answer: Column, options: dict[str, str]) -> Column:
 
 
 def answer_letter(answer: Column, options: dict[str, str]) -> Column:
-    """The option letter of a free answer: "answer is X", a leading letter, a
-    letter after "option", any stand-alone valid letter, else an option's text."""
+    """The option letter of a free answer: after an answer cue, a leading letter,
+    the first stand-alone valid letter, else an option's text within it."""
     valid = "".join(options)
-    pick = lambda pattern: F.nullif(F.upper(F.regexp_extract(answer, pattern, 1)), F.lit(""))
-    found = [
-        pick(rf"(?i)answer\s*(?:is|:)\s*\(?([{valid}])\b"), pick(rf"(?i)^\s*\(?([{valid}])(?:[\).:,]|\s*$)"),
-        pick(rf"(?i)\boption\s*\(?([{valid}])\b"), pick(rf"\b([{valid}])\b"),
-    ]
+
+    def pick(pattern: str) -> Column:
+        found = F.upper(F.regexp_extract(answer, pattern, 1))
+        return F.when(found.isin(list(options)), found)
+
+    alone = F.nullif(F.regexp_extract(F.upper(answer), rf"\b([{valid}])\b", 1), F.lit(""))
     text = T.label_words(answer)
-    by_text = [F.when(text.contains(T.plain_words(v)), F.lit(k)) for k, v in options.items()]
-    return F.coalesce(*found, *by_text)
+    by_text = [F.when(text.contains(T.plain_words(v)), F.lit(k)) for k, v in options.items() if T.plain_words(v)]
+    return F.coalesce(pick(r"(?i)(?:the answer is|answer)\s*[:：]?\s*\(?\s*([A-Z])\s*\)?"), pick(r"(?i)^\s*\(?\s*([A-Z])\s*\)?(?:[.):-]|$|\s)"), alone, *by_text)
 
 
 def canonical_label(answer: Column, options: dict[str, str]) -> Column:
-    """The exact label, the letter's label, a label within the answer (2 letters
-    at least), a label that holds the answer (3 at least), else UNK; labels in
-    their given order."""
+    """The exact label, the label of the answer's letter, a label within the
+    answer (2 letters at least), a label that holds the answer (3 at least),
+    else UNK; labels in their given order."""
     text = T.label_words(answer)
     names = {v: T.plain_words(v) for v in options.values()}
     exact = [F.when(text == n, F.lit(v)) for v, n in names.items()]
-    letter = [F.when(text == k.lower(), F.lit(v)) for k, v in options.items()]
+    letter = F.try_element_at(F.create_map(*[F.lit(x) for kv in options.items() for x in kv]), answer_letter(answer, options))
     inside = [F.when(text.contains(n), F.lit(v)) for v, n in names.items() if len(n) >= 2]
     around = [F.when((F.length(text) >= 3) & F.lit(n).contains(text), F.lit(v)) for v, n in names.items()]
-    return F.coalesce(*exact, *letter, *inside, *around, F.lit(UNKNOWN))
+    return F.when(text != "", F.coalesce(*exact, letter, *inside, *around, F.lit(UNKNOWN))).otherwise(UNKNOWN)
 
 
 def error_type(gt: Column, raw: Column, pred: Column) -> Column:

@@ -55,16 +55,26 @@ def choice_conversation(prompt: Column, label: Column, options: list[str]) -> Co
     return F.when(answer.isNotNull(), F.array(turn("user", prompt), turn("assistant", answer)))
 
 
+#: Prompts of the binary and the question task.
+BINARY_PROMPT = "Given the image and text, determine whether the meme is hateful.\n\nAnswer with only:\nyes\nor\nno.\n\nText:\n"
+QA_PROMPT = "<image>\nAnswer the following visual question using the image. Keep the answer short and precise, without extra explanation.\nQuestion: {question}\nAnswer:"
+#: Fixed value: the head of an instruction prompt.
+INSTRUCTION_HEAD = (
+    "Below is an instruction that describes a task, paired with an input that provides further context. "
+    "Write a response that appropriately completes the request. ### Instruction: "
+)
+
+
 def binary_conversation(text: Column, label: Column, required: bool = True) -> Column:
     """Fixed question with the text; 0 and 1 become no and yes.  Without a label
     only the user turn, where none is required; otherwise null."""
-    prompt = F.concat(F.lit("<image>\nIs the following post hateful? Text: "), text, F.lit("\nAnswer yes or no."))
+    prompt = F.concat(F.lit(BINARY_PROMPT), text)
     answer = F.when(label == 0, "no").when(label == 1, "yes")
     one = F.when(label.isNull(), F.array(turn("user", prompt))) if not required else F.lit(None)
     return F.when(answer.isNotNull(), F.array(turn("user", prompt), turn("assistant", answer))).otherwise(one)
 
 
-def qa_conversation(question: Column, answer: Column, template: str = "<image>\n{question}\nAnswer the question using a single word or phrase.") -> Column:
+def qa_conversation(question: Column, answer: Column, template: str = QA_PROMPT) -> Column:
     """Question on one line in the template; null where the answer is blank."""
     lines = F.filter(F.transform(F.split(F.regexp_replace(question, "\r\n?", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     prompt = F.replace(F.lit(template), F.lit("{question}"), F.array_join(lines, " "))
@@ -74,8 +84,8 @@ def qa_conversation(question: Column, answer: Column, template: str = "<image>\n
 def instruction_prompt(instruction: Column, given: Column) -> Column:
     """Two templates, by whether there is an input."""
     some = F.coalesce(F.length(F.trim(given)) > 0, F.lit(False))
-    head = F.lit("Below is an instruction that describes a task. Write a response that completes the request.\n\n### Instruction:\n")
-    return F.when(some, F.concat(head, instruction, F.lit("\n\n### Input:\n"), given, F.lit("\n\n### Response:\n"))).otherwise(F.concat(head, instruction, F.lit("\n\n### Response:\n")))
+    middle = F.when(some, F.concat(F.lit(" ### Input: "), F.trim(given))).otherwise("")
+    return F.concat(F.lit(INSTRUCTION_HEAD), F.trim(instruction), middle, F.lit(" ### Response: "))
 
 
 def first_user(turns: Column) -> Column:

@@ -209,9 +209,14 @@ def grid_score(simulated: DataFrame, kl: float, missing: float, dominant: float)
     return simulated.groupBy("alpha").agg(F.sqrt(z("mean_kl", kl) + z("missing", missing) + z("dominant", dominant)).alias("score"), F.avg("mean_kl").alias("mean_kl"), F.avg("missing").alias("missing"), F.avg("dominant").alias("dominant"))
 
 
-def skew_class(alpha: Column, z: Column, cv_p: Column) -> Column:
-    """Strength of label skew, and what kind of skew there is."""
-    strength = F.when(alpha < 0.3, "strong").when(alpha < 1.0, "medium").otherwise("weak")
-    label, size = (alpha < 1.0) | (z > 2.0), cv_p < 0.05
-    kind = F.when(label & size, "mixed").when(label, "label").when(size, "quantity").otherwise("near_iid")
+def skew_class(alpha: Column, z: Column, label_p: Column, cv_p: Column, gini_p: Column) -> Column:
+    """Strength of the label skew, its kind by the null tests."""
+    strength = F.when((alpha >= 1.0) & (z < 2.0), "weak").when((alpha <= 0.3) | (z >= 4.0), "strong").otherwise("medium")
+    label, size = label_p < 0.05, (cv_p < 0.05) | (gini_p < 0.05)
+    kind = F.when(label & size, "mixed").when(label, "label skew").when(size, "quantity skew").otherwise("near-IID")
     return F.struct(strength.alias("strength"), kind.alias("kind"))
+
+
+def dirichlet_consistent(mean_coverage: Column, nonzero: Column, alpha: Column) -> Column:
+    """Whether a split looks like a Dirichlet one: coverage, filled cells, alpha."""
+    return (mean_coverage >= 2.0) & (nonzero >= 0.35) & alpha.between(0.2, 0.8)

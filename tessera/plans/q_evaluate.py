@@ -35,7 +35,7 @@ def _(spark, d):
     return scored(spark, d).select("id", "pred")
 
 
-@query("e03_canonical_label", f"WITH {PREDS} SELECT id, CASE WHEN raw IN ('A', 'N', 'R') THEN {{'A': 'answered', 'N': 'never', 'R': 'flag'}}[raw] WHEN raw LIKE '(%' THEN 'flag' ELSE 'UNK' END AS label FROM preds".replace("{'A': 'answered', 'N': 'never', 'R': 'flag'}[raw]", "CASE raw WHEN 'A' THEN 'answered' WHEN 'N' THEN 'never' ELSE 'flag' END"))
+@query("e03_canonical_label", f"WITH {SCORED} SELECT id, CASE pred WHEN 'A' THEN 'answered' WHEN 'N' THEN 'never' WHEN 'R' THEN 'flag' ELSE 'UNK' END AS label FROM scored")
 def _(spark, d):
     return preds(spark, d).select("id", E.canonical_label(F.col("raw"), {"A": "answered", "N": "never", "R": "flag"}).alias("label"))
 

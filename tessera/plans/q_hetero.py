@@ -182,10 +182,10 @@ def _(spark, d):
 
 
 @query("h20_skew_class", f"""WITH {LL}, s AS (SELECT alpha, sum(ll) AS ll FROM ll GROUP BY alpha), a AS (SELECT arg_max(alpha, ll) AS a FROM s)
-    SELECT CASE WHEN a < 0.3 THEN 'strong' WHEN a < 1 THEN 'medium' ELSE 'weak' END AS strength, CASE WHEN a < 1 THEN 'mixed' ELSE 'quantity' END AS kind FROM a""")
+    SELECT CASE WHEN a >= 1 THEN 'weak' WHEN a <= 0.3 THEN 'strong' ELSE 'medium' END AS strength, 'label skew' AS kind, a BETWEEN 0.2 AND 0.8 AS consistent FROM a""")
 def _(spark, d):
     best = H.concentration(counts(spark, d), ALPHAS)
-    return best.select(H.skew_class(F.col("alpha"), F.lit(0.0), F.lit(0.01)).alias("c")).select("c.*")
+    return best.select(H.skew_class(F.col("alpha"), F.lit(0.0), F.lit(0.01), F.lit(0.2), F.lit(0.3)).alias("c"), H.dirichlet_consistent(F.lit(9.0), F.lit(0.9), F.col("alpha")).alias("consistent")).select("c.*", "consistent")
 
 
 UNIT_SPLIT = f"{UNITS}, {QA}, placed AS (SELECT DISTINCT image_id, floor({sql_u(SEED, 'unit', 'image_id')} * 10)::INT AS client FROM questions), asked AS (SELECT * FROM questions JOIN placed USING (image_id))"

@@ -267,7 +267,7 @@ def _(spark, d):
     return samples(spark, d).withColumn("c", c).select("id", O.assistant(F.col("c")).alias("answer"), F.size("c").alias("turns"))
 
 
-@query("p16_qa_format", "SELECT o_orderkey AS id, '<image>' || chr(10) || o_orderpriority || ' of ' || o_orderstatus || chr(10) || 'Answer the question using a single word or phrase.' AS prompt, o_orderstatus AS answer FROM orders")
+@query("p16_qa_format", "SELECT o_orderkey AS id, '<image>' || chr(10) || 'Answer the following visual question using the image. Keep the answer short and precise, without extra explanation.' || chr(10) || 'Question: ' || o_orderpriority || ' of ' || o_orderstatus || chr(10) || 'Answer:' AS prompt, o_orderstatus AS answer FROM orders")
 def _(spark, d):
     o = table(spark, d, "orders")
     q = F.concat(F.lit(" "), "o_orderpriority", F.lit(" \r\n of "), "o_orderstatus", F.lit("\r"))
@@ -275,7 +275,7 @@ def _(spark, d):
     return o.withColumn("c", c).select(F.col("o_orderkey").alias("id"), O.first_user(F.col("c")).alias("prompt"), O.assistant(F.col("c")).alias("answer"))
 
 
-@query("p17_instruction_format", "SELECT p_partkey AS id, 'Below is an instruction that describes a task. Write a response that completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || p_name || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '### Input:' || chr(10) || p_type ELSE '' END || chr(10) || chr(10) || '### Response:' || chr(10) AS prompt FROM part")
+@query("p17_instruction_format", "SELECT p_partkey AS id, 'Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request. ### Instruction: ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' ### Input: ' || p_type ELSE '' END || ' ### Response: ' AS prompt FROM part")
 def _(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), O.instruction_prompt(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(" ")).alias("prompt"))
 
@@ -318,7 +318,7 @@ def _(spark, d):
     return raws(spark, d).select("id", O.letters_to_labels(F.col("raw"), ["yes", "no", "not sure"]).alias("label"))
 
 
-@query("p23_letter_constraint", f"WITH {CONVS} SELECT conv_id, regexp_replace(prompt, '\\s*Answer:$', '') || chr(10) || 'Answer with only one letter from {{A, B}}.' AS prompt FROM convs WHERE prompt IS NOT NULL")
+@query("p23_letter_constraint", f"WITH {CONVS} SELECT conv_id, regexp_replace(prompt, '\\s*Answer:$', '') || chr(10) || chr(10) || 'Respond with ONLY one uppercase option letter from {{A, B}}.' || chr(10) || 'Do not output the option text, explanation, or punctuation.' || chr(10) || 'Answer:' AS prompt FROM convs WHERE prompt IS NOT NULL")
 def _(spark, d):
     own = convs(spark, d).filter("prompt is not null")
     return own.select("conv_id", T.letter_constraint("prompt", F.map_keys(T.option_table("prompt"))).alias("prompt"))
@@ -363,7 +363,7 @@ def _(spark, d):
     return O.records_back(O.training_samples(std, SEGMENTS, INSTRUCTION, QUESTION, SUFFIX), SEGMENTS, INSTRUCTION, QUESTION)
 
 
-@query("p28_vqa_answer", "SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 6 WHEN 0 THEN '1000 apple' WHEN 1 THEN '2 woman' WHEN 2 THEN 'it don''t box' WHEN 3 THEN 'glass city' WHEN 4 THEN '3.5 bus' ELSE 'dish' END AS answer FROM lineitem")
+@query("p28_vqa_answer", "SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 6 WHEN 0 THEN '1000 apple' WHEN 1 THEN '2 woman' WHEN 2 THEN 'it don''t box' WHEN 3 THEN 'glass city' WHEN 4 THEN '3 5 bus' ELSE 'dish' END AS answer FROM lineitem")
 def _(spark, d):
     m = F.col("l_linenumber") % 6
     raw = F.when(m == 0, "The 1,000 Apples.").when(m == 1, "two women!").when(m == 2, "it dont boxes").when(m == 3, "a glass, cities").when(m == 4, "3.5 buses").otherwise("an dishes?")
