@@ -118,6 +118,20 @@ class KeySet:
         return surely_not.unionByName(maybe.join(self.keys.select(self.key), self.key, "left_anti"))
 
 
+#: Most bytes of an Arrow batch between the JVM and a Python worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, so that a worker's memory depends on
+    BATCH_BYTES (or one longer row) and not on 10,000 rows of any length."""
+    now = spark.conf.get(BATCH, "64m").rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1].lower(), 1)
+    if not 0 < int(now.rstrip("kmgKMG")) * unit <= BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def arrow_map(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]],
@@ -130,6 +144,7 @@ def arrow_map(
     batch to column dicts.  Batches are cut so that a slice holds about
     ``slice_bytes`` (a single longer row makes a slice of its own).
     """
+    small_batches(df.sparkSession)
     target = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in _parsed(df.sparkSession, schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +153,7 @@ def arrow_map(
             for part in slices(batch, slice_bytes):
                 for out in work(part):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

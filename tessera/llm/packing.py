@@ -29,7 +29,7 @@ from .common import arrow_map, text_or_empty, written
 CAPACITY = 1024
 END_ID = 2
 CELL_ROWS = 20_000  # pieces of one length that a window sorts at once, about
-CACHED = 600_000  # distinct words whose ids a worker keeps
+CACHED = 200_000  # distinct words whose ids a worker keeps
 #: Fixed value: how byte-level BPE splits a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

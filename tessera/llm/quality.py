@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeySet, arrow_map, text_or_empty, written
+from .common import KeySet, arrow_map, small_batches, text_or_empty, written
 
 #: Byte classes that are counted; a byte above 127 is a letter of its own class.
 UPPER, LOWER, DIGIT, SPACE, MARK, SYMBOL, WIDE = range(7)
@@ -186,6 +186,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     wanted = KeySet(known.select("doc_id").distinct(), "doc_id", "labelled").maybe(given)
     model = fit(written(features(wanted), "features").join(known, "doc_id"))
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([statistics((t or "").encode()) for t in texts], np.float64).reshape(-1, len(FEATURES))))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_rules
-from .common import arrow_map, text_or_empty
+from .common import arrow_map, small_batches, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -112,6 +112,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
     """
 
     machine = combined(rules)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

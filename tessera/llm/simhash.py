@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeySet, arrow_map, join_unique, written
+from .common import KeySet, arrow_map, join_unique, small_batches, written
 from .components import components
 
 BITS = 64
@@ -249,6 +249,7 @@ def _forest(dealt: DataFrame, plan: WidePlan) -> DataFrame:
         if held is not None and held.num_rows:
             yield edges(held)
 
+    small_batches(dealt.sparkSession)
     return ordered.mapInArrow(run, "a long, b long")
 
 
