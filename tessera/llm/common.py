@@ -112,6 +112,11 @@ class KeySet:
         """Inner or left semi join of ``rows`` with the table on its key."""
         return self._split(rows)[0].join(self.keys, self.key, how)
 
+    def left(self, rows: DataFrame) -> DataFrame:
+        """Left join of ``rows`` with the table; rows surely not in it only get nulls."""
+        maybe, surely_not = self._split(rows)
+        return maybe.join(self.keys, self.key, "left").unionByName(surely_not, allowMissingColumns=True)
+
     def without(self, rows: DataFrame) -> DataFrame:
         """Rows whose key is not in the table (null keys stay)."""
         maybe, surely_not = self._split(rows)

@@ -279,7 +279,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     early = _forest(_dealt(keyed.withColumn("known", F.col("node")), 0, EARLY), plan)
     early = written(early, "forest")
     known = components(early)
-    again = keyed.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+    again = KeySet(known, "node", "known").left(keyed).withColumn("known", F.coalesce("component", "node")).drop("component")
     late = written(_forest(_dealt(again, EARLY, plan.blocks - EARLY), plan), "forest")
     linked = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
     named = written(groups.join(linked, "node", "left").select("fp", "n_rows", F.coalesce("component", "node").alias("component_id")), "named")
