@@ -127,40 +127,54 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
 
 
 
-# Similarity of shingles as such: wide fingerprints.  Two texts whose shingle
-# sets have Jaccard similarity s are at an angle of acos(2s / (1 + s)), and a bit
-# of their SimHash differs with probability angle / pi.  More bits estimate that
-# angle well enough to decide at s; random choices of bits are the blocks.
+# Similarity of shingles as such.  Two texts whose shingle sets have Jaccard
+# similarity s are at an angle of at most acos(2s / (1 + s)), and a bit of the
+# SimHash of the sets differs with probability angle / pi.  Random choices of bits
+# are the blocks, the distance with a margin gives candidates, and the shingle
+# sets of the texts decide.
 
 WIDE = 512
 BLOCK = 512
 EARLY = 4  # blocks of the first pass
+FORESTS = 4  # spanning forests of candidates in the first whole pass; later passes take MORE times as many
+MORE = 16
+MARGIN = 5  # standard deviations of the distance of a pair just at the similarity
+PAIRS = 1 << 21  # pairs of rows that are compared at once
 SUBSETS_SEED = 7
 
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; segments are joined as they come, so
+    what is held is 8 bytes a distinct shingle and one segment."""
+    held = np.zeros(0, np.uint64)
+    for hashes in shingle_hashes(text, width):
+        held = np.union1d(held, hashes)
+    return held
+
+
 def wide_fingerprint(text: bytes, width: int, bits: int = WIDE) -> bytes:
-    """SimHash of ``bits`` bits; further words are mixed from a shingle's hash."""
-    ones, total = np.zeros(bits, np.int64), 0
+    """SimHash of ``bits`` bits over the set of shingles; further words are mixed
+    from a shingle's hash."""
+    ones, hashes = np.zeros(bits, np.int64), shingle_set(text, width)
     odd = np.arange(1, bits // BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for hashes in shingle_hashes(text, width):
-        total += len(hashes)
-        for at in range(0, len(hashes), 4096):
-            h = hashes[at : at + 4096, None] + odd
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-            ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
-    return np.packbits(ones * 2 > total).tobytes()
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096, None] + odd
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
 class WidePlan:
     """Blocks of ``block_bits`` random bits, and as many as it takes for a pair
     just at the similarity to share one with probability ``1 - miss``."""
 
-    def __init__(self, distinct: int, similarity: float, bits: int = WIDE, miss: float = 0.05):
+    def __init__(self, distinct: int, similarity: float, bits: int = WIDE, miss: float = 0.01):
         self.bits = bits
         share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-        self.distance = int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+        self.likely = int(bits * share)
+        self.distance = int(bits * share + MARGIN * np.sqrt(bits * share * (1 - share)))
         self.block_bits = max(16, int(np.ceil(np.log2(max(2, distinct)))) - 2)
         self.blocks = int(np.ceil(np.log(miss) / np.log1p(-((1 - share) ** self.block_bits))))
         rng = np.random.default_rng(SUBSETS_SEED)
@@ -196,45 +210,70 @@ def _dealt(keyed: DataFrame, first: int, count: int) -> DataFrame:
     return rows.select("*", other).select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "known", "fp")
 
 
-def _forest(dealt: DataFrame, plan: WidePlan) -> DataFrame:
-    """``a, b``: edges of spanning forests of the close pairs of each block, between
-    the components that are ``known``; as many as there are rows at most, however
-    many pairs are close."""
+def _forest(dealt: DataFrame, plan: WidePlan, distance: int, forests: int) -> DataFrame:
+    """``a, b, more``: candidate pairs of nodes within ``distance`` bits whose components
+    (``known``) differ.  A task gives ``forests`` spanning forests of them, one
+    after the other and close pairs first: so many edges a row at most, however
+    many pairs are close.  ``more`` is set where it left pairs out."""
     ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    distance, near, head = plan.distance, int(128 * plan.distance / plan.bits) + 16, 2
+    near, head = int(128 * distance / plan.bits) + 16, 2
 
-    def pairs(rows: pa.Table) -> Iterator[tuple[int, int]]:
-        bucket, i, j, chunk, node = (rows.column(c).to_numpy() for c in ("bucket", "i", "j", "chunk", "known"))
-        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(node), -1)
+    def pairs(rows: pa.Table) -> Iterator[tuple[int, int, int, int]]:
+        bucket, i, j = (rows.column(c).to_numpy() for c in ("bucket", "i", "j"))
         first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        left = np.repeat(np.diff(np.append(first, len(node))), np.diff(np.append(first, len(node)))) - (np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node)))))
+        sizes = np.diff(np.append(first, len(bucket)))
+        start = 0
+        while start < len(first):  # whole groups with about PAIRS pairs
+            stop = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start:] ** 2), PAIRS, "right")) + start)
+            yield from some(rows.slice(first[start], int(sizes[start:stop].sum())), sizes[start:stop])
+            start = stop
+
+    def some(rows: pa.Table, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        i, j, chunk, node, known = (rows.column(c).to_numpy() for c in ("i", "j", "chunk", "node", "known"))
+        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(node), -1)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(node))
         x, step = np.flatnonzero(left > 1), 1
+        met: list[tuple[np.ndarray, ...]] = []
         while len(x):
             y = x + step
-            ok = ((i[x] == j[x]) | (chunk[x] != chunk[y])) & (node[x] != node[y])
+            ok = ((i[x] == j[x]) | (chunk[x] != chunk[y])) & (known[x] != known[y])
             a, b = x[ok], y[ok]
             ok = np.bitwise_count(fps[a, :head] ^ fps[b, :head]).sum(1, dtype=np.int64) <= near
             a, b = a[ok], b[ok]
-            ok = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= distance
-            yield from zip(node[a[ok]].tolist(), node[b[ok]].tolist())
+            apart = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64)
+            ok = apart <= distance
+            if ok.any():
+                met.append((apart[ok].astype(np.int16), a[ok].astype(np.int32), b[ok].astype(np.int32)))
             step += 1
             x = x[left[x] > step]
+        if met:
+            apart, a, b = (np.concatenate(c) for c in zip(*met))
+            for at in np.array_split(np.argsort(apart, kind="stable"), len(a) // 65536 + 1):
+                yield from zip(*(c.tolist() for c in (known[a[at]], known[b[at]], node[a[at]], node[b[at]])))
 
-    def edges(rows: pa.Table) -> pa.RecordBatch:
-        root: dict[int, int] = {}
-
-        def find(k: int) -> int:
-            while (up := root.setdefault(k, k)) != k:
-                root[k] = root[up]
-                k = up
-            return k
+    def find(root: dict[int, int], k: int) -> int:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = root[up]
+            k = up
+        return k
 
-        out: list[tuple[int, int]] = []
-        for a, b in pairs(rows):
-            if (ra := find(a)) != (rb := find(b)):
-                root[ra] = rb
-                out.append((a, b))
-        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        roots: list[dict[int, int]] = [{} for _ in range(forests)]
+        out: dict[tuple[int, int], int] = {}
+        short: set[int] = set()
+        for ka, kb, a, b in pairs(rows):
+            if (pair := (min(a, b), max(a, b))) in out:
+                continue
+            for root in roots:
+                if (ra := find(root, ka)) != (rb := find(root, kb)):
+                    root[ra] = rb
+                    out[pair] = ka
+                    break
+            else:
+                short.add(ka)
+        short = {find(roots[0], k) for k in short}
+        more = [find(roots[0], k) in short for k in out.values()]
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -250,14 +289,45 @@ def _forest(dealt: DataFrame, plan: WidePlan) -> DataFrame:
             yield edges(held)
 
     small_batches(dealt.sparkSession)
-    return ordered.mapInArrow(run, "a long, b long")
+    found = ordered.mapInArrow(run, "a long, b long, more boolean")
+    return written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Adds ``ok`` to ``a, b, more``: whether the shingle sets of the two texts have
+    the Jaccard similarity.  Of ids with several texts one pair of texts is enough."""
+
+    def shingles():
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            yield {"doc_id": batch.column("doc_id"), "own": [shingle_set(t or b"", width).tobytes() for t in texts]}
+
+        return work
+
+    def compare():
+        def similar(a: bytes, b: bytes) -> bool:
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            ok = [any(similar(x, y) for x in one for y in two) for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())]
+            yield {"a": batch.column("a"), "b": batch.column("b"), "more": batch.column("more"), "ok": ok}
+
+        return work
+
+    ends = KeySet(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "ends")
+    held = arrow_map(ends.maybe(docs.filter("doc_id is not null")), shingles, "doc_id long, own binary")
+    sets = written(held.groupBy("doc_id").agg(F.collect_set("own").alias("sets")), "sets")
+    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sets").alias("one")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sets").alias("two")), "b")
+    return written(arrow_map(met.select("a", "b", "more", "one", "two"), compare, "a long, b long, more boolean, ok boolean"), "verified")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of every row: the smallest id reachable over pairs
-    whose shingles have about the Jaccard ``similarity`` or more.
+    whose sets of shingles have the Jaccard ``similarity`` or more.
 
-    A null text is empty; texts without words are copies of each other.  Rows
+    Fingerprints give the candidates; the sets decide on each link.  A null text is empty; texts without words are copies of each other.  Rows
     with a null id link to nothing and get a null component.
     """
 
@@ -274,14 +344,25 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     some = groups.filter("node is not null")
     plan = WidePlan(some.count(), similarity)
     keyed = _keyed(some, plan)
-    # The first blocks join most of a large group; the others then look only at
-    # pairs that are not joined yet, and so give few edges.
-    early = _forest(_dealt(keyed.withColumn("known", F.col("node")), 0, EARLY), plan)
-    early = written(early, "forest")
-    known = components(early)
-    again = KeySet(known, "node", "known").left(keyed).withColumn("known", F.coalesce("component", "node")).drop("component")
-    late = written(_forest(_dealt(again, EARLY, plan.blocks - EARLY), plan), "forest")
-    linked = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
+    # The first blocks join most of a large group by its closest pairs; the others
+    # then look only at pairs that are not joined yet, and so give few candidates.
+    likely = _forest(_dealt(keyed.withColumn("known", F.col("node")), 0, EARLY), plan, plan.likely, 1)
+    linked = components(_verified(likely, given, width, similarity).filter("ok"))
+    asked, forests = keyed, FORESTS
+    while True:
+        known = KeySet(linked, "node", "known")
+        again = known.left(asked).withColumn("known", F.coalesce("component", "node")).drop("component")
+        checked = _verified(_forest(_dealt(again, 0, plan.blocks), plan, plan.distance, forests), given, width, similarity)
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(checked.filter("ok").select("a", "b")))
+        # A pair that was left out is joined, or a link that failed leads out of the
+        # component of either end: only those components are asked again.
+        of = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        failed = checked.filter("more and not ok").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        apart = written(failed.filter("ca <> cb").select(F.explode(F.array("ca", "cb")).alias("known")).distinct(), "apart")
+        if apart.isEmpty():
+            break
+        named = KeySet(linked, "node", "known").left(keyed).withColumn("known", F.coalesce("component", "node")).drop("component")
+        asked, forests = written(KeySet(apart, "known", "apart").join(named, "left_semi").drop("known"), "asked"), forests * MORE
     named = written(groups.join(linked, "node", "left").select("fp", "n_rows", F.coalesce("component", "node").alias("component_id")), "named")
     return join_unique(fps, named, "fp", fps.count()).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

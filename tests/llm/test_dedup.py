@@ -105,6 +105,43 @@ def test_similar_texts_share_a_group(spark):
     assert simhash.keep_one(docs).count() == 60
 
 
+def brute_groups(rows, width=5, similarity=0.8):
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+    sets, low = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and low[i] != low[j]:
+            a, b = sorted((low[i], low[j]))
+            low = {k: a if v == b else v for k, v in low.items()}
+    return low
+
+
+def test_groups_are_those_of_exact_jaccard(spark):
+    """Pairs at 0.6 to 0.78 and different texts around one repeated line stay; a copy
+    with a line repeated goes."""
+    line = prose(1, 12)
+    rows = [(1, prose(2) + f"\n{line}" * 30), (2, prose(3) + f"\n{line}" * 30), (3, prose(4, 400)), (4, prose(4, 400) + f"\n{line}" * 30)]
+    for k in range(10, 60):
+        words, keep = prose(k, 200).split(), 160 + k % 30  # the first words stay: similarity about 0.66 to 0.9
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:keep] + prose(1000 + k, 200 - keep).split()))]
+    rows += [(1000 + k, prose(7, 200) + " " + prose(2000 + k, 30 if k else 1)) for k in range(40)]  # a star: only its centre is near all
+    want = brute_groups(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert want[2] == 2 and want[4] == 3 and 0 < sum(want[10 * k] == want[10 * k + 1] for k in range(10, 60)) < 50
+    assert {want[1000 + k] for k in range(40)} == {1000}
+
+
+def test_a_task_that_leaves_pairs_out_is_asked_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FORESTS", 1)
+    monkeypatch.setattr(simhash, "EARLY", 1)
+    rows = [(k, " ".join(prose(5, 200).split()[: 150 + 5 * (k * 7 % 11)] + prose(3000 + k // 2, 20).split())) for k in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(100, 180)] + [(900, i) for i in range(200, 260)] + [(7, 8), (8, 9), (9, 7), (7, 7), (5, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
