@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 
@@ -174,11 +179,38 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(F.aggregate(a, zero, row)), F.lit(0))
 
 
-def rouge_l(pairs: DataFrame, most: int = 64, id_col: str = "id") -> DataFrame:
-    """``id, f`` of the first ``most`` tokens (a parameter: the cost is quadratic)."""
-    toks = pairs.select(id_col, F.slice(T.rouge_tokens("a"), 1, most).alias("a"), F.slice(T.rouge_tokens("b"), 1, most).alias("b"))
-    own = toks.withColumn("l", lcs_length(F.col("a"), F.col("b")))
-    return own.select(id_col, F.when(F.col("l") > 0, 2.0 * F.col("l") / (F.size("a") + F.size("b"))).otherwise(0.0).alias("f"))
+def lcs(a: list[str], b: list[str]) -> int:
+    """Longest common subsequence, a row of the textbook programme at a time as the
+    bits of one number; memory is linear in the tokens."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for i, y in enumerate(b):
+        places[y].append(i)
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        if x in places:
+            mask = bytearray(len(b) // 8 + 1)
+            for i in places[x]:
+                mask[i >> 3] |= 1 << (i & 7)
+            met = row & int.from_bytes(mask, "little")
+            row = ((row + met) | (row - met)) & full
+    return len(b) - row.bit_count()
+
+
+def rouge_l(pairs: DataFrame, id_col: str = "id") -> DataFrame:
+    """``id, f`` of the whole texts ``a`` and ``b``; a null text has no tokens."""
+    toks = pairs.select(id_col, T.rouge_tokens("a").alias("a"), T.rouge_tokens("b").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = []
+            for x, y in zip(batch.column(1), batch.column(2)):
+                a, b = x.as_py() or [], y.as_py() or []
+                n = lcs(a, b)
+                f.append(2.0 * n / (len(a) + len(b)) if n else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.float64())], [id_col, "f"])
+
+    return toks.mapInArrow(run, StructType([toks.schema[0], StructField("f", DoubleType())]))
 
 
 def metric_spread(rows: DataFrame, metrics: list[str]) -> DataFrame:

@@ -64,6 +64,26 @@ def test_longest_common_subsequence(spark):
     assert [r["n"] for r in got] == [brute(a.split(), b.split()) for a, b in cases]
 
 
+def test_rouge_l_reads_whole_texts(spark):
+    import random
+
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diag = 0
+            for j, y in enumerate(b):
+                diag, row[j + 1] = row[j + 1], diag + 1 if x == y else max(row[j + 1], row[j])
+        return 2 * row[-1] / (len(a) + len(b)) if row[-1] else 0.0
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(k)) for _ in range(n)) for k, n in ((1, 65), (1, 300), (3, 500), (9, 129), (2, 3))]
+    head = " ".join(f"x{i}" for i in range(64))
+    cases = [(a, b) for a in texts for b in texts] + [(head + " one", head + " two"), ("p " * 64 + "same end", "q " * 64 + "same end"), ("", "a")]
+    rows = [(f"k{i}", a, b) for i, (a, b) in enumerate(cases)] + [("null", None, "a b")]
+    got = {r["id"]: r["f"] for r in E.rouge_l(spark.createDataFrame(rows, "id string, a string, b string")).collect()}
+    assert got == {i: brute((a or "").split(), b.split()) for i, a, b in rows}
+
+
 def test_multi_turn_without_answer_supervises_the_last_token(spark):
     rows = spark.createDataFrame([([("user", [5, 6])],), ([("user", [5]), ("assistant", [7, 8])],)], "turns array<struct<role:string,ids:array<int>>>")
     ids, labels = K.multi_turn(F.col("turns"), 9)
