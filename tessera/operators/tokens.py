@@ -16,7 +16,17 @@ def vocabulary(docs: DataFrame, least: int = 5, text: str = "text") -> DataFrame
     """``token, n, token_id``: tokens seen ``least`` times, by falling count, then
     name; ids 0 and 1 are the unknown token and the padding."""
     counts = docs.select(F.explode(basic_tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return counts.withColumn("token_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token")) + 1)
+    # Ranked within (count, first letters); running counts of those cells give the
+    # offsets, so one task sees the distinct counts but never the tokens.
+    own = counts.withColumn("_head", F.substring("token", 1, 3))
+    cells = own.groupBy("n", "_head").agg(F.count(F.lit(1)).alias("_m"))
+    levels = cells.groupBy("n").agg(F.sum("_m").alias("_m"))
+    before = lambda w: F.coalesce(F.sum("_m").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    higher = levels.select("n", before(W.partitionBy(F.lit(0)).orderBy(F.desc("n"))).alias("_higher"))
+    offsets = cells.select("n", "_head", before(W.partitionBy("n").orderBy("_head")).alias("_first")).join(higher, "n")
+    nth = F.row_number().over(W.partitionBy("n", "_head").orderBy("token"))
+    ranked = own.withColumn("_nth", nth).join(offsets, ["n", "_head"])
+    return ranked.select("token", "n", (F.col("_higher") + F.col("_first") + F.col("_nth") + 1).cast("int").alias("token_id"))
 
 
 def encoded(docs: DataFrame, vocab: DataFrame, most: int, id_col: str = "id", text: str = "text") -> DataFrame:

@@ -84,6 +84,18 @@ def test_rouge_l_reads_whole_texts(spark):
     assert got == {i: brute((a or "").split(), b.split()) for i, a, b in rows}
 
 
+def test_vocabulary_is_ranked_in_parts(spark):
+    import re
+
+    words = [f"{h}{i}" for i in range(40) for h in ("a", "ab", "abc", "abcd", "zz")]
+    rows = spark.createDataFrame([(" ".join([w] * (5 + i % 4)),) for i, w in enumerate(words)] + [("rare",)], "text string")
+    got = K.vocabulary(rows)
+    want = sorted(((w, 5 + i % 4) for i, w in enumerate(words)), key=lambda x: (-x[1], x[0]))
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[2]) == [(w, n, k + 2) for k, (w, n) in enumerate(want)]
+    specs = re.findall(r"windowspecdefinition\(([^)]*)", got._jdf.queryExecution().toString())
+    assert specs and all("_head#" in x for x in specs if "token#" in x)
+
+
 def test_multi_turn_without_answer_supervises_the_last_token(spark):
     rows = spark.createDataFrame([([("user", [5, 6])],), ([("user", [5]), ("assistant", [7, 8])],)], "turns array<struct<role:string,ids:array<int>>>")
     ids, labels = K.multi_turn(F.col("turns"), 9)
