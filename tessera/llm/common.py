@@ -56,8 +56,8 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, count:
     return rows.join(F.broadcast(hot), key, "inner").unionByName(beside)
 
 
-#: Bits of one bitmap of bitmap_construct_agg, and the most a filter may have:
-#: its bitmaps are broadcast and never exceed MAX_BITS / 8 = 32 MiB.
+#: Bits of one bitmap, 512 longs, and the most a filter may have: its bitmaps are
+#: broadcast and never exceed MAX_BITS / 8 = 32 MiB.
 BUCKET_BITS = 32768
 MAX_BITS = 1 << 28
 
@@ -67,9 +67,14 @@ def filter_bits(keys: int, each: int = 16) -> int:
     return min(MAX_BITS, 1 << (max(BUCKET_BITS, keys * each) - 1).bit_length())
 
 
-def bitmaps(slots: DataFrame) -> DataFrame:
-    """``(bucket, bitmap)`` of a table of set ``slot`` numbers."""
-    return slots.groupBy(F.expr(f"slot div {BUCKET_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"slot % {BUCKET_BITS}")).alias("bitmap"))
+def bitmaps(slots: DataFrame, bits: int) -> DataFrame:
+    """``(bucket, bitmap)`` of a table of set ``slot`` numbers below ``bits``: the words
+    of a bucket as an array of longs, zeros too."""
+    zeros = slots.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    ones = slots.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bits"))
+    words = ones.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    held = F.sort_array(F.collect_list(F.struct("word", "bits")))
+    return words.groupBy(F.expr(f"word div {BUCKET_BITS // 64}").alias("bucket")).agg(F.transform(held, lambda w: w["bits"]).alias("bitmap"))
 
 
 def tested(rows: DataFrame, maps: DataFrame, slots: list[Column], name: str = "maybe") -> DataFrame:
@@ -78,9 +83,8 @@ def tested(rows: DataFrame, maps: DataFrame, slots: list[Column], name: str = "m
     side = maps.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap"))
     for i, slot in enumerate(slots):
         rows = rows.withColumn("_slot", slot).join(F.broadcast(side), F.expr(f"_slot div {BUCKET_BITS} = _bucket"), "left")
-        byte = F.conv(F.hex(F.expr(f"substring(_bitmap, cast((_slot % {BUCKET_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("long")
-        rows = rows.withColumn("_byte", byte).withColumn(f"_hit{i}", F.coalesce(F.expr("1 = getbit(_byte, cast(_slot % 8 as int))"), F.lit(False)))
-        rows = rows.drop("_slot", "_bucket", "_bitmap", "_byte")
+        hit = F.expr(f"1 = getbit(_bitmap[cast((_slot % {BUCKET_BITS}) div 64 as int)], cast(_slot % 64 as int))")
+        rows = rows.withColumn(f"_hit{i}", F.coalesce(hit, F.lit(False))).drop("_slot", "_bucket", "_bitmap")
     every = F.lit(True)
     for i in range(len(slots)):
         every = every & F.col(f"_hit{i}")
@@ -95,7 +99,7 @@ class KeySet:
         self.keys, self.key = written(keys, name), key
         self.bits = filter_bits(self.keys.count())
         slots = self.keys.select(F.explode(F.array(*self._slots())).alias("slot"))
-        self.maps = written(bitmaps(slots.distinct()), "bitmaps")
+        self.maps = written(bitmaps(slots, self.bits), "bitmaps")
 
     def _slots(self) -> list[Column]:
         return [F.pmod(F.xxhash64(F.lit(i), F.col(self.key)), F.lit(self.bits)) for i in range(2)]

@@ -30,7 +30,7 @@ def repeated_slots(digests: DataFrame, bits: int) -> DataFrame:
     """``(bucket, bitmap)``: the slots that at least two rows of ``digest`` hit."""
     slot = digests.select(F.explode(F.array_distinct(F.array(*_slots(F.col("digest"), bits)))).alias("slot"))
     twice = slot.groupBy("slot").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1")
-    return bitmaps(twice)
+    return bitmaps(twice, bits)
 
 
 def _maybe_repeated(rows: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
