@@ -16,10 +16,13 @@ def u(seed: int, salt: str, *ids: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HEX), 16, 10).cast("double") / F.lit(float(16**HEX))
 
 
-def exact_rank(df: DataFrame, keys: list[str], order: str, ties: list[str], name: str = "rank", buckets: int = 64) -> DataFrame:
+def exact_rank(df: DataFrame, keys: list[str], order: str, ties: list[str], name: str = "rank", buckets: int | None = None) -> DataFrame:
     """Zero-based rank by ``order`` (a uniform) within ``keys``, without putting
     a whole key in one task: rows are ranked within buckets of the uniform, and
-    a running count of the few (key, bucket) cells gives the offsets."""
+    a running count of the few (key, bucket) cells gives the offsets.  Without
+    ``buckets`` there are four for each shuffle partition, 64 at least, so that more
+    machines get smaller ones."""
+    buckets = buckets or max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = df.withColumn("_bucket", F.floor(F.col(order) * buckets).cast("int"))
     cells = own.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))

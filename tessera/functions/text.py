@@ -96,6 +96,20 @@ def clean_counts(c: Column | str) -> dict[str, Column]:
     }
 
 
+def clean_segment(prompt: Column | str, question: str) -> tuple[Column, Column]:
+    """``(prompt, skipped)``: a prompt whose first line is ``<image>`` with the text
+    between its second line and the question cleaned as a tweet.  ``question`` is the
+    pattern of the question's line; a prompt without it, without text before it or of
+    another form stays as it is and is marked as skipped."""
+    x = F.coalesce(_col(prompt), F.lit(""))
+    lines = F.split(x, r"\r\n|\r|\n")
+    at = F.array_position(F.transform(F.slice(lines, 3, F.size(lines)), lambda line: F.trim(line).rlike(question)), True).cast("int")
+    fits = (F.size(lines) >= 4) & (F.trim(lines[0]) == "<image>") & (at > 1)
+    segment = clean_tweet(F.array_join(F.slice(lines, 3, F.greatest(at - 1, F.lit(0))), "\n"))
+    whole = F.array_join(F.concat(F.slice(lines, 1, 2), F.array(segment), F.slice(lines, at + 2, F.size(lines))), "\n")
+    return F.when(fits, whole).otherwise(x), (~fits).cast("int")
+
+
 def prompt_text(prompt: Column | str, instruction: str, question: str) -> Column:
     """The lines between the instruction and the question of a prompt."""
     lines = F.filter(F.transform(F.split(_col(prompt), "\n"), lambda x: F.trim(x)), lambda x: x != "<image>")

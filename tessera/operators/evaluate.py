@@ -161,6 +161,25 @@ def rouge_n(pairs: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     return pairs.select(id_col).join(over, id_col, "left").select(id_col, F.coalesce(F.when(F.col("o") > 0, 2.0 * F.col("o") / (F.col("na") + F.col("nb"))), F.lit(0.0)).alias("f"))
 
 
+def most_similar(asked: DataFrame, items: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``id, ref, f``: for each row of ``asked`` the other item with the largest F of
+    ROUGE-1, the smallest id of equal ones; rows that share no word with any item are
+    left out.
+
+    Words meet in an inverted index, so only items that share one are compared; give
+    ``asked`` as the smaller table.
+    """
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        toks = df.select(F.col(id_col).alias(name), T.rouge_tokens(text_col).alias("t"))
+        return toks.select(name, F.size("t").alias(f"n_{name}"), F.explode("t").alias("w")).groupBy(name, f"n_{name}", "w").agg(F.count(F.lit(1)).alias(f"k_{name}"))
+
+    met = counted(asked, "id").join(counted(items, "ref"), "w").filter("id <> ref")
+    over = met.groupBy("id", "ref", "n_id", "n_ref").agg(F.sum(F.least("k_id", "k_ref")).alias("o"))
+    scored = over.select("id", "ref", F.round(2.0 * F.col("o") / (F.col("n_id") + F.col("n_ref")), 12).alias("f"))
+    return scored.groupBy("id").agg(F.max_by("ref", F.struct(F.col("f"), -F.col("ref"))).alias("ref"), F.max("f").alias("f"))
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Longest common subsequence of two token arrays, row by row in the JVM."""
     zero = F.transform(b, lambda _: F.lit(0))

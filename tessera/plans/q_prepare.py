@@ -189,31 +189,41 @@ def _(spark, d):
 
 
 @query("p07_clean_counts", f"""WITH {TWEETS} SELECT file, count(*) AS n, sum(({SQL_CLEAN} <> text)::INT)::BIGINT AS changed, sum(len(regexp_extract_all(text, '(https?://|www\\.)\\S+')))::BIGINT AS urls, sum(regexp_matches(text, '^(RT\\s+@\\w+:?\\s*)+')::INT)::BIGINT AS retweets,
-    sum(len(text) - len(replace(text, '#', '')))::BIGINT AS hashes FROM tweets GROUP BY ROLLUP (file)""")
+    sum(len(text) - len(replace(text, '#', '')))::BIGINT AS hashes, sum((len(text) - len(replace(text, 'â€™', ''))) // 3 + len(text) - len(replace(text, 'Â', '')))::BIGINT AS mojibake FROM tweets GROUP BY ROLLUP (file)""")
 def _(spark, d):
     counts = T.clean_counts("text")
-    return tweets(spark, d).rollup("file").agg(F.count(F.lit(1)).alias("n"), *[F.sum(counts[c]).alias(c) for c in ("changed", "urls", "retweets", "hashes")])
+    return tweets(spark, d).rollup("file").agg(F.count(F.lit(1)).alias("n"), *[F.sum(counts[c]).alias(c) for c in ("changed", "urls", "retweets", "hashes", "mojibake")])
 
 
 INSTRUCTION, QUESTION = "Look at the post.", "Which label fits?"
-CONVS = f"""convs AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN '<image>' || chr(10) || '{INSTRUCTION}' || chr(10) || left(replace(text, chr(10), ' '), 60) || chr(10) || chr(10) || '{QUESTION}' || chr(10) || '(A) yes' || chr(10) || '(B) not sure' || chr(10) || 'Answer:' END) AS prompt FROM conversations GROUP BY conv_id)"""
+CONVS = f"""convs AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN '<image>' || chr(10) || '{INSTRUCTION}' || chr(10) || replace(text, chr(10), ' ') || chr(10) || chr(10) || '{QUESTION}' || chr(10) || '(A) yes' || chr(10) || '(B) not sure' || chr(10) || 'Answer:' END) AS prompt FROM conversations GROUP BY conv_id)"""
 
 
 def convs(spark, d):
-    c = table(spark, d, "conversations").filter("turn = 0").groupBy("conv_id").agg(F.max(F.concat(F.lit(f"<image>\n{INSTRUCTION}\n"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60), F.lit(f"\n\n{QUESTION}\n(A) yes\n(B) not sure\nAnswer:"))).alias("prompt"))
+    c = table(spark, d, "conversations").filter("turn = 0").groupBy("conv_id").agg(F.max(F.concat(F.lit(f"<image>\n{INSTRUCTION}\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(f"\n\n{QUESTION}\n(A) yes\n(B) not sure\nAnswer:"))).alias("prompt"))
     return table(spark, d, "conversations").select("conv_id").distinct().join(c, "conv_id", "left")
 
 
-FIRST60 = "trim(left(replace(text, chr(10), ' '), 60), ' ' || chr(9))"
+FIRST = "trim(replace(text, chr(10), ' '), ' ' || chr(9))"
+SEGMENTS = f"""seg AS (SELECT conv_id, max('RT @u: ' || replace(text, chr(10), ' ') || ' #tag &amp; https://a.b/c') AS text FROM conversations WHERE turn = 0 GROUP BY conv_id),
+    clean AS (SELECT conv_id, text, {SQL_CLEAN} AS c FROM seg)"""
 
 
-@query("p08_segment_cleaning", f"WITH {CONVS} SELECT conv_id, prompt LIKE '<image>%' AS template, length(prompt) - length(replace(prompt, chr(10), '')) + 1 AS lines FROM convs WHERE prompt IS NOT NULL")
+def segments(spark, d):
+    """Prompts with first turns as tweets; every fifth lacks its question."""
+    text = F.concat(F.lit("RT @u: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" #tag &amp; https://a.b/c"))
+    c = table(spark, d, "conversations").filter("turn = 0").groupBy("conv_id").agg(F.max(text).alias("text"))
+    end = F.when(F.col("conv_id") % 5 == 0, "").otherwise(f"\n\n{QUESTION}\n(A) yes")
+    return c.select("conv_id", F.concat(F.lit(f"<image>\n{INSTRUCTION}\n"), "text", end).alias("prompt"))
+
+
+@query("p08_segment_cleaning", f"""WITH {SEGMENTS} SELECT conv_id, (conv_id % 5 = 0)::INT AS skipped, md5('<image>' || chr(10) || '{INSTRUCTION}' || chr(10) || CASE WHEN conv_id % 5 = 0 THEN text ELSE c || chr(10) || '{QUESTION}' || chr(10) || '(A) yes' END) AS h FROM clean""")
 def _(spark, d):
-    lines = F.split("prompt", "\n")
-    return convs(spark, d).filter("prompt is not null").select("conv_id", (lines[0] == "<image>").alias("template"), F.size(lines).cast("long").alias("lines"))
+    prompt, skipped = T.clean_segment("prompt", "^Which .*[?]$")
+    return segments(spark, d).select("conv_id", skipped.alias("skipped"), F.md5(prompt).alias("h"))
 
 
-@query("p09_prompt_text", f"WITH c AS (SELECT conv_id, max(text) AS text FROM conversations WHERE turn = 0 GROUP BY conv_id) SELECT conv_id, {FIRST60} AS text FROM c")
+@query("p09_prompt_text", f"WITH c AS (SELECT conv_id, max(text) AS text FROM conversations WHERE turn = 0 GROUP BY conv_id) SELECT conv_id, {FIRST} AS text FROM c")
 def _(spark, d):
     return convs(spark, d).filter("prompt is not null").select("conv_id", T.prompt_text("prompt", INSTRUCTION, QUESTION).alias("text"))
 
@@ -254,10 +264,10 @@ def _(spark, d):
     return own.select("id", F.when(F.col("c").isNotNull(), F.size("c")).otherwise(0).alias("turns"), O.first_user(F.col("c")).alias("asked"), O.assistant(F.col("c")).alias("answer"))
 
 
-@query("p14_task_histogram", f"WITH {IDS} SELECT coalesce(CASE label WHEN 'de' THEN 'A' WHEN 'en' THEN 'B' END, label) AS answer, count(*) AS n FROM ids WHERE label <> 'es' GROUP BY 1")
+@query("p14_task_histogram", f"WITH {IDS} SELECT coalesce(CASE label WHEN 'de' THEN 'A' WHEN 'en' THEN 'B' END, label) AS answer, count(*) AS n FROM ids GROUP BY 1")
 def _(spark, d):
     options = F.broadcast(spark.createDataFrame([("de", "A"), ("en", "B")], "label string, letter string"))
-    own = ids(spark, d).filter("label <> 'es'").join(options, "label", "left")
+    own = ids(spark, d).join(options, "label", "left")
     return own.groupBy(F.coalesce("letter", "label").alias("answer")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -286,10 +296,10 @@ def _(spark, d):
     return O.flat_turns(table(spark, d, "conversations"))
 
 
-@query("p19_placeholders", f"WITH {TURNS} SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace('<image>' || chr(10) || left(text, 50) || '<IMAGE_3>' || chr(10) || chr(10) || chr(10) || chr(10) || role, '<image(_\\d+)?>', '', 'gi'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM turns")
+@query("p19_placeholders", f"WITH {TURNS} SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace('<image>' || chr(10) || text || '<IMAGE_3>' || chr(10) || chr(10) || chr(10) || chr(10) || role, '<image(_\\d+)?>', '', 'gi'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM turns")
 def _(spark, d):
     c = table(spark, d, "conversations")
-    raw = F.concat(F.lit("<image>\n"), F.substring("text", 1, 50), F.lit("<IMAGE_3>\n\n\n\n"), "role")
+    raw = F.concat(F.lit("<image>\n"), "text", F.lit("<IMAGE_3>\n\n\n\n"), "role")
     clean = F.regexp_replace(T.strip_placeholders(raw), r"^[ \n]+|[ \n]+$", "")
     return c.select("conv_id", "turn", "role", clean.alias("text"))
 
@@ -480,18 +490,18 @@ def _(spark, d):
     return J.with_category(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("category_id")), cat).select("id", "supercategory")
 
 
-@query("j03_records", f"WITH {SAMPLES}, {sql_assigned('samples')} SELECT id, client, label, img, coalesce(quality, -1) AS quality FROM assigned WHERE client = 3")
+@query("j03_records", f"WITH {SAMPLES}, {sql_assigned('samples')} SELECT id, client, label, img, coalesce(quality, -1) AS quality FROM assigned")
 def _(spark, d):
-    placed = assigned(spark, d).filter("client = 3").select("id", "client")
+    placed = assigned(spark, d).select("id", "client")
     return J.records_of(placed, samples(spark, d)).select("id", "client", "label", "img", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
 PLACED = f"placed AS (SELECT DISTINCT o_custkey AS image_id, floor({sql_u(SEED, 'unit', 'o_custkey')} * 10)::INT AS client FROM orders)"
 
 
-@query("j04_expand_units", f"WITH {QA}, {PLACED} SELECT client, count(*) AS annotations, count(DISTINCT q.question_id) AS questions FROM placed JOIN questions q USING (image_id) JOIN answers a ON a.question_id = q.question_id WHERE client < 4 GROUP BY client")
+@query("j04_expand_units", f"WITH {QA}, {PLACED} SELECT client, count(*) AS annotations, count(DISTINCT q.question_id) AS questions FROM placed JOIN questions q USING (image_id) JOIN answers a ON a.question_id = q.question_id GROUP BY client")
 def _(spark, d):
-    units = questions(spark, d).select("image_id").distinct().withColumn("client", F.floor(u(SEED, "unit", "image_id") * 10).cast("int")).filter("client < 4")
+    units = questions(spark, d).select("image_id").distinct().withColumn("client", F.floor(u(SEED, "unit", "image_id") * 10).cast("int"))
     _, notes = J.expand_units(units, questions(spark, d), answers(spark, d))
     return notes.groupBy("client").agg(F.count(F.lit(1)).alias("annotations"), F.countDistinct("question_id").alias("questions"))
 

@@ -67,7 +67,7 @@ def register_rules() -> None:
 
 register_rules()
 
-#: Clients with their step counts; some are null or 0.
+#: Clients with their step counts; some are null, or 0 and so at the floor.
 STEPS = [(c, float(100 + 13 * c), None if c == 3 else float(c % 4)) for c in range(10)]
 BEFORE = "before_ AS (SELECT key, pos, avg(value) AS w FROM params WHERE round = 0 GROUP BY key, pos)"
 
@@ -76,11 +76,11 @@ def before(spark, d):
     return params(spark, d).filter("round = 0").groupBy(*CELL).agg(F.avg("value").alias("w"))
 
 
-@query("a09_normalised_average", f"""WITH {PARAMS}, {BEFORE}, {values('steps', 'client, n, tau', STEPS)}, p AS (SELECT client, n / sum(n) OVER () AS p, greatest(coalesce(tau, 1), 1e-12) AS t FROM steps),
-    e AS (SELECT sum(p * t) AS e FROM p) SELECT key, pos, round(max(w) + 0.5 * max(e) * sum(p * (value - w) / t), 4) AS w FROM params JOIN p USING (client) JOIN before_ USING (key, pos) CROSS JOIN e WHERE round = 1 AND tau_ok GROUP BY key, pos""".replace("AND tau_ok", "AND t >= 1"))
+@query("a09_normalised_average", f"""WITH {PARAMS}, {BEFORE}, {values('steps', 'client, n, tau', STEPS)}, p AS (SELECT client, n / sum(n) OVER () AS p, greatest(coalesce(tau, 1), 0.25) AS t FROM steps),
+    e AS (SELECT sum(p * t) AS e FROM p) SELECT key, pos, round(max(w) + 0.5 * max(e) * sum(p * (value - w) / t), 4) AS w FROM params JOIN p USING (client) JOIN before_ USING (key, pos) CROSS JOIN e WHERE round = 1 GROUP BY key, pos""")
 def _(spark, d):
-    clients = A.local_steps(spark.createDataFrame(STEPS, "client int, sample_num double, tau double"))
-    own = params(spark, d).filter("round = 1").drop("sample_num").join(F.broadcast(clients.filter("tau_c >= 1").select("client")), "client")
+    clients = A.local_steps(spark.createDataFrame(STEPS, "client int, sample_num double, tau double"), eps=0.25)
+    own = params(spark, d).filter("round = 1").drop("sample_num")
     return A.normalised_average(own, before(spark, d), clients, 0.5).select("key", "pos", F.round("w", 4).alias("w"))
 
 

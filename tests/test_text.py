@@ -107,3 +107,11 @@ def test_multi_turn_without_answer_supervises_the_last_token(spark):
 def test_question_is_put_on_one_line(spark):
     got = one(spark, " who\r\n is it ", lambda c: O.first_user(O.qa_conversation(c, F.lit("me"))))
     assert got.split("\n")[2] == "Question: who is it"
+
+
+def test_segments_are_cleaned_or_skipped(spark):
+    rows = ["<image>\nPick.\nRT @a: see #x http://a.b\n\nWhich one?\n(A) y", "<image>\nPick.\nWhich one?\nz", "<image>\nPick.\ntext\nmore", "Pick.\n#a\n#b\nWhich one?", None, "<image>\r\nPick.\r\n#a\r\n#b\r\nWhich one?"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, p string")
+    clean, skipped = T.clean_segment("p", "^Which")
+    got = {r["id"]: (r["c"], r["s"]) for r in df.select("id", clean.alias("c"), skipped.alias("s")).collect()}
+    assert got == {0: ("<image>\nPick.\nsee x\nWhich one?\n(A) y", 0), 1: (rows[1], 1), 2: (rows[2], 1), 3: (rows[3], 1), 4: ("", 1), 5: ("<image>\nPick.\na b\nWhich one?", 0)}
