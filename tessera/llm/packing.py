@@ -28,7 +28,8 @@ from .common import arrow_map, text_or_empty, written
 
 CAPACITY = 1024
 END_ID = 2
-CELL_ROWS = 20_000  # pieces of one length that a window sorts at once, about
+CELL_ROWS = 20_000  # most pieces of one length that a window sorts at once, about
+SALTS = 1 << 16
 CACHED = 200_000  # distinct words whose ids a worker keeps
 #: Fixed value: how byte-level BPE splits a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -204,7 +205,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for r in cut.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
     places = Places.of(best_two_fit(counts))
-    salts = max(1, int(counts.max()) // CELL_ROWS + 1)
+    # Half a partition's share at most, so that a common length is not one task's work.
+    share = counts.sum() // (2 * int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    salts = min(SALTS, int(counts.max() // min(CELL_ROWS, share)) + 1)
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     cells = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
