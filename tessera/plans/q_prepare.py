@@ -383,14 +383,15 @@ def _(spark, d):
 # Tokens: lower-case ASCII words of the page addresses and part names.
 PART_TEXT = "pt AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type || ' ' || p_brand) AS text FROM part)"
 TOKENS = f"{PART_TEXT}, tk AS (SELECT id, regexp_extract_all(text, '[a-z0-9_'']+|[.,!?;:()]') AS t FROM pt), ct AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM tk) GROUP BY token HAVING count(*) >= 5), vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id FROM ct)"
-ENC = f"{TOKENS}, lg AS (SELECT id, unnest(list_slice(t, 1, 4)) AS token, unnest(range(least(len(t), 4))) AS k FROM tk), enc AS (SELECT id, list(coalesce(token_id, 0)::INT ORDER BY k) AS ids FROM lg LEFT JOIN vocab USING (token) GROUP BY id)"
+ENC = f"{TOKENS}, lg AS (SELECT id, unnest(list_slice(t, 1, 64)) AS token, unnest(range(least(len(t), 64))) AS k FROM tk), enc AS (SELECT id, list(coalesce(token_id, 0)::INT ORDER BY k) AS ids FROM lg LEFT JOIN vocab USING (token) GROUP BY id)"
 
 
 def parts(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
 
 
-def encoded(spark, d, most=4):
+#: The length of the model's window; no text of a part is longer.
+def encoded(spark, d, most=64):
     p = parts(spark, d)
     return K.encoded(p, K.vocabulary(p), most)
 
@@ -400,14 +401,14 @@ def _(spark, d):
     return K.vocabulary(parts(spark, d))
 
 
-@query("p30_encode", f"WITH {ENC} SELECT id, ids || list_resize([]::INT[], greatest(6 - len(ids), 0), 1) AS input_ids FROM enc")
+@query("p30_encode", f"WITH {ENC} SELECT id, ids || list_resize([]::INT[], greatest(64 - len(ids), 0), 1) AS input_ids FROM enc")
 def _(spark, d):
-    return encoded(spark, d).select("id", K.padded(F.col("input_ids"), 6, 1).alias("input_ids"))
+    return encoded(spark, d).select("id", K.padded(F.col("input_ids"), 64, 1).alias("input_ids"))
 
 
-@query("p31_supervised", f"WITH {ENC} SELECT id, list_slice(ids || ids || [2], 1, 7) AS input_ids, list_slice([-100 for x in ids] || ids || [2], 1, 7) AS labels FROM enc")
+@query("p31_supervised", f"WITH {ENC} SELECT id, list_slice(ids || ids || [2], 1, 129) AS input_ids, list_slice([-100 for x in ids] || ids || [2], 1, 129) AS labels FROM enc")
 def _(spark, d):
-    a, b = K.supervised(F.col("input_ids"), F.col("input_ids"), 2, 7)
+    a, b = K.supervised(F.col("input_ids"), F.col("input_ids"), 2, 129)
     return encoded(spark, d).select("id", a.alias("input_ids"), b.alias("labels"))
 
 
