@@ -1,13 +1,16 @@
 """Regular expressions to one minimal deterministic automaton over bytes.
 
 A small subset is compiled: literals, escapes, classes, groups, ``|`` and the
-greedy quantifiers.  The automaton searches: it accepts at every byte where a
-match of a rule ends, and its accepting states carry a bit for each rule.
+greedy quantifiers.  A searching automaton accepts at every byte where a match
+of a rule ends, and its accepting states carry a bit for each rule.  Compiled
+backwards and run over the reversed text it accepts where matches start.  An
+anchored one gives the longest match at a place.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -96,6 +99,16 @@ def _parse(pattern: str, fold: bool) -> Tree:
     return choice()
 
 
+def _mirrored(tree: Tree) -> Tree:
+    """The tree of what ``tree`` matches, read from the end."""
+    kind = tree[0]
+    if kind == "set":
+        return tree
+    if kind == "repeat":
+        return (kind, _mirrored(tree[1]), *tree[2:])
+    return (kind, [_mirrored(t) for t in (reversed(tree[1]) if kind == "all" else tree[1])])
+
+
 class _Nfa:
     def __init__(self) -> None:
         self.empty: list[list[int]] = []
@@ -156,27 +169,36 @@ class Automaton:
     def states(self) -> int:
         return len(self.step) // self.classes
 
-    def scan(self, text: bytes, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def scan(self, text: bytes, lanes: int = 4096, segment: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
         """Ends of matches (index of their last byte) and the bits of their rules.
 
-        The text is cut into lanes that step together; a lane that began in
-        another state than the one before it ended in is walked again until
-        it falls into step, so the result is that of one pass.
+        Memory beyond the text and the result is bounded by ``segment``: the
+        state is carried from one segment to the next.
         """
-        if not text:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        ends, bits, state = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], 0
+        for at in range(0, len(text), segment):
+            e, b, state = self._segment(text[at : at + segment], lanes, state)
+            ends.append(e + at)
+            bits.append(b)
+        return np.concatenate(ends), np.concatenate(bits)
+
+    def _segment(self, text: bytes, lanes: int, first: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The text is cut into lanes that step together; a lane that began in
+        another state than the one before it ended in is walked again until
+        it falls into step, so the result is that of one pass."""
         width = max(64, -(-len(text) // lanes))
         lanes = -(-len(text) // width)
         read = np.frombuffer(text.ljust(width * lanes, bytes([RESET])).translate(self.class_of), np.uint8)
         read = np.ascontiguousarray(read.reshape(lanes, width).T)
         path = np.empty((width, lanes), np.int32)
-        state = np.zeros(lanes, np.int32)
+        began = np.zeros(lanes, np.int32)
+        began[0] = first
+        state = began
         for t in range(width):
             np.take(self.step, state + read[t], out=path[t])
             state = path[t]
-        began = np.zeros(lanes, np.int32)
         while True:
-            wanted = np.concatenate([[0], path[-1, :-1]]).astype(np.int32)
+            wanted = np.concatenate([[first], path[-1, :-1]]).astype(np.int32)
             wrong = np.flatnonzero(wanted != began)
             if not len(wrong):
                 break
@@ -192,16 +214,43 @@ class Automaton:
         t, lane = np.nonzero(bits)
         ends = lane * width + t
         order = np.argsort(ends, kind="stable")
-        return ends[order], bits[t, lane][order]
+        last = len(text) - 1
+        return ends[order], bits[t, lane][order], int(path[last % width, last // width])
+
+    def longest(self, text: bytes, at: int) -> int:
+        """Of an anchored automaton: the end of the longest match that starts
+        at ``at``, or -1."""
+        step, accepts, class_of = self._lists
+        state, end = 0, -1
+        for i in range(at, len(text)):
+            state = step[state + class_of[text[i]]]
+            if state == self.dead:
+                break
+            if accepts[state]:
+                end = i + 1
+        return end
+
+    @cached_property
+    def _lists(self) -> tuple[list[int], list[int], bytes]:
+        return self.step.tolist(), self.accepts.tolist(), self.class_of
+
+    @cached_property
+    def dead(self) -> int:
+        """The state that nothing leads out of and that accepts nothing, or -1."""
+        table = self.step.reshape(-1, self.classes)
+        own = np.arange(len(table)) * self.classes
+        stuck = np.flatnonzero((table == own[:, None]).all(axis=1) & (self.accepts[own] == 0))
+        return int(own[stuck[0]]) if len(stuck) else -1
 
 
-def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
+def compile_rules(rules: list[tuple[str, bool]], backwards: bool = False, anchored: bool = False) -> Automaton:
     """One automaton for ``(pattern, ignore ASCII case)`` rules, bit i for rule i."""
     nfa = _Nfa()
     root = nfa.state()
     final = {}
     for i, (pattern, fold) in enumerate(rules):
-        final[nfa.add(_parse(pattern, fold), root)] = 1 << i
+        tree = _parse(pattern, fold)
+        final[nfa.add(_mirrored(tree) if backwards else tree, root)] = 1 << i
     if any(r and RESET in r[0] for r in nfa.reads):
         raise ValueError("no rule may read a line feed")
     # Bytes that no set tells apart share a class.
@@ -225,7 +274,7 @@ def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
     number, queue, table, bits = {start: 0}, [start], [], []
     for subset in queue:  # grows while it is walked
         bits.append(sum({final[s] for s in subset if s in final}))
-        targets = [set(start) for _ in sample]
+        targets = [set() if anchored else set(start) for _ in sample]
         for s in subset:
             for k, more in leads[s].items():
                 targets[k] |= more

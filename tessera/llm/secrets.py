@@ -1,14 +1,16 @@
-"""Secret scan: one combined deterministic automaton, then exact spans.
+"""Secret scan: all rules in one deterministic automaton over bytes.
 
 The automaton (see ``automaton``) passes once over all bytes of a batch for
-all rules.  It says which rules end a match in which texts; only there the
-rule's own expression then gives the leftmost, non-overlapping spans in code
-points.
+all rules and tells which rules match in which texts.  Only these texts are
+read again, from their ends, by the automaton of the mirrored rules: it accepts
+where matches start.  From the leftmost start the rule's own anchored automaton
+gives the longest match, then the search goes on behind it.
 """
 
-import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,15 +24,13 @@ from .common import arrow_map, small_batches, text_or_empty
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` gives the spans; those whose ``group`` is shorter than
-    ``least`` are dropped after they are matched.  ``probe`` is what the
-    automaton looks for: it must end inside every match that stays.  A probe
-    that stops early keeps the automaton small; it may only find too much."""
+    """``pattern`` gives leftmost, longest, non-overlapping spans; those with
+    fewer than ``least`` bytes after their longest ``head`` are dropped after
+    they are matched.  Patterns are of ASCII; ``fold`` ignores its case."""
 
     kind: str
     pattern: str
-    probe: str
-    group: int = 0
+    head: str = ""
     least: int = 0
     fold: bool = False
 
@@ -38,52 +38,92 @@ class Rule:
 _KEY = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 #: Fixed rules of the contract, then those that are added.
 BASE = (
-    Rule("assign", _KEY + r"([A-Za-z0-9+/_.=-]+)", _KEY + r"[A-Za-z0-9+/_.=-]", group=2, least=6, fold=True),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{3}", least=20),
-    Rule("hex", r"[0-9a-f]{24,}", r"[0-9a-f]{24}", least=24),
+    Rule("assign", _KEY + r"([A-Za-z0-9+/_.=-]+)", head=_KEY, least=6, fold=True),
+    Rule("access", r"AKIA[A-Z0-9]+", least=20),
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 ADDED = (
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\."),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
 
 
-def spans_of(text: str, rule: Rule) -> list[tuple[int, int]]:
-    flags = re.ASCII | (re.IGNORECASE if rule.fold else 0)
-    return [m.span() for m in re.compile(rule.pattern, flags).finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+@dataclass(frozen=True)
+class Machines:
+    """``ends`` searches for all rules, ``starts`` backwards; each rule has its
+    anchored automaton and that of its head."""
 
+    ends: Automaton
+    starts: Automaton
+    whole: tuple[Automaton, ...]
+    heads: tuple[Automaton | None, ...]
 
-def combined(rules: tuple[Rule, ...]) -> Automaton:
-    return compile_rules([(r.probe, r.fold) for r in rules])
 
+@lru_cache(maxsize=8)
+def combined(rules: tuple[Rule, ...]) -> Machines:
+    pairs = [(r.pattern, r.fold) for r in rules]
+    whole = tuple(compile_rules([p], anchored=True) for p in pairs)
+    heads = tuple(compile_rules([(r.head, r.fold)], anchored=True) if r.head else None for r in rules)
+    return Machines(compile_rules(pairs), compile_rules(pairs, backwards=True), whole, heads)
 
-def _finder(rules: tuple[Rule, ...], machine: Automaton):
-    def find(texts: list[bytes]) -> list[list[tuple[str, int, int]]]:
-        joined = b"\n".join(texts)
+
+def _spans(text: bytes, starts: list[int], rule: Rule, whole: Automaton, head: Automaton | None) -> Iterator[tuple[int, int]]:
+    """Byte spans of one rule; ``starts`` are all places where it matches."""
+    at = 0
+    while (i := bisect_left(starts, at)) < len(starts):
+        start = starts[i]
+        at = whole.longest(text, start)
+        value = head.longest(text[start : at - 1], 0) if head else 0
+        if at - start - value >= rule.least:
+            yield start, at
+
+
+def _finder(rules: tuple[Rule, ...], machines: Machines):
+    def owners(texts: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        ends, bits = machine.scan(joined)
+        own = np.searchsorted(begins, places, "right") - 1
+        return own, places - begins[own]
+
+    def find(texts: list[bytes]) -> list[list[tuple[str, int, int]]]:
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        marks = np.zeros(len(texts), np.uint32)
-        if len(ends):
-            np.bitwise_or.at(marks, np.searchsorted(begins, ends, "right") - 1, bits)
-        for i in np.flatnonzero(marks):
-            text = texts[i].decode()
-            hits = [(start, k, end) for k, rule in enumerate(rules) if marks[i] >> k & 1 for start, end in spans_of(text, rule)]
-            found[i] = [(rules[k].kind, start, end) for start, k, end in sorted(hits)]
+        ends, _ = machines.ends.scan(b"\n".join(texts))
+        if not len(ends):
+            return found
+        hit = np.unique(owners(texts, ends)[0])
+        some = [texts[i] for i in hit]
+        joined = b"\n".join(some)
+        places, bits = machines.starts.scan(joined[::-1])
+        own, places = owners(some, len(joined) - 1 - places[::-1])
+        bits = bits[::-1]
+        first = np.searchsorted(own, np.arange(len(some) + 1))
+        for i, text in enumerate(some):
+            mine, marks = places[first[i] : first[i + 1]], bits[first[i] : first[i + 1]]
+            hits = []
+            for k, rule in enumerate(rules):
+                starts = mine[marks >> k & 1 == 1].tolist()
+                hits += [(a, k, b) for a, b in _spans(text, starts, rule, machines.whole[k], machines.heads[k])]
+            # Code points: bytes that do not continue one.
+            point = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) if not text.isascii() else None
+            at = (lambda x: int(point[x - 1]) if x else 0) if point is not None else int
+            found[hit[i]] = [(rules[k].kind, at(a), at(b)) for a, k, b in sorted(hits)]
         return found
 
     return find
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, spans`` of every row, spans an array of ``kind, start, end`` by
-    start, then kind in the order of ``rules``.  Null texts are empty."""
+    """``doc_id, spans`` of every row, spans an array of ``kind, start, end`` (code
+    points) by start, then kind in the order of ``rules``.
 
-    machine = combined(rules)
+    Null and empty texts have no spans; repeated rows and ids each give their own
+    row; whole texts of any length are read, in segments.  Other columns, whatever
+    their names, are not read.  An empty table gives an empty one.
+    """
+    machines = combined(rules)
 
     def make():
-        find = _finder(rules, machine)
+        find = _finder(rules, machines)
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             spans = find(batch.column("text").cast(pa.binary()).to_pylist())
@@ -111,12 +151,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
     it is given and exists, holds the new length of changed texts.
     """
 
-    machine = combined(rules)
+    machines = combined(rules)
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = _finder(rules, machine)
+        find = _finder(rules, machines)
         for texts in batches:
             out = list(texts)
             at = 0

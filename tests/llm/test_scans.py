@@ -31,6 +31,27 @@ def test_scan_finds_what_the_expressions_find(spark):
     assert {i: [s for s in spans if s[0] in ("assign", "access", "hex")] for i, spans in got.items()} == {i: brute_spans(t or "") for i, t in enumerate(texts)}
 
 
+def test_spans_do_not_depend_on_segments_or_neighbours(monkeypatch):
+    texts = [t for t in random_texts(3000)] + ["token=" + "x" * 5000 + "é secret:abcdef", "deadbeef" * 900]
+    find = secrets._finder(secrets.RULES, secrets.combined(secrets.RULES))
+    scan = automaton.Automaton.scan
+    monkeypatch.setattr(automaton.Automaton, "scan", lambda self, text: scan(self, text, lanes=7, segment=1000))
+    got = [[s for s in spans if s[0] in ("assign", "access", "hex")] for spans in find([t.encode() for t in texts])]
+    assert got == [brute_spans(t) for t in texts]
+
+
+def test_scan_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "token=abcdef", "x", 5), (1, "token=abcdef", "y", 6), (None, "secret: 'éa", "z", 7)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string, kind int"))
+    assert got.columns == ["doc_id", "spans"]
+    assert sorted((r["doc_id"] or 0, len(r["spans"])) for r in got.collect()) == [(0, 0), (1, 1), (1, 1)]
+
+
+def test_longest_match_of_an_anchored_automaton():
+    machine = automaton.compile_rules([("a(b|bc)*d?", False)], anchored=True)
+    assert [machine.longest(b"xabcbdd", i) for i in (0, 1, 2)] == [-1, 6, -1]
+
+
 def test_added_rules(spark):
     text = "k eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.abcDEF123_-x and -----BEGIN RSA PRIVATE KEY-----"
     kinds = [s["kind"] for s in secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]]
@@ -51,7 +72,6 @@ def test_automaton_is_one_pass_whatever_the_lanes(lanes):
         assert got == want
 
 
-
 def test_redaction_keeps_rows_and_columns(odd_docs, no_docs):
     out = secrets.redact(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
