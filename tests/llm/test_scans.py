@@ -117,7 +117,7 @@ def test_too_many_rules_are_refused(spark, monkeypatch):
 
 
 def test_license_inheritance(spark):
-    apache, gpl = licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["GPL-3.0"]
+    apache, gpl = licenses.NOTICES["Apache-2.0"][0], licenses.NOTICES["GPL-3.0"][0]
     rows = [
         (1, "a/LICENSE", apache), (2, "a/b/code", "just some words here"), (3, "a/b/c/LICENSE", gpl), (4, "a/b/c/d/code", "other words\nfollow"),
         (5, "z/code", "nothing"), (6, "a/own", "first line of prose\n" + gpl + "\n" + "many words of the file " * 20), (7, None, None), (8, "a/b/x", ""),
@@ -138,3 +138,100 @@ def test_cosine_against_dense_vectors():
     got = licenses.cosine({"a": 2, "b": 1}, 1, {"a": 1, "c": 1}, idf)
     x, y = np.array([2 * 2, 1 * 1, 0, 3.0]), np.array([2, 0, 3, 0.0])
     assert got == pytest.approx(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+
+
+def wrapped(text, width=70):
+    import textwrap
+
+    return "\n".join(textwrap.wrap(text, width))
+
+
+PROSE = "the terms of the road and the use of this map are free to any person who will not change it under the rain "
+NOTICED = {
+    "inline": (PROSE + "Licensed under CC BY-NC 4.0. " + PROSE, "CC-BY-NC-4.0"),
+    "comment": ("# SPDX-License-Identifier: BSD-2-Clause\nimport os\n" + PROSE, "BSD-2-Clause"),
+    "header": ("/* " + wrapped(licenses.NOTICES["GPL-2.0"][1]).replace("\n", "\n * ") + " */\nint main() {}\n" + PROSE * 3, "GPL-2.0"),
+    "lesser": (PROSE + "under the GNU Lesser General Public License, version 3. " + PROSE, "LGPL-3.0"),
+    "rights": (PROSE + "(c) Some Firm. All rights reserved.", "proprietary"),
+    "prose": (PROSE * 4, None),
+    "tag of another": ("SPDX-License-Identifier: Sleepycat\n" + PROSE, None),
+}
+
+
+def test_notices_inside_lines_and_texts(spark):
+    docs = spark.createDataFrame([(i, k, t) for i, (k, (t, _)) in enumerate(NOTICED.items())], "doc_id long, p string, text string")
+    got = {r["path"]: r["own_license"] for r in licenses.licenses(docs, F.col("p")).collect()}
+    assert got == {k: want for k, (_, want) in NOTICED.items()}
+
+
+def test_real_licence_files_pass_their_license_on(spark):
+    rows = []
+    for i, (name, text) in enumerate(licenses.FILES.items()):
+        body = f"{name} License\n\nCopyright (c) 2020 Some One, of a town\n\n" + wrapped(text)
+        rows += [(2 * i, f"{name}/LICENSE", body + ("\n\nfurther paragraphs follow here " * 200 if "GNU" in text else "")), (2 * i + 1, f"{name}/src/code", PROSE)]
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()
+    assert {r["path"]: (r["own_license"], r["license"]) for r in got} == {p: (None if "src" in p else p.split("/")[0], p.split("/")[0]) for _, p, _ in rows}
+
+
+def brute_licenses(rows, templates):
+    import numpy as np
+
+    vocabulary = sorted({w for t in templates for w in licenses.words(t.text)})
+    texts = [licenses.words(t or "") for _, _, t in rows]
+    idf = np.array([np.log((1 + len(rows)) / (1 + sum(w in t for t in texts))) + 1 for w in vocabulary])
+    vector = lambda ws: np.array([ws.count(w) for w in vocabulary]) * idf
+    own, files = {}, {}
+    for (i, path, _), text in zip(rows, texts):
+        scored = []
+        for j, t in enumerate(templates):
+            ws = licenses.words(t.text)
+            n = len(ws) if t.whole else min(3, len(ws))
+            grams = {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+            runs = []
+            for k in [k for k in range(len(text) - n + 1) if tuple(text[k : k + n]) in grams]:
+                if runs and k - runs[-1][1] <= licenses.GAP:
+                    runs[-1][1] = k
+                else:
+                    runs.append([k, k])
+            for a, b in runs:
+                part = text[a : b + n]
+                x, y, other = vector(part), vector(ws), sum(w not in vocabulary for w in part) * idf.max() ** 2
+                scored.append((round(float(x @ y / np.sqrt((x @ x + other) * (y @ y))), 9), len(part), -j))
+        best, size, j = max(scored, default=(0.0, 0, 0))
+        own[i] = templates[-j].license if best >= licenses.NEAR else None
+        if own[i] and (size >= 0.5 * len(text) or any(s >= 0.8 and templates[-k].file and templates[-k].license == own[i] for s, _, k in scored)):
+            files.setdefault(path.rpartition("/")[0], []).append((best, -i, own[i]))
+    out = {}
+    for i, path, _ in rows:
+        at = path
+        while own[i] is None and at:
+            at = at.rpartition("/")[0]
+            if at in files:
+                break
+        out[i] = (own[i], own[i] or (max(files[at])[2] if at in files else None), at if own[i] is None and at in files else None)
+    return out
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(8)
+    bits = [t.text for t in licenses.TEMPLATES] + [" ".join(t.text.split()[:6]) for t in licenses.TEMPLATES] + [PROSE, "one two three four", "version 3", "of the License"]
+    rows = []
+    for i in range(300):
+        path = "/".join(rng.choice("abc") for _ in range(rng.randint(0, 3))) + f"/f{i}"
+        rows.append((i, path.lstrip("/"), " ".join(rng.choice(bits) for _ in range(rng.randint(0, 3))) if rng.random() < 0.5 else PROSE))
+    rows += [(300, "a/b/same", rows[0][2]), (301, "a/none", None), (302, "f", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("terms", F.lit(1)).withColumn("own_license", F.lit("x"))
+    got = {r["doc_id"]: (r["own_license"], r["license"], r["inherited_from"]) for r in licenses.licenses(docs, F.col("path")).collect()}
+    assert got == brute_licenses(rows, licenses.TEMPLATES)
+
+
+def test_passages_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(3)
+    bits = [*(t.text for t in licenses.TEMPLATES), PROSE, "x " * 20]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(60)]
+    find = licenses.Finder(licenses.TEMPLATES)
+    key = lambda x: (sorted(x[0]), sorted((j, n, sorted(c.items())) for j, n, c in x[1]), x[2])
+    whole = [key(find(t)) for t in texts]
+    for size in (1, 17, 150, 700):
+        monkeypatch.setattr(licenses, "PIECE", size)
+        assert [key(find(t)) for t in texts] == whole
