@@ -87,26 +87,58 @@ def class_shares(counts: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("label"))).select("label", "client", "share")
 
 
-def null_kl(counts: DataFrame, sims: int, seed: int = 0) -> DataFrame:
-    """``client, kl, mean_null, sd_null, z, p_value``: each client's labels are
-    redrawn ``sims`` times from the global mix.  Draws are expanded from the
-    count matrix, counted map-side, and leave as (sim, client, label) cells."""
+#: Most elements of an array that a row of draws is expanded by.
+BLOCK = 1 << 16
+
+
+def numbered(df: DataFrame, n: str, name: str, keys: list[str]) -> DataFrame:
+    """Each row ``n`` times, ``name`` from 1 to ``n``.  Rows are dealt by ``keys`` in
+    blocks of BLOCK, so no task and no array holds a large row's copies whole."""
+    start = F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"), F.lit(BLOCK).cast("long"))))
+    blocks = df.select("*", start.alias("_from")).repartition(*keys, "_from")
+    own = F.sequence("_from", F.least(F.col("_from") + (BLOCK - 1), F.col(n).cast("long")))
+    return blocks.select("*", F.explode(own).alias(name)).drop("_from")
+
+
+def null_draws(counts: DataFrame, sims: int, seed: int = 0) -> DataFrame:
+    """``sim, client, kl_null``: each client's labels are redrawn ``sims`` times from
+    the global mix.  Draws are expanded from the count matrix, counted map-side,
+    and leave as (sim, client, label) cells."""
     s = shares(counts)
-    labels = [r["label"] for r in s.select("label").distinct().orderBy("label").collect()]
     q = s.groupBy("label").agg(F.max("q").alias("q"))
     cum = q.agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "q"))), lambda x: x["q"]).alias("q"))
     cum = cum.select(F.transform(F.sequence(F.lit(1), F.size("q")), lambda i: F.aggregate(F.slice("q", 1, i), F.lit(0.0), lambda a, b: a + b)).alias("cum"))
     sizes = s.groupBy("client").agg(F.max("n_client").alias("n_client")).filter("n_client > 0")
     runs = sizes.join(F.broadcast(cum)).select("client", "n_client", "cum", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-    drawn = runs.repartition("client", "sim").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_client"))).alias("i")).withColumn("_u", u(seed, "null", "sim", "client", "i"))
-    place = F.least(F.size(F.filter("cum", lambda c: c <= F.col("_u"))), F.lit(len(labels) - 1))
+    drawn = numbered(runs, "n_client", "i", ["client", "sim"]).withColumn("_u", u(seed, "null", "sim", "client", "i"))
+    place = F.least(F.size(F.filter("cum", lambda c: c <= F.col("_u"))), F.size("cum") - 1)
     cells = drawn.groupBy("sim", "client", place.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("n_client").alias("n_client"))
     by_k = F.broadcast(q.withColumn("k", F.row_number().over(W.orderBy("label")) - 1).select("k", "q"))
-    sim = cells.join(by_k, "k").groupBy("sim", "client").agg(F.sum((F.col("n") / F.col("n_client")) * F.log(F.col("n") / F.col("n_client") / F.col("q"))).alias("kl_null"))
-    seen = kl_to_global(counts)
-    joined = sim.join(F.broadcast(seen), "client")
-    out = joined.groupBy("client").agg(F.max("kl").alias("kl"), F.avg("kl_null").alias("mean_null"), F.stddev_samp("kl_null").alias("sd_null"), ((1 + F.count_if(F.col("kl_null") >= F.col("kl"))) / (sims + 1)).alias("p_value"))
-    return out.withColumn("z", F.when(F.col("sd_null") > 0, (F.col("kl") - F.col("mean_null")) / F.col("sd_null")).otherwise(0.0))
+    return cells.join(by_k, "k").groupBy("sim", "client").agg(F.sum((F.col("n") / F.col("n_client")) * F.log(F.col("n") / F.col("n_client") / F.col("q"))).alias("kl_null"))
+
+
+def _against_null(sims: int) -> list[Column]:
+    seen, null = F.col("kl"), F.col("kl_null")
+    return [F.max(seen).alias("kl"), F.avg(null).alias("mean_null"), F.stddev_samp(null).alias("sd_null"), ((1 + F.count_if(null >= seen)) / (sims + 1)).alias("p_value")]
+
+
+def _z() -> Column:
+    return F.when(F.col("sd_null") > 0, (F.col("kl") - F.col("mean_null")) / F.col("sd_null")).otherwise(0.0)
+
+
+def null_kl(counts: DataFrame, sims: int, seed: int = 0) -> DataFrame:
+    """``client, kl, mean_null, sd_null, p_value, z`` of each client against ``null_draws``."""
+    joined = null_draws(counts, sims, seed).join(F.broadcast(kl_to_global(counts)), "client")
+    return joined.groupBy("client").agg(*_against_null(sims)).withColumn("z", _z())
+
+
+def null_mean_kl(counts: DataFrame, sims: int, seed: int = 0) -> DataFrame:
+    """One row ``kl, mean_null, sd_null, p_value, low, high, z`` of the mean over clients
+    that hold rows; ``low`` and ``high`` bound 95 % of the null means."""
+    seen = kl_to_global(counts).filter("n_client > 0").agg(F.avg("kl").alias("kl"))
+    means = null_draws(counts, sims, seed).groupBy("sim").agg(F.avg("kl_null").alias("kl_null")).join(F.broadcast(seen))
+    ends = [F.percentile("kl_null", p).alias(name) for name, p in (("low", 0.025), ("high", 0.975))]
+    return means.agg(*_against_null(sims), *ends).withColumn("z", _z())
 
 
 def null_sizes(counts: DataFrame, sims: int, seed: int = 0) -> DataFrame:
@@ -114,8 +146,8 @@ def null_sizes(counts: DataFrame, sims: int, seed: int = 0) -> DataFrame:
     sizes = counts.groupBy("client").agg(F.sum("n").alias("n_client"))
     seen = variation(sizes).join(gini(sizes))
     both = sizes.agg(F.sum("n_client").alias("total"), F.count(F.lit(1)).alias("c"))
-    runs = both.select("total", "c", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim")).repartition("sim")
-    drawn = runs.select("sim", "c", F.explode(F.sequence(F.lit(1).cast("long"), "total")).alias("i"))
+    runs = both.select("total", "c", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
+    drawn = numbered(runs, "total", "i", ["sim"])
     cells = drawn.groupBy("sim", F.floor(u(seed, "size", "sim", "i") * F.col("c")).cast("int").alias("client")).agg(F.count(F.lit(1)).alias("n"))
     grid = runs.select("sim", F.explode(F.sequence(F.lit(0), (F.col("c") - 1).cast("int"))).alias("client"))
     full = grid.join(cells, ["sim", "client"], "left").select("sim", "client", F.coalesce("n", F.lit(0)).alias("n"))
@@ -190,8 +222,7 @@ def simulate_grid(df: DataFrame, labels: list[str], clients: int, alphas: list[f
                 plan.append((a, s, label, c, hi))
     cuts = spark.createDataFrame(plan, "alpha double, sim int, label string, client int, hi double").groupBy("alpha", "sim", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("client", "hi"))), lambda x: x["hi"]).alias("cuts"))
     sizes = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    drawn = cuts.join(F.broadcast(sizes), "label").select("alpha", "sim", "label", "cuts", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
-    drawn = drawn.withColumn("_u", u(seed, "grid", "alpha", "sim", "label", "i"))
+    drawn = numbered(cuts.join(F.broadcast(sizes), "label"), "n", "i", ["alpha", "sim", "label"]).withColumn("_u", u(seed, "grid", "alpha", "sim", "label", "i"))
     cells = drawn.groupBy("alpha", "sim", "label", F.size(F.filter("cuts", lambda c: c <= F.col("_u"))).alias("client")).agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n").alias("all"))
     q = F.broadcast(sizes.join(F.broadcast(total)).select("label", (F.col("n") / F.col("all")).alias("q")))
@@ -220,3 +251,12 @@ def skew_class(alpha: Column, z: Column, label_p: Column, cv_p: Column, gini_p:
 def dirichlet_consistent(mean_coverage: Column, nonzero: Column, alpha: Column) -> Column:
     """Whether a split looks like a Dirichlet one: coverage, filled cells, alpha."""
     return (mean_coverage >= 2.0) & (nonzero >= 0.35) & alpha.between(0.2, 0.8)
+
+
+def classify(counts: DataFrame, alphas: list[float], sims: int, seed: int = 0) -> DataFrame:
+    """One row ``strength, kind, consistent``: the skew of a split from its likeliest
+    alpha, the null tests of mean KL and sizes, and the cells that hold rows."""
+    filled = counts.agg((F.count_if(F.col("n") > 0) / F.countDistinct("label")).alias("coverage"), F.avg((F.col("n") > 0).cast("int")).alias("nonzero"))
+    facts = concentration(counts, alphas).select("alpha").join(null_mean_kl(counts, sims, seed)).join(null_sizes(counts, sims, seed)).join(filled)
+    found = facts.select(skew_class(F.col("alpha"), F.col("z"), F.col("p_value"), F.col("p_cv"), F.col("p_gini")).alias("c"), dirichlet_consistent(F.col("coverage"), F.col("nonzero"), F.col("alpha")).alias("consistent"))
+    return found.select("c.*", "consistent")

@@ -113,25 +113,38 @@ def _(spark, d):
 SIMS = 40
 
 
-@query("h14_null_kl", f"""WITH {COUNTS}, q AS (SELECT label, max(q) AS q, row_number() OVER (ORDER BY label) - 1 AS k FROM shares GROUP BY label),
+NULL_KL = f"""q AS (SELECT label, max(q) AS q, row_number() OVER (ORDER BY label) - 1 AS k FROM shares GROUP BY label),
     cum AS (SELECT label, k, q, coalesce(sum(q) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, CASE WHEN k = 3 THEN 2.0 ELSE sum(q) OVER (ORDER BY k) END AS hi FROM q),
     size AS (SELECT client, max(nc) AS nc FROM shares GROUP BY client HAVING max(nc) > 0),
     draws AS (SELECT client, nc, sim, unnest(range(1, nc::BIGINT + 1)) AS i FROM (SELECT client, nc, unnest(range({SIMS}))::INT AS sim FROM size)),
     un AS (SELECT client, nc, sim, {sql_u(SEED, 'null', 'sim', 'client', 'i')} AS u FROM draws),
     cell AS (SELECT un.client, sim, cum.k, count(*) AS n, max(nc) AS nc, max(q) AS q FROM un JOIN cum ON u >= lo AND u < hi GROUP BY ALL),
-    sim_kl AS (SELECT client, sim, sum(n / nc * ln(n / nc / q)) AS kl0 FROM cell GROUP BY ALL), seen AS (SELECT client, sum({KL}) AS kl FROM shares GROUP BY client)
+    sim_kl AS (SELECT client, sim, sum(n / nc * ln(n / nc / q)) AS kl0 FROM cell GROUP BY ALL), seen AS (SELECT client, sum({KL}) AS kl FROM shares GROUP BY client),
+    sim_mean AS (SELECT sim, avg(kl0) AS kl0 FROM sim_kl GROUP BY sim), seen_mean AS (SELECT avg(kl) AS kl FROM seen JOIN size USING (client)),
+    mean_test AS (SELECT max(kl) AS kl, avg(kl0) AS mean_null, (max(kl) - avg(kl0)) / stddev_samp(kl0) AS z, (1 + count(*) FILTER (WHERE kl0 >= kl)) / {SIMS + 1} AS p_value,
+        quantile_cont(kl0, 0.025) AS low, quantile_cont(kl0, 0.975) AS high FROM sim_mean CROSS JOIN seen_mean)"""
+NULL_SIZES = f"""sizes AS (SELECT client, sum(n)::BIGINT AS n_client FROM counts GROUP BY client),
+    runs AS (SELECT unnest(range({SIMS}))::INT AS sim), dealt AS (SELECT sim, unnest(range(1, (SELECT sum(n_client)::BIGINT FROM sizes) + 1)) AS i FROM runs),
+    held AS (SELECT sim, floor({sql_u(SEED, 'size', 'sim', 'i')} * {CLIENTS})::INT AS client, count(*) AS n FROM dealt GROUP BY ALL),
+    full_ AS (SELECT r.sim, c.client, coalesce(n, 0) AS n FROM runs r CROSS JOIN clients_ c LEFT JOIN held ON held.sim = r.sim AND held.client = c.client),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY n, client) AS i FROM full_),
+    st AS (SELECT sim, stddev_samp(n) / avg(n) AS cv0, 2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*) AS g0 FROM ranked GROUP BY sim),
+    seen_sizes AS (SELECT stddev_samp(n_client) / avg(n_client) AS cv, 2 * sum(i * n_client) / (count(*) * sum(n_client)) - (count(*) + 1) / count(*) AS g FROM (SELECT n_client, row_number() OVER (ORDER BY n_client) AS i FROM sizes)),
+    size_test AS (SELECT max(cv) AS cv, max(g) AS gini, (1 + count(*) FILTER (WHERE cv0 >= cv - 1e-12)) / {SIMS + 1} AS p_cv, (1 + count(*) FILTER (WHERE g0 >= g - 1e-12)) / {SIMS + 1} AS p_gini FROM st CROSS JOIN seen_sizes)"""
+
+
+@query("h14_null_kl", f"""WITH {COUNTS}, {NULL_KL}
     SELECT client, round(max(kl), 8) AS kl, round(avg(kl0), 8) AS mean_null, round((1 + count(*) FILTER (WHERE kl0 >= kl)) / {SIMS + 1}, 8) AS p_value FROM sim_kl JOIN seen USING (client) GROUP BY client""")
 def _(spark, d):
     return H.null_kl(counts(spark, d), SIMS, SEED).select("client", *[F.round(c, 8).alias(c) for c in ("kl", "mean_null", "p_value")])
 
 
-@query("h15_null_sizes", f"""WITH {SIZES}, runs AS (SELECT unnest(range({SIMS}))::INT AS sim), draws AS (SELECT sim, unnest(range(1, (SELECT sum(n_client)::BIGINT FROM sizes) + 1)) AS i FROM runs),
-    cell AS (SELECT sim, floor({sql_u(SEED, 'size', 'sim', 'i')} * {CLIENTS})::INT AS client, count(*) AS n FROM draws GROUP BY ALL),
-    full_ AS (SELECT r.sim, c.client, coalesce(n, 0) AS n FROM runs r CROSS JOIN clients_ c LEFT JOIN cell ON cell.sim = r.sim AND cell.client = c.client),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY n, client) AS i FROM full_),
-    st AS (SELECT sim, stddev_samp(n) / avg(n) AS cv0, 2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*) AS g0 FROM ranked GROUP BY sim),
-    seen AS (SELECT stddev_samp(n_client) / avg(n_client) AS cv, 2 * sum(i * n_client) / (count(*) * sum(n_client)) - (count(*) + 1) / count(*) AS g FROM (SELECT n_client, row_number() OVER (ORDER BY n_client) AS i FROM sizes))
-    SELECT round(max(cv), 8) AS cv, round(max(g), 8) AS gini, round((1 + count(*) FILTER (WHERE cv0 >= cv - 1e-12)) / {SIMS + 1}, 8) AS p_cv, round((1 + count(*) FILTER (WHERE g0 >= g - 1e-12)) / {SIMS + 1}, 8) AS p_gini FROM st CROSS JOIN seen""")
+@query("h14b_null_mean_kl", f"WITH {COUNTS}, {NULL_KL} SELECT round(kl, 8) AS kl, round(mean_null, 8) AS mean_null, round(z, 4) AS z, round(p_value, 8) AS p_value, round(low, 8) AS low, round(high, 8) AS high FROM mean_test")
+def _(spark, d):
+    return H.null_mean_kl(counts(spark, d), SIMS, SEED).select(*[F.round(c, 4 if c == "z" else 8).alias(c) for c in ("kl", "mean_null", "z", "p_value", "low", "high")])
+
+
+@query("h15_null_sizes", f"WITH {COUNTS}, {NULL_SIZES} SELECT round(cv, 8) AS cv, round(gini, 8) AS gini, round(p_cv, 8) AS p_cv, round(p_gini, 8) AS p_gini FROM size_test")
 def _(spark, d):
     return H.null_sizes(counts(spark, d), SIMS, SEED).select(*[F.round(c, 8).alias(c) for c in ("cv", "gini", "p_cv", "p_gini")])
 
@@ -181,11 +194,14 @@ def _(spark, d):
     return sim.groupBy("sim").agg(F.round(F.min_by("alpha", F.struct(F.round(F.abs(F.col("mean_kl") - 0.4), 9), "alpha")), 6).alias("best"))
 
 
-@query("h20_skew_class", f"""WITH {LL}, s AS (SELECT alpha, sum(ll) AS ll FROM ll GROUP BY alpha), a AS (SELECT arg_max(alpha, ll) AS a FROM s)
-    SELECT CASE WHEN a >= 1 THEN 'weak' WHEN a <= 0.3 THEN 'strong' ELSE 'medium' END AS strength, 'label skew' AS kind, a BETWEEN 0.2 AND 0.8 AS consistent FROM a""")
+@query("h20_skew_class", f"""WITH {LL}, {NULL_KL}, {NULL_SIZES}, s AS (SELECT alpha, sum(ll) AS ll FROM ll GROUP BY alpha), a AS (SELECT arg_max(alpha, ll) AS a FROM s),
+    filled AS (SELECT sum((n > 0)::INT) / count(DISTINCT label) AS coverage, avg((n > 0)::INT) AS nonzero FROM counts),
+    facts AS (SELECT a, z, coverage, nonzero, p_value < 0.05 AS label_skew, p_cv < 0.05 OR p_gini < 0.05 AS size_skew FROM a CROSS JOIN mean_test CROSS JOIN size_test CROSS JOIN filled)
+    SELECT CASE WHEN a >= 1 AND z < 2 THEN 'weak' WHEN a <= 0.3 OR z >= 4 THEN 'strong' ELSE 'medium' END AS strength,
+        CASE WHEN label_skew AND size_skew THEN 'mixed' WHEN label_skew THEN 'label skew' WHEN size_skew THEN 'quantity skew' ELSE 'near-IID' END AS kind,
+        coverage >= 2 AND nonzero >= 0.35 AND a BETWEEN 0.2 AND 0.8 AS consistent FROM facts""")
 def _(spark, d):
-    best = H.concentration(counts(spark, d), ALPHAS)
-    return best.select(H.skew_class(F.col("alpha"), F.lit(0.0), F.lit(0.01), F.lit(0.2), F.lit(0.3)).alias("c"), H.dirichlet_consistent(F.lit(9.0), F.lit(0.9), F.col("alpha")).alias("consistent")).select("c.*", "consistent")
+    return H.classify(counts(spark, d), ALPHAS, SIMS, SEED)
 
 
 UNIT_SPLIT = f"{UNITS}, {QA}, placed AS (SELECT DISTINCT image_id, floor({sql_u(SEED, 'unit', 'image_id')} * 10)::INT AS client FROM questions), asked AS (SELECT * FROM questions JOIN placed USING (image_id))"

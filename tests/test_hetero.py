@@ -32,3 +32,31 @@ def test_log_gamma_is_that_of_the_library(spark):
     xs = [0.01, 0.02, 0.5, 0.99, 1.0, 1.5, 3.0, 10.0, 171.0, 5000.5]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(H.lgamma(F.col("x"))).collect()]
     assert got == pytest.approx([math.lgamma(x) for x in xs], rel=1e-10, abs=1e-10)
+
+
+def matrix(spark, cells):
+    return spark.createDataFrame([(c, str(k), n) for c, row in enumerate(cells) for k, n in enumerate(row)], "client int, label string, n long")
+
+
+def test_draws_do_not_depend_on_blocks(spark, monkeypatch):
+    counts = matrix(spark, [[30, 20, 0], [0, 0, 0], [5, 70, 9]])
+    whole = sorted(map(tuple, H.null_draws(counts, 4, 7).collect()))
+    monkeypatch.setattr(H, "BLOCK", 8)
+    assert sorted(map(tuple, H.null_draws(counts, 4, 7).collect())) == [pytest.approx(r) for r in whole]
+    own = H.numbered(spark.createDataFrame([("a", 17), ("b", 8), ("c", 0)], "k string, n long"), "n", "i", ["k"]).collect()
+    assert sorted((r["k"], r["i"]) for r in own) == [("a", i) for i in range(1, 18)] + [("b", i) for i in range(1, 9)]
+
+
+@pytest.mark.parametrize(
+    ("cells", "want"),
+    [
+        ([[100, 100]] * 8, ("weak", "near-IID")),
+        ([[200, 0], [0, 200]] * 4, ("strong", "label skew")),
+        ([[400, 400], [20, 20], [100, 100], [5, 5]] * 2, (None, "quantity skew")),
+        ([[900, 5], [1, 40], [3, 500], [30, 0]] * 2, ("strong", "mixed")),
+    ],
+)
+def test_classes_follow_the_counts(spark, cells, want):
+    got = H.classify(matrix(spark, cells), H.alpha_grid(40), 60, 1).first()
+    strength, kind = want
+    assert got["kind"] == kind and strength in (None, got["strength"])
