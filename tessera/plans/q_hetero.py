@@ -218,12 +218,19 @@ def _(spark, d):
     return own.groupBy("client").agg(F.countDistinct("image_id").alias("images"), F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("k"), F.lit(0)).alias("annotations"))
 
 
-@query("h22_partition_summary", f"""WITH {COUNTS}, m AS (SELECT *, (p + q) / 2 AS m FROM shares), c AS (SELECT client, max(nc) AS n, sum({KL}) AS kl FROM m GROUP BY client)
-    SELECT sum(n)::BIGINT AS total, list(n::BIGINT ORDER BY client) AS sizes, round(avg(kl), 9) AS mean_kl, round(max(kl), 9) AS max_kl FROM c""")
+@query("h22_partition_summary", f"""WITH {COUNTS}, m AS (SELECT *, (p + q) / 2 AS m FROM shares),
+    c AS (SELECT client, max(nc) AS n, sum({KL}) AS kl, 0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / m) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / m) ELSE 0 END) AS js, sum(abs(p - q)) AS l1 FROM m GROUP BY client)
+    SELECT sum(n)::BIGINT AS total, list(n::BIGINT ORDER BY client) AS sizes, count(*) FILTER (WHERE n = 0) AS empty_clients,
+        {', '.join(f"round(avg({x}), 9) AS mean_{x}, round(max({x}), 9) AS max_{x}" for x in ('kl', 'js', 'l1'))},
+        sum(n)::BIGINT = (SELECT count(*) FROM ids) AND (SELECT count(DISTINCT id) FROM assigned) = (SELECT count(*) FROM ids) AS exact_cover FROM c""")
 def _(spark, d):
-    per = H.kl_to_global(counts(spark, d))
+    own = counts(spark, d)
+    per = H.kl_to_global(own).select("client", "n_client").join(H.divergences(own), "client")
     sizes_ = F.transform(F.array_sort(F.collect_list(F.struct("client", "n_client"))), lambda x: x["n_client"])
-    return per.agg(F.sum("n_client").alias("total"), sizes_.alias("sizes"), F.round(F.avg("kl"), 9).alias("mean_kl"), F.round(F.max("kl"), 9).alias("max_kl"))
+    spread = [f(x).alias(f"{name}_{x}") for x in ("kl", "js", "l1") for name, f in (("mean", lambda c: F.round(F.avg(c), 9)), ("max", lambda c: F.round(F.max(c), 9)))]
+    total = per.agg(F.sum("n_client").alias("total"), sizes_.alias("sizes"), F.count_if(F.col("n_client") == 0).alias("empty_clients"), *spread)
+    cover = validate.exact_cover(ids(spark, d).select("id"), assigned(spark, d).select("id")).select(F.col("ok").alias("exact_cover"))
+    return total.join(cover)
 
 
 @query("v01_exact_cover", f"WITH {ASSIGNED}, s AS (SELECT id FROM assigned WHERE id % 97 <> 0 UNION ALL SELECT id FROM assigned WHERE id % 50 = 0), g AS (SELECT id, count(*) AS n FROM s GROUP BY id) SELECT (SELECT count(*) FROM g WHERE n > 1) AS repeated, (SELECT count(*) FROM ids WHERE id NOT IN (SELECT id FROM s)) AS missing, (SELECT count(*) FROM g WHERE id NOT IN (SELECT id FROM ids)) AS extra, FALSE AS ok")
