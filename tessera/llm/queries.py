@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, licenses, packing, quality, repeats, secrets, sentencepiece_nbest, simhash, url_filter
+from . import embedding_dedup, exact_dedup, licenses, packing, periods, pii, quality, repeats, secrets, sentencepiece_nbest, simhash, url_filter, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,31 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", text), ",").alias("spans"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(periods.with_planted_runs(table(spark, sf_dir, "documents")), least=6, power=4)
+    top = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start as start, -r.period as period)))")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = found.withColumn("top", top).select("*", F.col("top.length").alias("length"), (-F.col("top.start")).alias("start"), (-F.col("top.period")).alias("period"))
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), most=32)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_secrets, op4_embeddings, op5_url_filter, op6_sentencepiece, op7_packing, op8_licenses, op9_repeats, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_simhash, op3_secrets, op4_embeddings, op5_url_filter, op6_sentencepiece, op7_packing, op8_licenses, op9_repeats, op10_exact_dedup, op11_pii, op12_periodic_runs, op13_whitening)}
 
 
 ORACLE = {
