@@ -30,3 +30,41 @@ def exact_rank(df: DataFrame, keys: list[str], order: str, ties: list[str], name
     within = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(order, *ties))
     ranked = own.withColumn("_nth", within).join(offsets, [*keys, "_bucket"])
     return ranked.withColumn(name, (F.col("_first") + F.col("_nth") - 1).cast("long")).drop("_bucket", "_nth", "_first")
+
+
+#: Most elements of an array that a row is expanded by.
+BLOCK = 1 << 16
+
+
+def numbered(df: DataFrame, n: str, name: str, keys: list[str]) -> DataFrame:
+    """Each row ``n`` times, ``name`` from 0 to ``n - 1``.  Rows are dealt by ``keys`` in
+    blocks of BLOCK, so no task and no array holds a large row's copies whole."""
+    start = F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1, F.lit(BLOCK).cast("long"))))
+    blocks = df.select("*", start.alias("_from")).repartition(*keys, "_from")
+    own = F.sequence("_from", F.least(F.col("_from") + BLOCK, F.col(n).cast("long")) - 1)
+    return blocks.select("*", F.explode(own).alias(name)).drop("_from")
+
+
+#: Rounds of a keyed permutation: each moves half of the places.
+ROUNDS = 24
+
+
+def permutation_keys(seed: int, salt: str, n: Column | str, *ids: str) -> Column:
+    """The keys of a permutation of 0 to ``n - 1``: one random place for each round."""
+    size = F.col(n) if isinstance(n, str) else n
+    return F.array(*[F.floor(u(seed, f"{salt}-key{i}", *ids) * size).cast("long") for i in range(ROUNDS)])
+
+
+def permuted(place: Column | str, n: Column | str, keys: Column | str, seed: int, salt: str, *ids: str) -> Column:
+    """Where a pseudo-random permutation of 0 to ``n - 1``, keyed by ``(seed, salt, ids)``, puts
+    ``place``.  A round pairs each place x with ``key - x`` modulo n and swaps the pair if a
+    hash of its larger member says so; it holds for any n, so no value is tried again."""
+    place, size, held = (F.col(c) if isinstance(c, str) else c for c in (place, n, keys))
+    own = [F.lit(str(seed)), F.lit(f"{salt}-swap"), *[F.col(i).cast("string") for i in ids]]
+
+    def swap(x: Column, i: Column) -> Column:
+        other = F.pmod(F.get(held, i) - x, size)
+        text = F.concat_ws("::", *own, i.cast("string"), F.greatest(x, other).cast("string"))
+        return F.when(F.substring(F.md5(text), 1, 1) < "8", other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), place.cast("long"), swap)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import draws
 from ..functions.rng import u
 
 
@@ -87,34 +88,17 @@ def class_shares(counts: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("label"))).select("label", "client", "share")
 
 
-#: Most elements of an array that a row of draws is expanded by.
-BLOCK = 1 << 16
-
-
-def numbered(df: DataFrame, n: str, name: str, keys: list[str]) -> DataFrame:
-    """Each row ``n`` times, ``name`` from 1 to ``n``.  Rows are dealt by ``keys`` in
-    blocks of BLOCK, so no task and no array holds a large row's copies whole."""
-    start = F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"), F.lit(BLOCK).cast("long"))))
-    blocks = df.select("*", start.alias("_from")).repartition(*keys, "_from")
-    own = F.sequence("_from", F.least(F.col("_from") + (BLOCK - 1), F.col(n).cast("long")))
-    return blocks.select("*", F.explode(own).alias(name)).drop("_from")
-
-
 def null_draws(counts: DataFrame, sims: int, seed: int = 0) -> DataFrame:
-    """``sim, client, kl_null``: each client's labels are redrawn ``sims`` times from
-    the global mix.  Draws are expanded from the count matrix, counted map-side,
-    and leave as (sim, client, label) cells."""
-    s = shares(counts)
-    q = s.groupBy("label").agg(F.max("q").alias("q"))
-    cum = q.agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "q"))), lambda x: x["q"]).alias("q"))
-    cum = cum.select(F.transform(F.sequence(F.lit(1), F.size("q")), lambda i: F.aggregate(F.slice("q", 1, i), F.lit(0.0), lambda a, b: a + b)).alias("cum"))
-    sizes = s.groupBy("client").agg(F.max("n_client").alias("n_client")).filter("n_client > 0")
-    runs = sizes.join(F.broadcast(cum)).select("client", "n_client", "cum", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-    drawn = numbered(runs, "n_client", "i", ["client", "sim"]).withColumn("_u", u(seed, "null", "sim", "client", "i"))
-    place = F.least(F.size(F.filter("cum", lambda c: c <= F.col("_u"))), F.size("cum") - 1)
-    cells = drawn.groupBy("sim", "client", place.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("n_client").alias("n_client"))
-    by_k = F.broadcast(q.withColumn("k", F.row_number().over(W.orderBy("label")) - 1).select("k", "q"))
-    return cells.join(by_k, "k").groupBy("sim", "client").agg(F.sum((F.col("n") / F.col("n_client")) * F.log(F.col("n") / F.col("n_client") / F.col("q"))).alias("kl_null"))
+    """``sim, client, kl_null``: each client's labels are redrawn ``sims`` times from the
+    global mix.  A draw is a multinomial of the client's size, so its cost does not
+    depend on how many rows the client has."""
+    mix = F.transform(F.array_sort(F.collect_list(F.struct("label", "q"))), lambda x: x["q"])
+    own = shares(counts).groupBy("client").agg(F.max("n_client").alias("n_client"), mix.alias("q")).filter("n_client > 0")
+    runs = own.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).repartition("client", "sim")
+    runs = runs.withColumn("us", F.transform(F.sequence(F.lit(0), F.size("q") - 1), lambda j: u(seed, "null", "sim", "client", j)))
+    drawn = runs.select("sim", "client", "n_client", "q", F.expr(draws.multinomial("n_client", "q", "us")).alias("ks"))
+    cell = "if(k > 0, k / n_client * ln(k / n_client / p), 0e0)"
+    return drawn.select("sim", "client", F.expr(f"aggregate(zip_with(ks, q, (k, p) -> {cell}), 0e0, (a, b) -> a + b)").alias("kl_null"))
 
 
 def _against_null(sims: int) -> list[Column]:
@@ -145,12 +129,11 @@ def null_sizes(counts: DataFrame, sims: int, seed: int = 0) -> DataFrame:
     """One row: observed CV and Gini, and their p-values under uniform sizes."""
     sizes = counts.groupBy("client").agg(F.sum("n").alias("n_client"))
     seen = variation(sizes).join(gini(sizes))
-    both = sizes.agg(F.sum("n_client").alias("total"), F.count(F.lit(1)).alias("c"))
-    runs = both.select("total", "c", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-    drawn = numbered(runs, "total", "i", ["sim"])
-    cells = drawn.groupBy("sim", F.floor(u(seed, "size", "sim", "i") * F.col("c")).cast("int").alias("client")).agg(F.count(F.lit(1)).alias("n"))
-    grid = runs.select("sim", F.explode(F.sequence(F.lit(0), (F.col("c") - 1).cast("int"))).alias("client"))
-    full = grid.join(cells, ["sim", "client"], "left").select("sim", "client", F.coalesce("n", F.lit(0)).alias("n"))
+    both = sizes.agg(F.sum("n_client").alias("total"), F.count(F.lit(1)).cast("int").alias("c"))
+    runs = both.select("total", "c", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim")).repartition("sim")
+    runs = runs.withColumn("us", F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: u(seed, "size", "sim", j)))
+    drawn = runs.select("sim", F.posexplode(F.expr(draws.multinomial("total", "array_repeat(1e0 / c, c)", "us"))).alias("client", "n"))
+    full = drawn.select("sim", "client", "n")
     ranked = full.withColumn("i", F.row_number().over(W.partitionBy("sim").orderBy("n", "client")))
     n = F.count(F.lit(1))
     stats = ranked.groupBy("sim").agg((F.stddev_samp("n") / F.avg("n")).alias("cv0"), (2 * F.sum(F.col("i") * F.col("n")) / (n * F.sum("n")) - (n + 1) / n).alias("gini0"))
@@ -207,37 +190,66 @@ def bootstrap_concentration(counts: DataFrame, alphas: list[float], labels: list
     return best.agg(F.avg("alpha").alias("mean"), F.percentile("alpha", 0.025).alias("low"), F.percentile("alpha", 0.975).alias("high"))
 
 
-def simulate_grid(df: DataFrame, labels: list[str], clients: int, alphas: list[float], sims: int, seed: int = 0) -> DataFrame:
-    """``alpha, sim, mean_kl, missing, dominant`` of simulated Dirichlet splits.
+def observed(counts: DataFrame) -> DataFrame:
+    """One row ``mean_kl, missing, dominant`` of a split: mean KL of all clients (an empty one
+    has 0), share of empty cells, share of clients with a label of more than half their rows."""
+    cell = F.when(F.col("n") > 0, F.col("p") * F.log(F.col("p") / F.col("q"))).otherwise(0.0)
+    per = shares(counts).groupBy("client").agg(F.sum(cell).alias("kl"), F.avg((F.col("n") == 0).cast("int")).alias("missing"), F.max("p").alias("top"))
+    return per.agg(F.avg("kl").alias("mean_kl"), F.avg("missing").alias("missing"), F.avg((F.col("top") > 0.5).cast("int")).alias("dominant"))
 
-    A label's rows fall on clients independently, so only its count is needed:
-    rows are expanded, dealt and counted in the same task."""
-    from .split import bounds, dirichlet_shares
 
-    spark = df.sparkSession
-    plan = []
-    for i, a in enumerate(alphas):
-        for s in range(sims):
-            for label, c, lo, hi in bounds(dirichlet_shares(labels, clients, a, seed + 1000 * i + s)):
-                plan.append((a, s, label, c, hi))
-    cuts = spark.createDataFrame(plan, "alpha double, sim int, label string, client int, hi double").groupBy("alpha", "sim", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("client", "hi"))), lambda x: x["hi"]).alias("cuts"))
-    sizes = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    drawn = numbered(cuts.join(F.broadcast(sizes), "label"), "n", "i", ["alpha", "sim", "label"]).withColumn("_u", u(seed, "grid", "alpha", "sim", "label", "i"))
-    cells = drawn.groupBy("alpha", "sim", "label", F.size(F.filter("cuts", lambda c: c <= F.col("_u"))).alias("client")).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("all"))
-    q = F.broadcast(sizes.join(F.broadcast(total)).select("label", (F.col("n") / F.col("all")).alias("q")))
-    per = cells.join(q, "label").withColumn("nc", F.sum("n").over(W.partitionBy("alpha", "sim", "client"))).withColumn("p", F.col("n") / F.col("nc"))
-    by_client = per.groupBy("alpha", "sim", "client").agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"), F.count(F.lit(1)).alias("seen"), F.max("p").alias("top"))
-    k = len(labels)
-    return by_client.groupBy("alpha", "sim").agg(
-        (F.sum("kl") / clients).alias("mean_kl"), (1 - F.sum("seen") / (clients * k)).alias("missing"), (F.count_if(F.col("top") > 0.5) / clients).alias("dominant")
-    )
+def simulate_grid(counts: DataFrame, alphas: list[float] | DataFrame, sims: int, seed: int = 0, salt: str = "grid") -> DataFrame:
+    """``alpha, sim, mean_kl, missing, dominant`` of ``sims`` Dirichlet splits for each alpha.
 
-
-def grid_score(simulated: DataFrame, kl: float, missing: float, dominant: float) -> DataFrame:
-    """``alpha, score``: Euclidean z-distance of the observed statistics."""
-    z = lambda c, x: F.pow(F.when(F.stddev_samp(c) > 1e-12, (F.lit(x) - F.avg(c)) / F.stddev_samp(c)).otherwise(F.lit(x) - F.avg(c)), 2)
-    return simulated.groupBy("alpha").agg(F.sqrt(z("mean_kl", kl) + z("missing", missing) + z("dominant", dominant)).alias("score"), F.avg("mean_kl").alias("mean_kl"), F.avg("missing").alias("missing"), F.avg("dominant").alias("dominant"))
+    Shares of a label over the clients are gamma variates over their sum, and its rows fall on
+    them by a multinomial: a few operations a client, whatever the number of rows.  ``alphas``
+    may be a table with that column.
+    """
+    spark = counts.sparkSession
+    grid = alphas.select("alpha") if isinstance(alphas, DataFrame) else spark.createDataFrame([(float(a),) for a in alphas], "alpha double")
+    sizes = shares(counts).groupBy("label").agg(F.sum("n").alias("n"), F.max("q").alias("q"), F.count(F.lit(1)).cast("int").alias("clients"))
+    runs = grid.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).join(F.broadcast(sizes)).repartition("alpha", "sim", "label")
+    ids = "cast(alpha as string), cast(sim as string), label, cast(c as string)"
+    uniform = lambda kind, more="": f"(cast(conv(substring(md5(concat_ws('::', '{seed}', '{salt}-{kind}', {ids}{more})), 1, 13), 16, 10) as double) / {draws.number(16**13)})"
+    attempt = ", cast(i as string)"
+    gamma = draws.gamma("alpha", uniform("z", attempt), uniform("u", attempt), uniform("power"))
+    # One after the other, each named in an array of one: nothing is computed twice.
+    gammas = f"transform(sequence(0, clients - 1), c -> {gamma})"
+    parts = f"transform(array({gammas}), g -> transform(g, x -> x / aggregate(g, 0e0, (a, b) -> a + b)))[0]"
+    us = f"transform(sequence(0, clients - 1), c -> {uniform('split')})"
+    dealt = runs.select("alpha", "sim", "label", "q", "n", F.expr(parts).alias("parts"), F.expr(us).alias("us"))
+    cells = dealt.select("alpha", "sim", "label", "q", F.posexplode(F.expr(draws.multinomial("n", "parts", "us"))).alias("client", "k"))
+    per = cells.withColumn("nc", F.sum("k").over(W.partitionBy("alpha", "sim", "client"))).withColumn("p", F.when(F.col("nc") > 0, F.col("k") / F.col("nc")).otherwise(0.0))
+    cell = F.when(F.col("k") > 0, F.col("p") * F.log(F.col("p") / F.col("q"))).otherwise(0.0)
+    by_client = per.groupBy("alpha", "sim", "client").agg(F.sum(cell).alias("kl"), F.avg((F.col("k") == 0).cast("int")).alias("missing"), F.max("p").alias("top"))
+    return by_client.groupBy("alpha", "sim").agg(F.avg("kl").alias("mean_kl"), F.avg("missing").alias("missing"), F.avg((F.col("top") > 0.5).cast("int")).alias("dominant"))
+
+
+def grid_score(simulated: DataFrame, seen: DataFrame) -> DataFrame:
+    """``alpha, score`` and the means and deviations of the simulated figures: the Euclidean
+    z-distance of what was ``observed`` (one row) from each alpha."""
+    names = ("mean_kl", "missing", "dominant")
+    per = simulated.groupBy("alpha").agg(*[F.avg(c).alias(c) for c in names], *[F.greatest(F.stddev_samp(c), F.lit(1e-9)).alias(f"sd_{c}") for c in names])
+    return _scored(per, seen).drop(*[f"seen_{c}" for c in names])
+
+
+def _scored(per: DataFrame, seen: DataFrame) -> DataFrame:
+    names = ("mean_kl", "missing", "dominant")
+    both = per.join(F.broadcast(seen.select(*[F.col(c).alias(f"seen_{c}") for c in names], *[c for c in seen.columns if c not in names])))
+    z = [F.pow((F.col(f"seen_{c}") - F.col(c)) / F.col(f"sd_{c}"), 2) for c in names]
+    return both.withColumn("score", F.sqrt(z[0] + z[1] + z[2]))
+
+
+def grid_stability(counts: DataFrame, alphas: list[float], sims: int, boots: int, seed: int = 0) -> DataFrame:
+    """One row ``alpha, low, high, same``: the alpha of the grid that is nearest to the split,
+    and of ``boots`` splits simulated with it the 95 % interval of their nearest alphas and the
+    share that gives it again."""
+    scores = grid_score(simulate_grid(counts, alphas, sims, seed), observed(counts))
+    best = scores.agg(F.min_by("alpha", F.struct(F.round("score", 6), "alpha")).alias("alpha"))
+    again = simulate_grid(counts, best, boots, seed, "boot").withColumnRenamed("alpha", "best")
+    nearest = _scored(scores.drop("score"), again).groupBy("sim", "best").agg(F.min_by("alpha", F.struct(F.round("score", 6), "alpha")).alias("alpha"))
+    ends = [F.percentile("alpha", p).alias(name) for name, p in (("low", 0.025), ("high", 0.975))]
+    return nearest.agg(F.max("best").alias("best"), *ends, F.avg((F.col("alpha") == F.col("best")).cast("int")).alias("same")).withColumnRenamed("best", "alpha")
 
 
 def skew_class(alpha: Column, z: Column, label_p: Column, cv_p: Column, gini_p: Column) -> Column:

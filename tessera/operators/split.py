@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.rng import exact_rank, u
+from ..functions.rng import exact_rank, numbered, permutation_keys, permuted, u
+from ..sources.scratch import folder
 
 
 def dirichlet_shares(labels: list[str], clients: int, alpha: float, seed: int) -> dict[str, np.ndarray]:
@@ -94,21 +95,19 @@ def uniform_sampling(df: DataFrame, clients: int, sample_num: int = 0, seed: int
     return placed.filter(f"client < {clients} and rank % {max(1, each)} < {take}").drop("rank")
 
 
-def iid_sampling(df: DataFrame, clients: int, sample_num: int, seed: int = 0, id_col: str = "id") -> DataFrame:
-    """Each client independently draws ``sample_num`` rows without replacement.
+def per_client(df: DataFrame, clients: int, sample_num: int) -> int:
+    """Rows of a client: ``sample_num``, or an equal part of all where it is 0."""
+    return sample_num or df.count() // clients
 
-    A uniform below a bound that about ``k + 8 sqrt(k)`` rows pass keeps the
-    ranking small; it is not used where it could leave too few."""
-    n = df.count()
-    k = min(sample_num, n)
-    bound = (k + 8 * k**0.5 + 8) / max(1, n)
-    drawn = df.withColumn("client", F.explode(F.sequence(F.lit(0), F.lit(clients - 1)))).withColumn("_u", u(seed, "iid", "client", id_col))
-    near = drawn.filter(F.col("_u") < bound)
-    if bound < 1:
-        enough = near.groupBy("client").count().filter(F.col("count") >= k).count()
-        near = near if enough == clients else drawn
-    order = W.partitionBy("client").orderBy("_u", id_col)
-    return near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r", "_u")
+
+def iid_sampling(df: DataFrame, clients: int, sample_num: int = 0, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """Each client independently draws ``sample_num`` rows (0: an equal part, at most all)
+    without replacement."""
+    total = df.count()
+    k = min(sample_num or total // clients, total)
+    wanted = df.sparkSession.range(clients).select(F.col("id").cast("int").alias("client"), F.lit("").alias("_all"), F.lit(k).cast("long").alias("k"))
+    drawn = draw(df.withColumn("_all", F.lit("")), wanted, seed, "iid", "_all", id_col).drop("_all")
+    return drawn if set(df.columns) == {id_col} else drawn.join(df, id_col)
 
 
 def chosen_classes(spark, labels: list[str], clients: int, alpha: int, seed: int) -> DataFrame:
@@ -118,24 +117,64 @@ def chosen_classes(spark, labels: list[str], clients: int, alpha: int, seed: int
     return table.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= alpha).drop("_r")
 
 
+#: Most buckets of a label that drawn places are looked up in.
+BUCKETS = 1 << 16
+
+
 def draw(df: DataFrame, wanted: DataFrame, seed: int = 0, salt: str = "draw", label: str = "label", id_col: str = "id") -> DataFrame:
     """``client, label, id`` for ``wanted`` rows ``client, label, k``: k rows of
-    the label without replacement, or with it where the label has fewer."""
-    pool = exact_rank(df.select(id_col, label).withColumn("_u", u(seed, salt, id_col)), [label], "_u", [id_col], "idx")
-    sizes = pool.groupBy(label).agg(F.count(F.lit(1)).alias("pool"))
-    asked = wanted.join(F.broadcast(sizes), label)
-    # Without replacement: a client starts at its own place in the shuffled label.
-    start = F.floor(u(seed, salt + "-start", "client", label) * F.col("pool")).cast("long")
-    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1)).alias("nth")
-    steps = asked.filter("k > 0").withColumn("start", start).select("client", label, "pool", "start", "k", nth)
+    the label without replacement, or with it where the label has fewer.
+
+    Every client has its own keyed permutation of the places in a label's shuffled
+    order, so clients draw independently of each other; what it draws are the places
+    that its first k numbers go to.
+    """
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("pool"))
+    asked = wanted.filter("k > 0").join(F.broadcast(sizes), label)
+    asked = asked.withColumn("keys", F.when(F.col("k") <= F.col("pool"), permutation_keys(seed, salt, "pool", "client", label)))
+    steps = numbered(asked.select("client", label, "pool", "k", "keys"), "k", "nth", ["client", label])
     with_repl = F.floor(u(seed, salt + "-with", "client", label, "nth") * F.col("pool")).cast("long")
-    idx = F.when(F.col("k") <= F.col("pool"), (F.col("start") + F.col("nth")) % F.col("pool")).otherwise(with_repl)
-    return steps.select("client", label, idx.alias("idx")).join(pool.select(label, "idx", id_col), [label, "idx"]).select("client", label, id_col)
+    own = permuted("nth", "pool", "keys", seed, salt, "client", label)
+    places = steps.select("client", label, F.when(F.col("k") <= F.col("pool"), own).otherwise(with_repl).alias("place"))
+    return at_places(df.select(id_col, label), places, seed, salt, label, id_col)
 
 
-def pathological_sampling(df: DataFrame, labels: list[str], clients: int, alpha: int, sample_num: int, seed: int = 0) -> DataFrame:
-    """Each client draws ``alpha`` classes and ``sample_num // alpha`` rows of each."""
-    wanted = chosen_classes(df.sparkSession, labels, clients, alpha, seed).withColumn("k", F.lit(sample_num // alpha))
+def at_places(df: DataFrame, places: DataFrame, seed: int, salt: str, label: str, id_col: str) -> DataFrame:
+    """``client, label, id`` of ``places`` (``client, label, place``) in the shuffled order of
+    each label.
+
+    A label's rows lie in buckets of their uniform.  Counts of buckets tell which
+    bucket holds a place, and only rows of such buckets are shuffled and ranked: with
+    N rows and D places there are about sqrt(N D) of them and of buckets.
+    """
+    spark = df.sparkSession
+    path = folder(spark, "places")
+    places.write.parquet(path)
+    places = spark.read.schema(places.schema).parquet(path)
+    asked, held = places.count(), df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("labels")).first()
+    buckets = int(min(BUCKETS, max(64, (held.n * asked) ** 0.5 / max(1, held.labels))))
+    own = df.withColumn("_u", u(seed, salt, id_col)).withColumn("_bucket", F.floor(F.col("_u") * buckets).cast("int"))
+    before = W.partitionBy(label).orderBy("_bucket")
+    cells = own.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.withColumn("_first", F.sum("_n").over(before) - F.col("_n")).withColumn("_width", F.expr(f"1 + sum(_n) over (partition by {label}) div {buckets}"))
+    # A bucket stands in each stretch of places that it reaches into.
+    stretches = cells.withColumn("_part", F.explode(F.expr("sequence(_first div _width, (_first + _n - 1) div _width)")))
+    widths = cells.groupBy(label).agg(F.max("_width").alias("_width"))
+    cut = places.join(F.broadcast(widths), label).withColumn("_part", F.expr("place div _width")).drop("_width")
+    found = cut.join(stretches.drop("_width"), [label, "_part"]).filter("place >= _first and place < _first + _n")
+    found = found.select("client", label, "_bucket", (F.col("place") - F.col("_first") + 1).alias("_nth"))
+    needed = found.select(label, "_bucket").distinct()
+    few = F.broadcast(needed) if held.labels * buckets <= 1 << 20 else needed
+    rows = own.join(few, [label, "_bucket"], "left_semi")
+    ranked = rows.withColumn("_nth", F.row_number().over(W.partitionBy(label, "_bucket").orderBy("_u", id_col)).cast("long"))
+    return found.join(ranked, [label, "_bucket", "_nth"]).select("client", label, id_col)
+
+
+def pathological_sampling(df: DataFrame, labels: list[str], clients: int, alpha: int, sample_num: int = 0, seed: int = 0) -> DataFrame:
+    """Each client draws ``alpha`` classes and of each ``sample_num // alpha`` rows (0: of an
+    equal part of all)."""
+    k = per_client(df, clients, sample_num) // alpha
+    wanted = chosen_classes(df.sparkSession, labels, clients, alpha, seed).withColumn("k", F.lit(k))
     return draw(df, wanted, seed, "patho")
 
 
@@ -152,8 +191,10 @@ def dirichlet_quotas(mixes: dict[int, np.ndarray], labels: list[str], sample_num
     return rows
 
 
-def dirichlet_sampling(df: DataFrame, labels: list[str], clients: int, alpha: float, sample_num: int, seed: int = 0) -> DataFrame:
-    quotas = dirichlet_quotas(client_mixes(labels, clients, alpha, seed), labels, sample_num)
+def dirichlet_sampling(df: DataFrame, labels: list[str], clients: int, alpha: float, sample_num: int = 0, seed: int = 0) -> DataFrame:
+    """Each client draws a label mix of its own and ``sample_num`` rows by it (0: an equal
+    part of all)."""
+    quotas = dirichlet_quotas(client_mixes(labels, clients, alpha, seed), labels, per_client(df, clients, sample_num))
     return draw(df, df.sparkSession.createDataFrame(quotas, "client int, label string, k long"), seed, "dirov")
 
 
@@ -314,9 +355,9 @@ def apply_moves(df: DataFrame, moves: list[tuple[int, int, int, int]], groups: l
 #: Sampler registry: name -> function of (df, labels, clients, options).
 SAMPLERS: dict[str, Callable[..., DataFrame]] = {
     "uniform": lambda df, labels, clients, **o: uniform_sampling(df, clients, o.get("sample_num", 0), o.get("seed", 0)),
-    "iid": lambda df, labels, clients, **o: iid_sampling(df, clients, o["sample_num"], o.get("seed", 0)),
-    "pathological": lambda df, labels, clients, **o: pathological_sampling(df, labels, clients, o["alpha"], o["sample_num"], o.get("seed", 0)),
-    "dirichlet": lambda df, labels, clients, **o: dirichlet_sampling(df, labels, clients, o["alpha"], o["sample_num"], o.get("seed", 0)),
+    "iid": lambda df, labels, clients, **o: iid_sampling(df, clients, o.get("sample_num", 0), o.get("seed", 0)),
+    "pathological": lambda df, labels, clients, **o: pathological_sampling(df, labels, clients, o["alpha"], o.get("sample_num", 0), o.get("seed", 0)),
+    "dirichlet": lambda df, labels, clients, **o: dirichlet_sampling(df, labels, clients, o["alpha"], o.get("sample_num", 0), o.get("seed", 0)),
 }
 
 
@@ -324,3 +365,54 @@ def sample(name: str, df: DataFrame, labels: list[str], clients: int, **options)
     if name not in SAMPLERS:
         raise ValueError(f"unknown sampler {name!r}; known: {', '.join(sorted(SAMPLERS))}")
     return SAMPLERS[name](df, labels, clients, **options)
+
+
+# Samplers by domain: every domain has its own clients and is sampled by itself.
+
+SEPARATOR = "\x1f"  # between the parts of a key
+
+
+def domain_sampling(name: str, df: DataFrame, domains: list[str], clients: int, labels: list[str], sample_num: int = 0, alpha: float = 1, seed: int = 0, test: bool = False, id_col: str = "id") -> DataFrame:
+    """``client, domain, label, id``: a sampler of the registry within each domain, all in one plan.
+
+    Domain g has the clients ``g * clients`` to ``g * clients + clients - 1``; keys of the draws
+    are (domain, label).  With ``test`` a domain is sampled once, as many rows as it has, and
+    all its clients share these rows.  Rows of other domains are left out.
+    """
+    if name not in SAMPLERS:
+        raise ValueError(f"unknown sampler {name!r}; known: {', '.join(sorted(SAMPLERS))}")
+    spark, each = df.sparkSession, 1 if test else clients
+    own = df.select(id_col, "domain", "label").filter(F.col("domain").isin(domains))
+    sizes = label_counts(own, "domain")
+    number = {d: g for g, d in enumerate(domains)}
+    part = {d: sizes.get(d, 0) if test else sample_num or sizes.get(d, 0) // each for d in domains}
+    if name == "uniform":
+        small = [d for d in domains if each * part[d] > sizes.get(d, 0)]
+        if small:
+            raise ValueError(f"domains with too few rows: {', '.join(small)}")
+        plan = spark.createDataFrame([(d, number[d] * each, max(1, sizes.get(d, 0) // each), part[d]) for d in domains], "domain string, base int, stretch long, take long")
+        ranked = exact_rank(own.withColumn("_u", u(seed, "domain", id_col)), ["domain"], "_u", [id_col]).join(F.broadcast(plan), "domain")
+        nth = F.expr("rank div stretch").cast("int")
+        drawn = ranked.filter((nth < each) & F.expr("rank % stretch < take")).select((F.col("base") + nth).alias("client"), "domain", "label", id_col)
+    else:
+        key = lambda d, label: f"{d}{SEPARATOR}{label}"
+        rows = []
+        for d, g in number.items():
+            own_clients = range(g * each, (g + 1) * each)
+            if name == "iid":
+                rows += [(c, d, min(part[d], sizes.get(d, 0))) for c in own_clients]
+            elif name == "dirichlet":
+                mixes = client_mixes(labels, each, alpha, seed + g)
+                rows += [(g * each + c, key(d, label), k) for c, label, k in dirichlet_quotas(mixes, labels, part[d])]
+            else:
+                rows += [(c, key(d, label), part[d] // int(alpha)) for c in own_clients for label in labels]
+        wanted = spark.createDataFrame(rows, "client int, _key string, k long")
+        if name == "pathological":
+            chosen = chosen_classes(spark, labels, each * len(domains), int(alpha), seed)
+            wanted = wanted.join(F.broadcast(chosen), (wanted["client"] == chosen["client"]) & F.endswith("_key", F.concat(F.lit(SEPARATOR), "label")), "left_semi")
+        keyed = own.withColumn("_key", F.col("domain") if name == "iid" else F.concat("domain", F.lit(SEPARATOR), "label"))
+        drawn = draw(keyed.select(id_col, "_key"), wanted, seed, "domain", "_key", id_col).select("client", id_col).join(own, id_col).select("client", "domain", "label", id_col)
+    if not test:
+        return drawn
+    shared = F.explode(F.sequence(F.col("client") * clients, F.col("client") * clients + (clients - 1)))
+    return drawn.select(shared.alias("client"), "domain", "label", id_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions.rng import u
 from ..operators import hetero as H
 from ..operators import split, validate
@@ -110,23 +111,34 @@ def _(spark, d):
     return H.class_shares(counts(spark, d)).select("label", "client", F.round("share", 9).alias("share"))
 
 
-SIMS = 40
+SIMS = 2000
 
 
-NULL_KL = f"""q AS (SELECT label, max(q) AS q, row_number() OVER (ORDER BY label) - 1 AS k FROM shares GROUP BY label),
-    cum AS (SELECT label, k, q, coalesce(sum(q) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, CASE WHEN k = 3 THEN 2.0 ELSE sum(q) OVER (ORDER BY k) END AS hi FROM q),
+def sql_multinomial(name: str, source: str, n: str, parts: list[str], uniforms: list[str]) -> str:
+    """CTEs ``{name}_0`` ... of ``source``, each with one more count ``k0``, ``k1``, ... of how ``n``
+    trials fall on ``parts``; the last is ``name``."""
+    out = [f"{name}_0 AS (SELECT *, ({n})::BIGINT AS left_, 1e0 AS mass_ FROM {source})"]
+    for j, (p, u_) in enumerate(zip(parts, uniforms)):
+        last = j == len(parts) - 1
+        k = "left_" if last else draws.binomial("left_", "p_", "u_", spark=False)
+        own = f"SELECT *, ({p})::DOUBLE AS q_, CASE WHEN mass_ <= 0 THEN 0 ELSE least(1e0, ({p}) / mass_) END AS p_, {u_} AS u_ FROM {name}_{j}"
+        drawn = f"SELECT *, {k} AS k{j} FROM ({own})"
+        out.append(f"{name}{'' if last else f'_{j + 1}'} AS (SELECT * EXCLUDE (left_, mass_, q_, p_, u_), left_ - k{j} AS left_, mass_ - q_ AS mass_ FROM ({drawn}))")
+    return ", ".join(out)
+
+
+NULL_KL = f"""q AS (SELECT list(q ORDER BY label) AS q FROM (SELECT label, max(q) AS q FROM shares GROUP BY label)),
     size AS (SELECT client, max(nc) AS nc FROM shares GROUP BY client HAVING max(nc) > 0),
-    draws AS (SELECT client, nc, sim, unnest(range(1, nc::BIGINT + 1)) AS i FROM (SELECT client, nc, unnest(range({SIMS}))::INT AS sim FROM size)),
-    un AS (SELECT client, nc, sim, {sql_u(SEED, 'null', 'sim', 'client', 'i')} AS u FROM draws),
-    cell AS (SELECT un.client, sim, cum.k, count(*) AS n, max(nc) AS nc, max(q) AS q FROM un JOIN cum ON u >= lo AND u < hi GROUP BY ALL),
-    sim_kl AS (SELECT client, sim, sum(n / nc * ln(n / nc / q)) AS kl0 FROM cell GROUP BY ALL), seen AS (SELECT client, sum({KL}) AS kl FROM shares GROUP BY client),
+    null_runs AS (SELECT client, nc, sim, q FROM size CROSS JOIN (SELECT range::INT AS sim FROM range({SIMS})) CROSS JOIN q),
+    {sql_multinomial('nulls', 'null_runs', 'nc', [f'q[{j + 1}]' for j in range(len(LABELS))], [sql_u(SEED, 'null', 'sim', 'client', str(j)) for j in range(len(LABELS))])},
+    sim_kl AS (SELECT client, sim, {' + '.join(f'CASE WHEN k{j} > 0 THEN k{j} / nc * ln(k{j} / nc / q[{j + 1}]) ELSE 0 END' for j in range(len(LABELS)))} AS kl0 FROM nulls), seen AS (SELECT client, sum({KL}) AS kl FROM shares GROUP BY client),
     sim_mean AS (SELECT sim, avg(kl0) AS kl0 FROM sim_kl GROUP BY sim), seen_mean AS (SELECT avg(kl) AS kl FROM seen JOIN size USING (client)),
     mean_test AS (SELECT max(kl) AS kl, avg(kl0) AS mean_null, (max(kl) - avg(kl0)) / stddev_samp(kl0) AS z, (1 + count(*) FILTER (WHERE kl0 >= kl)) / {SIMS + 1} AS p_value,
         quantile_cont(kl0, 0.025) AS low, quantile_cont(kl0, 0.975) AS high FROM sim_mean CROSS JOIN seen_mean)"""
 NULL_SIZES = f"""sizes AS (SELECT client, sum(n)::BIGINT AS n_client FROM counts GROUP BY client),
-    runs AS (SELECT unnest(range({SIMS}))::INT AS sim), dealt AS (SELECT sim, unnest(range(1, (SELECT sum(n_client)::BIGINT FROM sizes) + 1)) AS i FROM runs),
-    held AS (SELECT sim, floor({sql_u(SEED, 'size', 'sim', 'i')} * {CLIENTS})::INT AS client, count(*) AS n FROM dealt GROUP BY ALL),
-    full_ AS (SELECT r.sim, c.client, coalesce(n, 0) AS n FROM runs r CROSS JOIN clients_ c LEFT JOIN held ON held.sim = r.sim AND held.client = c.client),
+    size_runs AS (SELECT range::INT AS sim, (SELECT sum(n_client)::BIGINT FROM sizes) AS total FROM range({SIMS})),
+    {sql_multinomial('sized_runs', 'size_runs', 'total', [f'1e0 / {CLIENTS}'] * CLIENTS, [sql_u(SEED, 'size', 'sim', str(j)) for j in range(CLIENTS)])},
+    full_ AS (SELECT sim, unnest(range({CLIENTS})) AS client, unnest([{', '.join(f'k{j}' for j in range(CLIENTS))}]) AS n FROM sized_runs),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY n, client) AS i FROM full_),
     st AS (SELECT sim, stddev_samp(n) / avg(n) AS cv0, 2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*) AS g0 FROM ranked GROUP BY sim),
     seen_sizes AS (SELECT stddev_samp(n_client) / avg(n_client) AS cv, 2 * sum(i * n_client) / (count(*) * sum(n_client)) - (count(*) + 1) / count(*) AS g FROM (SELECT n_client, row_number() OVER (ORDER BY n_client) AS i FROM sizes)),
@@ -168,30 +180,48 @@ def _(spark, d):
     return H.bootstrap_concentration(counts(spark, d), ALPHAS, LABELS, 50, SEED).select(*[F.round(c, 8).alias(c) for c in ("mean", "low", "high")])
 
 
-GRID = [0.1, 0.5, 1.0]
-PLAN = [(a, s, label, c, lo, hi) for i, a in enumerate(GRID) for s in range(3) for label, c, lo, hi in split.bounds(split.dirichlet_shares(LABELS, CLIENTS, a, SEED + 1000 * i + s))]
-SIMULATED = f"""{IDS}, {values('plan', 'alpha, sim, label, client, lo, hi', PLAN)}, size AS (SELECT label, count(*) AS n FROM ids GROUP BY label), runs AS (SELECT DISTINCT alpha, sim, label FROM plan),
-    draws AS (SELECT alpha, sim, r.label, unnest(range(1, n + 1)) AS i FROM runs r JOIN size USING (label)), un AS (SELECT *, {sql_u(SEED, 'grid', 'alpha', 'sim', 'label', 'i')} AS u FROM draws),
-    cell AS (SELECT un.alpha, un.sim, un.label, p.client, count(*) AS n FROM un JOIN plan p ON p.alpha = un.alpha AND p.sim = un.sim AND p.label = un.label AND u >= lo AND u < hi GROUP BY ALL),
-    per AS (SELECT c.*, c.n / sum(c.n) OVER (PARTITION BY alpha, sim, client) AS p, s.n / (SELECT sum(n) FROM size) AS q FROM cell c JOIN size s USING (label)),
-    by_client AS (SELECT alpha, sim, client, sum(p * ln(p / q)) AS kl, count(*) AS seen, max(p) AS top FROM per GROUP BY ALL),
-    simulated AS (SELECT alpha, sim, sum(kl) / {CLIENTS} AS mean_kl, 1 - sum(seen) / {CLIENTS * 4} AS missing, count(*) FILTER (WHERE top > 0.5) / {CLIENTS} AS dominant FROM by_client GROUP BY ALL)"""
+#: The alphas that a split is held against.
+GRID = [0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0, 2.0]
+GRID_SIMS, BOOTS = 100, 400
+
 
+def sql_simulated(name: str, alphas: str, sims: int, salt: str) -> str:
+    """CTEs of ``hetero.simulate_grid``: ``name(alpha, sim, mean_kl, missing, dominant)``."""
+    at = ("alpha", "sim", "label", "c")
+    z, taken = draws.normal("uz"), draws.gamma_taken("alpha", "z", "uu")
+    parts = [f"g[{c + 1}] / total" for c in range(CLIENTS)]
+    return f"""{name}_runs AS (SELECT alpha, sim, label, n, q FROM {alphas} CROSS JOIN (SELECT range::INT AS sim FROM range({sims})) CROSS JOIN label_sizes),
+    {name}_tries AS (SELECT alpha, sim, label, c, i, {sql_u(SEED, salt + '-z', *at, 'i')} AS uz, {sql_u(SEED, salt + '-u', *at, 'i')} AS uu, {sql_u(SEED, salt + '-power', *at)} AS up FROM {name}_runs CROSS JOIN (SELECT range AS c FROM range({CLIENTS})) CROSS JOIN (SELECT range AS i FROM range({draws.ATTEMPTS}))),
+    {name}_z AS (SELECT * , {z} AS z FROM {name}_tries),
+    {name}_gamma AS (SELECT alpha, sim, label, c, coalesce(arg_min({draws.gamma_attempt('alpha', 'z')}, i) FILTER (WHERE {taken}), alpha + {draws.number(2 / 3)}) * pow(max(up), 1e0 / alpha) AS g FROM {name}_z GROUP BY alpha, sim, label, c),
+    {name}_parts AS (SELECT alpha, sim, label, list(g ORDER BY c) AS g, list_sum(list(g ORDER BY c)) AS total FROM {name}_gamma GROUP BY alpha, sim, label),
+    {name}_source AS (SELECT p.*, r.n, r.q FROM {name}_parts p JOIN {name}_runs r USING (alpha, sim, label)),
+    {sql_multinomial(name + '_dealt', name + '_source', 'n', parts, [sql_u(SEED, salt + '-split', 'alpha', 'sim', 'label', str(c)) for c in range(CLIENTS)])},
+    {name}_cells AS (SELECT alpha, sim, label, q, unnest(range({CLIENTS})) AS client, unnest([{', '.join(f'k{c}' for c in range(CLIENTS))}]) AS k FROM {name}_dealt),
+    {name}_per AS (SELECT *, CASE WHEN sum(k) OVER w > 0 THEN k / sum(k) OVER w ELSE 0 END AS p FROM {name}_cells WINDOW w AS (PARTITION BY alpha, sim, client)),
+    {name}_client AS (SELECT alpha, sim, client, sum(CASE WHEN k > 0 THEN p * ln(p / q) ELSE 0 END) AS kl, avg((k = 0)::INT) AS missing, max(p) AS top FROM {name}_per GROUP BY ALL),
+    {name} AS (SELECT alpha, sim, avg(kl) AS mean_kl, avg(missing) AS missing, avg((top > 0.5)::INT) AS dominant FROM {name}_client GROUP BY ALL)"""
 
-def sql_z(c: str, x: float) -> str:
-    return f"power(CASE WHEN stddev_samp({c}) > 1e-12 THEN ({x} - avg({c})) / stddev_samp({c}) ELSE {x} - avg({c}) END, 2)"
 
+FIGURES = ("mean_kl", "missing", "dominant")
+SCORED = f"""{COUNTS}, label_sizes AS (SELECT label, sum(n)::BIGINT AS n, max(q) AS q FROM shares GROUP BY label), {values('alphas', 'alpha', [(a,) for a in GRID])}, {sql_simulated('grid_', 'alphas', GRID_SIMS, 'grid')},
+    seen_client AS (SELECT client, sum({KL}) AS kl, avg((n = 0)::INT) AS missing, max(p) AS top FROM shares GROUP BY client),
+    seen_all AS (SELECT avg(kl) AS seen_mean_kl, avg(missing) AS seen_missing, avg((top > 0.5)::INT) AS seen_dominant FROM seen_client),
+    per_alpha AS (SELECT alpha, {', '.join(f'avg({c}) AS {c}, greatest(stddev_samp({c}), 1e-9) AS sd_{c}' for c in FIGURES)} FROM grid_ GROUP BY alpha),
+    scores AS (SELECT p.*, sqrt({' + '.join(f'power((seen_{c} - {c}) / sd_{c}, 2)' for c in FIGURES)}) AS score FROM per_alpha p CROSS JOIN seen_all)"""
 
-@query("h18_alpha_grid", f"""WITH {SIMULATED} SELECT alpha, round(sqrt({sql_z('mean_kl', 0.4)} + {sql_z('missing', 0.1)} + {sql_z('dominant', 0.5)}), 6) AS score, round(avg(mean_kl), 8) AS mean_kl, round(avg(missing), 8) AS missing, round(avg(dominant), 8) AS dominant FROM simulated GROUP BY alpha""")
+
+@query("h18_alpha_grid", f"WITH {SCORED} SELECT alpha, round(score, 4) AS score, {', '.join(f'round({c}, 8) AS {c}' for c in FIGURES)} FROM scores")
 def _(spark, d):
-    sim = H.simulate_grid(ids(spark, d), LABELS, CLIENTS, GRID, 3, SEED)
-    return H.grid_score(sim, 0.4, 0.1, 0.5).select("alpha", F.round("score", 6).alias("score"), *[F.round(c, 8).alias(c) for c in ("mean_kl", "missing", "dominant")])
+    own = counts(spark, d)
+    return H.grid_score(H.simulate_grid(own, GRID, GRID_SIMS, SEED), H.observed(own)).select("alpha", F.round("score", 4).alias("score"), *[F.round(c, 8).alias(c) for c in FIGURES])
 
 
-@query("h19_grid_stability", f"WITH {SIMULATED} SELECT sim, round(arg_min(alpha, (round(abs(mean_kl - 0.4), 9), alpha)), 6) AS best FROM simulated GROUP BY sim")
+@query("h19_grid_stability", f"""WITH {SCORED}, best AS (SELECT arg_min(alpha, (round(score, 6), alpha)) AS alpha FROM scores), {sql_simulated('boot_', 'best', BOOTS, 'boot')},
+    near AS (SELECT b.sim, arg_min(s.alpha, (round(sqrt({' + '.join(f'power((b.{c} - s.{c}) / s.sd_{c}, 2)' for c in FIGURES)}), 6), s.alpha)) AS alpha FROM boot_ b CROSS JOIN scores s GROUP BY b.sim)
+    SELECT (SELECT alpha FROM best) AS alpha, round(quantile_cont(alpha, 0.025), 8) AS low, round(quantile_cont(alpha, 0.975), 8) AS high, round(avg((alpha = (SELECT alpha FROM best))::INT), 8) AS same FROM near""")
 def _(spark, d):
-    sim = H.simulate_grid(ids(spark, d), LABELS, CLIENTS, GRID, 3, SEED)
-    return sim.groupBy("sim").agg(F.round(F.min_by("alpha", F.struct(F.round(F.abs(F.col("mean_kl") - 0.4), 9), "alpha")), 6).alias("best"))
+    return H.grid_stability(counts(spark, d), GRID, GRID_SIMS, BOOTS, SEED).select("alpha", *[F.round(c, 8).alias(c) for c in ("low", "high", "same")])
 
 
 @query("h20_skew_class", f"""WITH {LL}, {NULL_KL}, {NULL_SIZES}, s AS (SELECT alpha, sum(ll) AS ll FROM ll GROUP BY alpha), a AS (SELECT arg_max(alpha, ll) AS a FROM s),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rng import exact_rank, u
+from ..functions.rng import ROUNDS, exact_rank, u
 from ..operators import modality, split
 from .views import ASSIGNED, CLIENTS, IDS, LABELS, QA, SAMPLES, SEED, SHARES, UNITS, assigned, ids, query, questions, samples, sql_assigned, sql_u, units, values
 
@@ -17,27 +17,34 @@ def _(spark, d):
     return split.uniform_sampling(ids(spark, d).drop("domain"), 10, 20, SEED).select("id", "label", "client")
 
 
-@query("s02_iid_overlap", f"""WITH {IDS}, c AS (SELECT range::INT AS client FROM range(10)), r AS (SELECT client, id, label, row_number() OVER (PARTITION BY client ORDER BY {sql_u(SEED, 'iid', 'client', 'id')}, id) AS r FROM ids CROSS JOIN c)
-    SELECT client, id, label FROM r WHERE r <= 30""")
-def _(spark, d):
-    return split.iid_sampling(ids(spark, d).drop("domain"), 10, 30, SEED).select("client", "id", "label")
+def sql_draw(wanted: str, salt: str, source: str = "ids", key: str = "label", seed: int = SEED) -> str:
+    """``split.draw`` of a CTE ``wanted(client, label, k)`` from the ids of ``source``."""
+    steps = [f"""{salt}_0 AS (SELECT a.client, a.label, a.k, a.pool, n.nth, n.nth AS x FROM
+        (SELECT w.client, w.label, w.k, s.pool FROM {wanted} w JOIN (SELECT DISTINCT label, pool FROM {salt}_pool) s ON w.label = s.label WHERE w.k > 0) a, LATERAL (SELECT unnest(range(0, a.k::BIGINT)) AS nth) n)"""]
+    for i in range(ROUNDS):
+        swap = f"substr(md5(concat_ws('::', '{seed}', '{salt}-swap', client::VARCHAR, label, '{i}', greatest(x, o)::VARCHAR)), 1, 1) < '8'"
+        other = f"(floor({sql_u(seed, f'{salt}-key{i}', 'client', 'label')} * pool)::BIGINT - x + pool) % pool"
+        steps.append(f"{salt}_{i + 1} AS (SELECT client, label, k, pool, nth, CASE WHEN {swap} THEN o ELSE x END AS x FROM (SELECT *, {other} AS o FROM {salt}_{i}))")
+    pool = f"{salt}_pool AS (SELECT id, {key} AS label, {RANKED.format(keys=key, u=sql_u(seed, salt, 'id'))} AS idx, count(*) OVER (PARTITION BY {key}) AS pool FROM {source})"
+    place = f"CASE WHEN k <= pool THEN x ELSE floor({sql_u(seed, salt + '-with', 'client', 'label', 'nth')} * pool)::BIGINT END"
+    return f"{pool}, {', '.join(steps)}, {salt}_places AS (SELECT client, label, {place} AS idx FROM {salt}_{ROUNDS}), {salt}_drawn AS (SELECT p.client, p.label, o.id FROM {salt}_places p JOIN {salt}_pool o ON o.label = p.label AND o.idx = p.idx)"
+
 
+def sql_iid(clients: int, k: str, seed: int) -> str:
+    wanted = f"iid_wanted AS (SELECT range::INT AS client, '' AS label, {k} AS k FROM range({clients}))"
+    return f"{wanted}, {sql_draw('iid_wanted', 'iid', key=chr(39) * 2, seed=seed)}"
 
-def sql_draw(wanted: str, salt: str) -> str:
-    """``split.draw`` of a CTE ``wanted(client, label, k)``."""
-    return f"""pool AS (SELECT id, label, {RANKED.format(keys='label', u=sql_u(SEED, salt, 'id'))} AS idx, count(*) OVER (PARTITION BY label) AS pool FROM ids),
-        sizes AS (SELECT DISTINCT label, pool FROM pool),
-        asked AS (SELECT w.client, w.label, w.k, s.pool, floor({sql_u(SEED, salt + '-start', 'w.client', 'w.label')} * s.pool)::BIGINT AS start FROM {wanted} w JOIN sizes s ON w.label = s.label WHERE w.k > 0),
-        steps AS (SELECT a.*, unnest(range(0, a.k::BIGINT)) AS nth FROM asked a),
-        places AS (SELECT client, label, CASE WHEN k <= pool THEN (start + nth) % pool ELSE floor({sql_u(SEED, salt + '-with', 'client', 'label', 'nth')} * pool)::BIGINT END AS idx FROM steps)
-        SELECT p.client, p.label, o.id FROM places p JOIN pool o ON o.label = p.label AND o.idx = p.idx"""
+
+@query("s02_iid_overlap", f"WITH {IDS}, {sql_iid(10, '30', SEED)} SELECT d.client, i.id, i.label FROM iid_drawn d JOIN ids i USING (id)")
+def _(spark, d):
+    return split.iid_sampling(ids(spark, d).drop("domain"), 10, 30, SEED).select("client", "id", "label")
 
 
 CLASSES = f"""classes AS (SELECT client, label FROM (SELECT c.client, l.label, row_number() OVER (PARTITION BY c.client ORDER BY {sql_u(SEED, 'classes', 'c.client', 'l.label')}, l.label) AS r
     FROM (SELECT range::INT AS client FROM range(10)) c CROSS JOIN (SELECT unnest({LABELS!r}) AS label) l) WHERE r <= 2)"""
 
 
-@query("s03_pathological", f"WITH {IDS}, {CLASSES}, wanted AS (SELECT client, label, 20 AS k FROM classes), {sql_draw('wanted', 'patho')}")
+@query("s03_pathological", f"WITH {IDS}, {CLASSES}, wanted AS (SELECT client, label, 20 AS k FROM classes), {sql_draw('wanted', 'patho')} SELECT * FROM patho_drawn")
 def _(spark, d):
     return split.pathological_sampling(ids(spark, d), LABELS, 10, 2, 40, SEED)
 
@@ -45,7 +52,7 @@ def _(spark, d):
 MIXED = split.dirichlet_quotas(split.client_mixes(LABELS, 10, 0.5, SEED), LABELS, 60)
 
 
-@query("s04_dirichlet_overlap", f"WITH {IDS}, {values('wanted', 'client, label, k', MIXED)}, {sql_draw('wanted', 'dirov')}")
+@query("s04_dirichlet_overlap", f"WITH {IDS}, {values('wanted', 'client, label, k', MIXED)}, {sql_draw('wanted', 'dirov')} SELECT * FROM dirov_drawn")
 def _(spark, d):
     return split.dirichlet_sampling(ids(spark, d), LABELS, 10, 0.5, 60, SEED)
 
@@ -53,7 +60,7 @@ def _(spark, d):
 LARGE = [(c, label, 700) for c in range(3) for label in LABELS]
 
 
-@query("s05_draw_with_replacement", f"WITH {IDS}, {values('wanted', 'client, label, k', LARGE)}, {sql_draw('wanted', 'draw')}")
+@query("s05_draw_with_replacement", f"WITH {IDS}, {values('wanted', 'client, label, k', LARGE)}, {sql_draw('wanted', 'draw')} SELECT * FROM draw_drawn")
 def _(spark, d):
     return split.draw(ids(spark, d), spark.createDataFrame(LARGE, "client int, label string, k long"), SEED)
 
@@ -177,17 +184,60 @@ def _(spark, d):
     return split.cycling_window(numbered, 12, 400).select("round", "pos", "id")
 
 
-@query("s18_cross_domain", f"""WITH {IDS}, r AS (SELECT *, {RANKED.format(keys='domain, label', u=sql_u(SEED, 'domain', 'id'))} AS rank FROM ids)
-    SELECT id, domain, label, (rank % 3)::INT AS client FROM r""")
+DOMAINS = [f"src{i}" for i in range(20)]
+EACH = 3
+DOMAIN_SQL = f"{values('domains', 'domain, g', [(x, g) for g, x in enumerate(DOMAINS)])}, sized AS (SELECT domain, g, count(id) AS n FROM domains LEFT JOIN ids USING (domain) GROUP BY ALL)"
+DOMAIN_MIXES = [(g * EACH + c, x, label, float(q)) for g, x in enumerate(DOMAINS) for c, own in split.client_mixes(LABELS, EACH, 0.5, SEED + g).items() for label, q in zip(LABELS, own)]
+#: Quotas of a client label by label: rounded shares of what is left, the last label takes the rest.
+DOMAIN_QUOTAS = f"""{values('mixes', 'client, domain, label, q', DOMAIN_MIXES)}, shares_ AS (SELECT client, m.domain, n // {EACH} AS each, max(q) FILTER (WHERE label = 'de') AS q0, max(q) FILTER (WHERE label = 'en') AS q1, max(q) FILTER (WHERE label = 'es') AS q2 FROM mixes m JOIN sized s ON s.domain = m.domain GROUP BY ALL),
+    a0 AS (SELECT *, least(each, floor(each * q0 + 0.5)::BIGINT) AS k0 FROM shares_), a1 AS (SELECT *, least(each - k0, floor(each * q1 + 0.5)::BIGINT) AS k1 FROM a0), a2 AS (SELECT *, least(each - k0 - k1, floor(each * q2 + 0.5)::BIGINT) AS k2 FROM a1),
+    dom_wanted AS (SELECT client, domain || chr(31) || unnest({LABELS!r}) AS label, unnest([k0, k1, k2, each - k0 - k1 - k2]) AS k FROM a2)"""
+
+
+@query("s18_cross_domain", f"WITH {IDS}, {DOMAIN_SQL}, {DOMAIN_QUOTAS}, {sql_draw('dom_wanted', 'domain', key='(domain || chr(31) || label)')} SELECT d.client, i.domain, i.label, i.id FROM domain_drawn d JOIN ids i USING (id)")
+def _(spark, d):
+    return split.domain_sampling("dirichlet", ids(spark, d), DOMAINS, EACH, LABELS, alpha=0.5, seed=SEED)
+
+
+@query("s18b_domain_test_rows", f"""WITH {IDS}, {DOMAIN_SQL} SELECT (g * {EACH} + c)::INT AS client, domain, label, id FROM ids JOIN sized USING (domain) CROSS JOIN (SELECT range AS c FROM range({EACH}))""")
 def _(spark, d):
-    ranked = exact_rank(ids(spark, d).withColumn("_u", u(SEED, "domain", "id")), ["domain", "label"], "_u", ["id"])
-    return ranked.select("id", "domain", "label", F.pmod("rank", F.lit(3)).cast("int").alias("client"))
+    return split.domain_sampling("uniform", ids(spark, d), DOMAINS, EACH, LABELS, seed=SEED, test=True)
+
+
+DOMAIN_IID = f"dom_wanted AS (SELECT (g * {EACH} + c)::INT AS client, domain AS label, n // {EACH} AS k FROM sized CROSS JOIN (SELECT range AS c FROM range({EACH})))"
+
+
+@query("s18c_domain_iid", f"WITH {IDS}, {DOMAIN_SQL}, {DOMAIN_IID}, {sql_draw('dom_wanted', 'domain', key='domain')} SELECT d.client, i.domain, i.label, i.id FROM domain_drawn d JOIN ids i USING (id)")
+def _(spark, d):
+    return split.domain_sampling("iid", ids(spark, d), DOMAINS, EACH, LABELS, seed=SEED)
+
+
+DOMAIN_CLASSES = f"""classes AS (SELECT client, label FROM (SELECT c.client, l.label, row_number() OVER (PARTITION BY c.client ORDER BY {sql_u(SEED, 'classes', 'c.client', 'l.label')}, l.label) AS r
+    FROM (SELECT range::INT AS client FROM range({EACH * len(DOMAINS)})) c CROSS JOIN (SELECT unnest({LABELS!r}) AS label) l) WHERE r <= 2),
+    dom_wanted AS (SELECT client, domain || chr(31) || label AS label, (n // {EACH}) // 2 AS k FROM classes JOIN sized ON g = client // {EACH})"""
+
+
+@query("s18d_domain_pathological", f"WITH {IDS}, {DOMAIN_SQL}, {DOMAIN_CLASSES}, {sql_draw('dom_wanted', 'domain', key='(domain || chr(31) || label)')} SELECT d.client, i.domain, i.label, i.id FROM domain_drawn d JOIN ids i USING (id)")
+def _(spark, d):
+    return split.domain_sampling("pathological", ids(spark, d), DOMAINS, EACH, LABELS, alpha=2, seed=SEED)
+
+
+DISPATCHED = {
+    "uniform": f"u_r AS (SELECT *, row_number() OVER (ORDER BY {sql_u(7, 'uniform', 'id')}, id) - 1 AS rank, count(*) OVER () // 5 AS each FROM ids), u_out AS (SELECT (rank // each)::INT AS client, id, label FROM u_r WHERE rank // each < 5 AND rank % each < 25)",
+    "iid": f"{sql_iid(5, '25', 7)}, iid_out AS (SELECT d.client, i.id, i.label FROM iid_drawn d JOIN ids i USING (id))",
+    "pathological": f"""p_classes AS (SELECT client, label FROM (SELECT c.client, l.label, row_number() OVER (PARTITION BY c.client ORDER BY {sql_u(7, 'classes', 'c.client', 'l.label')}, l.label) AS r
+        FROM (SELECT range::INT AS client FROM range(5)) c CROSS JOIN (SELECT unnest({LABELS!r}) AS label) l) WHERE r <= 2), p_wanted AS (SELECT client, label, 12 AS k FROM p_classes), {sql_draw('p_wanted', 'patho', seed=7)}""",
+    "dirichlet": f"{values('d_wanted', 'client, label, k', split.dirichlet_quotas(split.client_mixes(LABELS, 5, 0.5, 7), LABELS, 25))}, {sql_draw('d_wanted', 'dirov', seed=7)}",
+}
 
 
-@query("s19_sampler_dispatch", f"""WITH {IDS}, c AS (SELECT range::INT AS client FROM range(5)), r AS (SELECT client, id, label, row_number() OVER (PARTITION BY client ORDER BY {sql_u(7, 'iid', 'client', 'id')}, id) AS r FROM ids CROSS JOIN c)
-    SELECT client, id, label FROM r WHERE r <= 25""")
+@query("s19_sampler_dispatch", f"""WITH {IDS}, {', '.join(DISPATCHED.values())}
+    SELECT 'uniform' AS sampler, client, id, label FROM u_out UNION ALL SELECT 'iid', client, id, label FROM iid_out
+    UNION ALL SELECT 'pathological', client, id, label FROM patho_drawn UNION ALL SELECT 'dirichlet', client, id, label FROM dirov_drawn""")
 def _(spark, d):
-    return split.sample("iid", ids(spark, d).drop("domain"), LABELS, 5, sample_num=25, seed=7).select("client", "id", "label")
+    own, alpha = ids(spark, d).drop("domain"), {"pathological": 2, "dirichlet": 0.5}
+    parts = [split.sample(name, own, LABELS, 5, sample_num=25, seed=7, alpha=alpha.get(name)).select(F.lit(name).alias("sampler"), "client", "id", "label") for name in DISPATCHED]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 # Modalities. SQL expressions of the masks, on a CTE with id, img, text.
