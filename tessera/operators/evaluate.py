@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
+from ..functions.order import running
 
 UNKNOWN = "UNK"
 
@@ -110,15 +110,19 @@ def valid_scores(rows: DataFrame, labels: list[str]) -> DataFrame:
     return own.filter("total > 0").withColumn("scores", F.transform("clipped", lambda x: x / F.col("total")))
 
 
+def mid_rank(cells: DataFrame, keys: tuple[str, ...] = ("label",), value: str = "s", n: str = "n") -> DataFrame:
+    """Distinct values with their counts, and ``rank``: the mean place of a value's rows."""
+    return running(cells, list(keys), [value], n, "_before").withColumn("rank", F.col("_before") + (F.col(n) + 1) / 2).drop("_before")
+
+
 def class_auc(valid: DataFrame, labels: list[str]) -> DataFrame:
     """``label, auc, support`` one against the rest (Mann-Whitney with mid-ranks),
-    from counts per (class, score) and a running sum of those; classes that are
-    absent, or alone, have none."""
+    from counts per (class, score) and a running sum of those in ranges of the scores,
+    so a class may hold nearly all rows; classes that are absent, or alone, have none."""
     names = F.array(*[F.lit(x) for x in labels])
     long = valid.select("gt", F.posexplode("scores").alias("k", "s")).withColumn("label", F.element_at(names, F.col("k") + 1))
     cells = long.groupBy("label", "s").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gt") == F.col("label")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("label").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = cells.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranks = mid_rank(cells)
     sums = ranks.groupBy("label").agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("np"), (F.sum("n") - F.sum("pos")).alias("nn"))
     return sums.filter("np > 0 and nn > 0").select("label", ((F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))).alias("auc"), F.col("np").alias("support"))
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.rng import exact_rank, u
+from ..functions.order import rank
+from ..functions.rng import u
 
 CELL = ["key", "pos"]
 
@@ -123,21 +124,42 @@ def critical_mask(rows: DataFrame, share: float) -> DataFrame:
     own = rows.withColumn("score", F.abs(F.col("d") * F.col("w")))
     keys = ["client", "key"]
     sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.min(F.when(F.col("score") > 1e-20, F.col("score"))).alias("least"))
-    # Ranked by score in buckets of the score's place between 0 and the top.
-    placed = own.join(F.broadcast(sizes), keys).withColumn("_o", F.when(F.col("top") > 0, 1 - F.col("score") / F.col("top")).otherwise(0.0) * 0.999999)
-    ranked = exact_rank(placed, keys, "_o", ["pos"])
+    placed = own.join(F.broadcast(sizes), keys)
+    ranked = rank(placed, keys, [F.desc("score"), F.col("pos")])
     kth = ranked.filter(F.col("rank") == F.greatest(F.floor(F.col("n") * share), F.lit(1)) - 1).select(*keys, F.col("score").alias("at"))
     cut = F.when(F.col("at") <= 1e-10, F.coalesce("least", F.lit(float("inf")))).otherwise(F.col("at"))
     marked = placed.join(F.broadcast(kth), keys).withColumn("mask", F.col("score") >= cut)
     return marked.select(*rows.columns, "score", "mask")
 
 
+def packed_masks(masks: DataFrame, words: int = 64) -> DataFrame:
+    """``key, chunk, clients``: for each 64 * ``words`` places of a key an array of ``client, held,
+    mask``: the places that the client has, and those with its mask set, as bits of longs."""
+    bit = lambda c: F.bit_or(F.when(c, F.expr("shiftleft(1L, cast(pos % 64 as int))")).otherwise(F.lit(0).cast("long")))
+    word = masks.groupBy("key", "client", F.expr("pos div 64").alias("word")).agg(bit(F.lit(True)).alias("held"), bit(F.col("mask").cast("boolean")).alias("mask"))
+    chunk = word.groupBy("key", "client", F.expr(f"word div {words}").alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % words).cast("int"), F.struct("held", "mask")))).alias("m"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda k: F.try_element_at("m", k))
+    full = lambda name: F.transform("slots", lambda x: F.coalesce(x[name], F.lit(0).cast("long")))
+    own = chunk.withColumn("slots", slots).select("key", "chunk", F.struct("client", full("held").alias("held"), full("mask").alias("mask")).alias("c"))
+    return own.groupBy("key", "chunk").agg(F.collect_list("c").alias("clients"))
+
+
+def client_pairs(masks: DataFrame) -> DataFrame:
+    """``i, j, cells, differ, ones`` of each ordered pair of clients: the cells that both have,
+    those where their masks differ, and those where that of ``i`` is set.
+
+    Masks travel as bits, 64 cells a long, and a chunk of them gives one row a pair, summed
+    before it is shuffled."""
+    total = lambda e: f"aggregate(transform(sequence(0, size(a.held) - 1), k -> bit_count({e})), 0L, (s, x) -> s + x)"
+    both = "a.held[k] & b.held[k]"
+    pair = f"named_struct('i', a.client, 'j', b.client, 'cells', {total(both)}, 'differ', {total(f'(a.mask[k] ^ b.mask[k]) & {both}')}, 'ones', {total(f'a.mask[k] & {both}')})"
+    pairs = packed_masks(masks).select(F.explode(F.expr(f"flatten(transform(clients, a -> transform(filter(clients, b -> b.client <> a.client), b -> {pair})))")).alias("p")).select("p.*")
+    return pairs.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("cells", "differ", "ones")]).filter("cells > 0")
+
+
 def mask_overlap(masks: DataFrame) -> DataFrame:
     """``i, j, overlap`` of each ordered pair of clients: 1 - sum|m_i - m_j| / (2 sum m_i)."""
-    m = masks.select("client", "key", "pos", F.col("mask").cast("int").alias("m"))
-    a, b = m.select(F.col("client").alias("i"), *CELL, F.col("m").alias("mi")), m.select(F.col("client").alias("j"), *CELL, F.col("m").alias("mj"))
-    pairs = a.join(b, CELL).filter("i <> j")
-    return pairs.groupBy("i", "j").agg((1 - F.sum(F.abs(F.col("mi") - F.col("mj"))) / (2 * F.sum("mi"))).alias("overlap"))
+    return client_pairs(masks).select("i", "j", (1 - F.col("differ") / F.when(F.col("ones") > 0, 2 * F.col("ones"))).alias("overlap"))
 
 
 def collaborators(overlap: DataFrame, epoch: int, beta: float) -> DataFrame:
@@ -148,10 +170,17 @@ def collaborators(overlap: DataFrame, epoch: int, beta: float) -> DataFrame:
 
 
 def customised(state: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``client, key, pos, custom``: the mean of a client and its collaborators."""
+    """``client, key, pos, custom``: the mean of a client and its collaborators.
+
+    The clients' values of a cell meet once, and the table of collaborators (clients x clients
+    at most) says which of them count for whom."""
     own = state.select("client").distinct().select(F.col("client").alias("i"), F.col("client").alias("j"))
-    all_ = F.broadcast(pairs.unionByName(own))
-    return all_.join(state, all_["j"] == state["client"]).groupBy(F.col("i").alias("client"), *CELL).agg(F.avg("value").alias("custom"))
+    with_ = pairs.select("i", "j").unionByName(own).distinct().groupBy("i").agg(F.collect_list("j").alias("js"))
+    circles = with_.agg(F.collect_list(F.struct("i", "js")).alias("circles"))
+    cells = state.groupBy(*CELL).agg(F.collect_list(F.struct("client", "value")).alias("held")).join(F.broadcast(circles))
+    mean = "transform(array(filter(held, h -> array_contains(c.js, h.client))), g -> if(size(g) = 0, null, aggregate(g, 0D, (a, h) -> a + h.value) / size(g)))[0]"
+    each = cells.select(*CELL, F.explode(F.expr(f"transform(circles, c -> named_struct('client', c.i, 'custom', {mean}))")).alias("c"))
+    return each.select("c.client", *CELL, "c.custom").filter("custom is not null")
 
 
 def masked_merge(masks: DataFrame, custom: DataFrame, global_: DataFrame) -> DataFrame:

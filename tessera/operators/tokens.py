@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.rng import exact_rank
+from ..functions.order import rank
 from ..functions.text import basic_tokens
 
 IGNORED = -100
@@ -29,9 +29,10 @@ def vocabulary(docs: DataFrame, least: int = 5, text: str = "text") -> DataFrame
     return ranked.select("token", "n", (F.col("_higher") + F.col("_first") + F.col("_nth") + 1).cast("int").alias("token_id"))
 
 
-def encoded(docs: DataFrame, vocab: DataFrame, most: int, id_col: str = "id", text: str = "text") -> DataFrame:
-    """``id, input_ids``: the first ``most`` tokens by the vocabulary, unknown 0."""
-    long = docs.select(id_col, F.posexplode(F.slice(basic_tokens(text), 1, most)).alias("pos", "token"))
+def encoded(docs: DataFrame, vocab: DataFrame, most: int | None = None, id_col: str = "id", text: str = "text") -> DataFrame:
+    """``id, input_ids``: all tokens, or the first ``most``, by the vocabulary, unknown 0."""
+    tokens = basic_tokens(text) if most is None else F.slice(basic_tokens(text), 1, most)
+    long = docs.select(id_col, F.posexplode(tokens).alias("pos", "token"))
     ids = long.join(vocab.select("token", "token_id"), "token", "left").select(id_col, "pos", F.coalesce("token_id", F.lit(0)).alias("t"))
     packed = ids.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("input_ids"))
     return docs.select(id_col).join(packed, id_col, "left").select(id_col, F.coalesce("input_ids", F.array().cast("array<int>")).alias("input_ids"))
@@ -64,17 +65,26 @@ def multi_turn(turns: Column, end: int) -> tuple[Column, Column]:
     return ids, F.when(none & (F.size(ids) > 0), last).otherwise(own)
 
 
-def batches(rows: DataFrame, size: int, most: int, id_col: str = "id", pad: int = 0) -> DataFrame:
-    """``id, batch, input_ids, mask``: batches of ``size`` rows in id order, each
-    padded to its longest row (at most ``most``).  The rank is taken in buckets
-    of the id's place between the least and the greatest id."""
-    ends = rows.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
-    placed = rows.join(F.broadcast(ends)).withColumn("_o", (F.col(id_col) - F.col("lo")) / (F.col("hi") - F.col("lo") + 1))
-    numbered = exact_rank(placed, [], "_o", [id_col]).withColumn("batch", F.expr(f"rank div {size}"))
-    longest = numbered.groupBy("batch").agg(F.least(F.max(F.size("input_ids")), F.lit(most)).alias("len"))
-    both = numbered.join(longest, "batch")
-    mask = F.concat(F.array_repeat(F.lit(1), F.least(F.size("input_ids"), F.col("len"))), F.array_repeat(F.lit(0), F.greatest(F.col("len") - F.size("input_ids"), F.lit(0))))
-    return both.select(id_col, "batch", padded(F.col("input_ids"), F.col("len"), pad).alias("input_ids"), mask.alias("mask"))
+def batches(rows: DataFrame, size: int, most: int, id_col: str = "id", pad: int = 0, by_length: bool = False, left: bool = False) -> DataFrame:
+    """``id, batch, input_ids, mask``: batches of ``size`` rows in the order of ids, or of falling
+    length (``by_length``), so that little is filled up; each is padded to its longest row, at
+    most ``most``, on the right or on the ``left``."""
+    own = rows.select(id_col, "input_ids", F.size("input_ids").alias("_n"))
+    ranked = rank(own, [], [F.desc("_n"), F.col(id_col)] if by_length else [F.col(id_col)]).withColumn("batch", F.expr(f"rank div {size}"))
+    longest = ranked.groupBy("batch").agg(F.least(F.max("_n"), F.lit(most)).alias("len"))
+    both = ranked.join(longest, "batch")
+    ones, none = F.array_repeat(F.lit(1), F.least("_n", "len")), F.array_repeat(F.lit(0), F.greatest(F.col("len") - F.col("_n"), F.lit(0)))
+    mask = F.concat(none, ones) if left else F.concat(ones, none)
+    return both.select(id_col, "batch", padded(F.col("input_ids"), F.col("len"), pad, left).alias("input_ids"), mask.alias("mask"))
+
+
+def prompt_batches(rows: DataFrame, size: int, id_col: str = "id", pad: int = 0) -> DataFrame:
+    """``id, batch, place, prompt, answer``: batches of ``size`` rows in the order of ids; in a
+    batch the longest prompt comes first, and all are padded on the left to its length."""
+    ranked = rank(rows.select(id_col, "prompt", "answer"), [], [F.col(id_col)]).withColumn("batch", F.expr(f"rank div {size}"))
+    own = W.partitionBy("batch")
+    placed = ranked.withColumn("place", F.row_number().over(own.orderBy(F.desc(F.size("prompt")), id_col)) - 1).withColumn("_width", F.max(F.size("prompt")).over(own))
+    return placed.select(id_col, "batch", "place", padded(F.col("prompt"), F.col("_width"), pad, left=True).alias("prompt"), "answer")
 
 
 def prefix_cut(ids: Column, share: float = 0.8) -> tuple[Column, Column]:

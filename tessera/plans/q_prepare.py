@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..functions.order import rank
 from ..functions.rng import exact_rank, u
 from ..operators import formats as O
 from ..operators import joins as J
 from ..operators import split
 from ..operators import tokens as K
+from ..operators.evaluate import mid_rank
 from ..sources import readers, sinks
 from ..sources.scratch import folder
 from .views import ASSIGNED, IDS, LABELS, QA, SAMPLES, SEED, TURNS, answers, assigned, ids, query, questions, samples, sql_assigned, sql_u, table
@@ -383,6 +384,7 @@ def _(spark, d):
 # Tokens: lower-case ASCII words of the page addresses and part names.
 PART_TEXT = "pt AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type || ' ' || p_brand) AS text FROM part)"
 TOKENS = f"{PART_TEXT}, tk AS (SELECT id, regexp_extract_all(text, '[a-z0-9_'']+|[.,!?;:()]') AS t FROM pt), ct AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM tk) GROUP BY token HAVING count(*) >= 5), vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id FROM ct)"
+WHOLE = f"{TOKENS}, lg AS (SELECT id, unnest(t) AS token, unnest(range(len(t))) AS k FROM tk), enc AS (SELECT id, list(coalesce(token_id, 0)::INT ORDER BY k) AS ids FROM lg LEFT JOIN vocab USING (token) GROUP BY id)"
 ENC = f"{TOKENS}, lg AS (SELECT id, unnest(list_slice(t, 1, 64)) AS token, unnest(range(least(len(t), 64))) AS k FROM tk), enc AS (SELECT id, list(coalesce(token_id, 0)::INT ORDER BY k) AS ids FROM lg LEFT JOIN vocab USING (token) GROUP BY id)"
 
 
@@ -390,8 +392,7 @@ def parts(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
 
 
-#: The length of the model's window; no text of a part is longer.
-def encoded(spark, d, most=64):
+def encoded(spark, d, most=None):
     p = parts(spark, d)
     return K.encoded(p, K.vocabulary(p), most)
 
@@ -403,16 +404,16 @@ def _(spark, d):
 
 @query("p30_encode", f"WITH {ENC} SELECT id, ids || list_resize([]::INT[], greatest(64 - len(ids), 0), 1) AS input_ids FROM enc")
 def _(spark, d):
-    return encoded(spark, d).select("id", K.padded(F.col("input_ids"), 64, 1).alias("input_ids"))
+    return encoded(spark, d, 64).select("id", K.padded(F.col("input_ids"), 64, 1).alias("input_ids"))
 
 
-@query("p31_supervised", f"WITH {ENC} SELECT id, list_slice(ids || ids || [2], 1, 129) AS input_ids, list_slice([-100 for x in ids] || ids || [2], 1, 129) AS labels FROM enc")
+@query("p31_supervised", f"WITH {WHOLE} SELECT id, list_slice(ids || ids || [2], 1, 129) AS input_ids, list_slice([-100 for x in ids] || ids || [2], 1, 129) AS labels FROM enc")
 def _(spark, d):
     a, b = K.supervised(F.col("input_ids"), F.col("input_ids"), 2, 129)
     return encoded(spark, d).select("id", a.alias("input_ids"), b.alias("labels"))
 
 
-@query("p32_multi_turn", f"WITH {ENC} SELECT id, ids || [9] || ids || [9] AS input_ids, [-100 for x in ids] || [-100] || ids || [9] AS labels FROM enc")
+@query("p32_multi_turn", f"WITH {WHOLE} SELECT id, ids || [9] || ids || [9] AS input_ids, [-100 for x in ids] || [-100] || ids || [9] AS labels FROM enc")
 def _(spark, d):
     turns = F.array(F.struct(F.lit("user").alias("role"), F.col("input_ids").alias("ids")), F.struct(F.lit("assistant").alias("role"), F.col("input_ids").alias("ids")))
     own = encoded(spark, d).withColumn("turns", turns)
@@ -420,17 +421,28 @@ def _(spark, d):
     return own.select("id", a.alias("input_ids"), b.alias("labels"))
 
 
-@query("p33_batches", f"WITH {ENC}, c AS (SELECT id, list_slice(ids, 1, 1 + id % 4) AS ids FROM enc), r AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 16 AS batch FROM c), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS len FROM r) SELECT id, batch, len(ids) AS n, len AS width FROM m")
+@query("p33_batches", f"WITH {WHOLE}, r AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 16 AS batch FROM enc), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS len FROM r) SELECT id, batch, [1 for x in ids] || list_resize([]::INT[], len - len(ids), 0) AS mask, ids || list_resize([]::INT[], len - len(ids), 0) AS input_ids FROM m")
 def _(spark, d):
-    cut = encoded(spark, d).select("id", F.slice("input_ids", F.lit(1), (1 + F.col("id") % 4).cast("int")).alias("input_ids"))
-    out = K.batches(cut, 16, 100)
-    return out.select("id", F.col("batch").cast("long").alias("batch"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"), F.size("input_ids").cast("long").alias("width"))
+    return K.batches(encoded(spark, d), 16, 100).select("id", F.col("batch").cast("long").alias("batch"), "mask", "input_ids")
 
 
-@query("p34_prefix_cut", f"WITH {ENC} SELECT id, list_slice(ids, 1, floor(len(ids) * 0.8)::INT) AS prompt, list_slice(ids, floor(len(ids) * 0.8)::INT + 1, len(ids)) AS answer FROM enc")
+BY_LENGTH = "r AS (SELECT *, (row_number() OVER (ORDER BY len(ids) DESC, id) - 1) AS rank FROM enc), m AS (SELECT *, rank // 16 AS batch, max(len(ids)) OVER (PARTITION BY rank // 16) AS len FROM r)"
+
+
+@query("p33b_batches_by_length", f"WITH {WHOLE}, {BY_LENGTH} SELECT id, batch, list_resize([]::INT[], len - len(ids), 0) || ids AS input_ids, list_resize([]::INT[], len - len(ids), 0) || [1 for x in ids] AS mask FROM m")
+def _(spark, d):
+    return K.batches(encoded(spark, d), 16, 100, by_length=True, left=True).select("id", F.col("batch").cast("long").alias("batch"), "input_ids", "mask")
+
+
+CUT = f"{WHOLE}, c AS (SELECT id, list_slice(ids, 1, floor(len(ids) * 0.8)::INT) AS prompt, list_slice(ids, floor(len(ids) * 0.8)::INT + 1, len(ids)) AS answer FROM enc)"
+
+
+@query("p34_prefix_cut", f"""WITH {CUT}, r AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 16 AS batch FROM c), m AS (SELECT *, max(len(prompt)) OVER (PARTITION BY batch) AS width, row_number() OVER (PARTITION BY batch ORDER BY len(prompt) DESC, id) - 1 AS place FROM r)
+    SELECT id, batch, place, list_resize([]::INT[], width - len(prompt), 0) || prompt AS prompt, answer FROM m""")
 def _(spark, d):
-    a, b = K.prefix_cut(F.col("input_ids"))
-    return encoded(spark, d).select("id", a.alias("prompt"), b.alias("answer"))
+    prompt, answer = K.prefix_cut(F.col("input_ids"))
+    cut = encoded(spark, d).select("id", prompt.alias("prompt"), answer.alias("answer"))
+    return K.prompt_batches(cut, 16).select("id", F.col("batch").cast("long").alias("batch"), F.col("place").cast("long").alias("place"), "prompt", "answer")
 
 
 @query("p35_hashed_bag", f"WITH {PART_TEXT}, w AS (SELECT id, unnest(string_split(text, ' ')) AS w FROM pt), b AS (SELECT id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INT AS bucket, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL) SELECT id, bucket, round(n / sum(n) OVER (PARTITION BY id), 9) AS weight FROM b")
@@ -558,8 +570,7 @@ def _(spark, d):
 @query("w06_mid_rank", "WITH c AS (SELECT l_returnflag AS label, l_quantity AS s, count(*) AS n FROM lineitem GROUP BY ALL) SELECT label, s, coalesce(sum(n) OVER (PARTITION BY label ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM c")
 def _(spark, d):
     c = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("label").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return c.select("label", "s", (before + (F.col("n") + 1) / 2).alias("rank"))
+    return mid_rank(c).select("label", "s", "rank")
 
 
 @query("t01_top_and_bottom", "(SELECT 'top' AS side, o_orderkey AS id, o_totalprice AS x FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10) UNION ALL (SELECT 'bottom', o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10)")
@@ -574,8 +585,8 @@ def _(spark, d):
     o = table(spark, d, "orders")
     n = o.select(F.when(F.col("o_custkey") % 10 == 0, "client_x").otherwise(F.concat(F.lit("client_"), (F.col("o_custkey") % 25).cast("string"))).alias("name")).distinct()
     number = F.expr("try_cast(regexp_extract(name, '([0-9]+)', 1) as int)")
-    order = W.partitionBy(F.lit(0)).orderBy(number.asc_nulls_last(), "name")
-    return n.select("name", F.row_number().over(order).cast("long").alias("place"))
+    ranked = rank(n.withColumn("k", number), [], [F.asc_nulls_last("k"), F.col("name")])
+    return ranked.select("name", (F.col("rank") + 1).alias("place"))
 
 
 @query("u01_union_of_shards", f"WITH {ASSIGNED} SELECT client, count(*) AS n, min(id) AS first FROM assigned WHERE client IN (1, 4, 7) GROUP BY client")

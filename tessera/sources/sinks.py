@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.rng import u
 
 
-def client_shards(df: DataFrame, path: str, seed: int = 0, overwrite: bool = False, id_col: str = "id", client: str = "client_id") -> None:
+def client_shards(df: DataFrame, path: str, seed: int = 0, overwrite: bool = False, id_col: str = "id", client: str = "client_id", rows_per_file: int = 1_000_000) -> None:
     """JSON lines by client, shuffled within a client.  Refuses a folder that
     has data unless ``overwrite``; then stale clients go, too.
 
-    A client's rows are salted over files of bounded size, so a very large
-    client is not one task's work."""
-    shuffled = df.withColumn("_u", u(seed, "order", id_col))
-    dealt = shuffled.repartition(client, F.floor(F.col("_u") * 8)).sortWithinPartitions(client, "_u").drop("_u")
-    dealt.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(client).json(path)
+    Rows are dealt by ranges of (client, shuffled place), about ``rows_per_file`` a task, so a
+    very large client is cut over many tasks, and no file has more rows than that.  A client's
+    files, in the order of their names, hold its rows in their shuffled order."""
+    parts = max(1, -(-df.count() // rows_per_file))
+    dealt = df.withColumn("_u", u(seed, "order", id_col)).repartitionByRange(parts, client, "_u").sortWithinPartitions(client, "_u").drop("_u")
+    mode = "overwrite" if overwrite else "errorifexists"
+    dealt.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(client).json(path)
 
 
 def manifest(spark, path: str, kind: str, parameters: dict[str, str], history: list[dict[str, str]] | None = None) -> DataFrame:
