@@ -6,12 +6,15 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.order import running
+from ..sources.scratch import folder
 
 UNKNOWN = "UNK"
 
@@ -165,23 +168,94 @@ def rouge_n(pairs: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     return pairs.select(id_col).join(over, id_col, "left").select(id_col, F.coalesce(F.when(F.col("o") > 0, 2.0 * F.col("o") / (F.col("na") + F.col("nb"))), F.lit(0.0)).alias("f"))
 
 
-def most_similar(asked: DataFrame, items: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``id, ref, f``: for each row of ``asked`` the other item with the largest F of
-    ROUGE-1, the smallest id of equal ones; rows that share no word with any item are
-    left out.
+#: Rarest words of a query that find its first candidates, and rows of a word in one task.
+FIRST_WORDS, POSTINGS = 6, 4096
 
-    Words meet in an inverted index, so only items that share one are compared; give
-    ``asked`` as the smaller table.
-    """
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        toks = df.select(F.col(id_col).alias(name), T.rouge_tokens(text_col).alias("t"))
-        return toks.select(name, F.size("t").alias(f"n_{name}"), F.explode("t").alias("w")).groupBy(name, f"n_{name}", "w").agg(F.count(F.lit(1)).alias(f"k_{name}"))
+def _grams(df: DataFrame, name: str, n: int, id_col: str, text_col: str) -> DataFrame:
+    """``name, n_name, w, k_name``: n-grams of words with their counts and their number in all."""
+    toks = df.select(F.col(id_col).alias(name), T.rouge_tokens(text_col).alias("t"))
+    grams = F.col("t") if n == 1 else F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    g = toks.select(name, grams.alias("g"))
+    return g.select(name, F.size("g").alias(f"n_{name}"), F.explode("g").alias("w")).groupBy(name, f"n_{name}", "w").agg(F.count(F.lit(1)).alias(f"k_{name}"))
+
 
-    met = counted(asked, "id").join(counted(items, "ref"), "w").filter("id <> ref")
-    over = met.groupBy("id", "ref", "n_id", "n_ref").agg(F.sum(F.least("k_id", "k_ref")).alias("o"))
-    scored = over.select("id", "ref", F.round(2.0 * F.col("o") / (F.col("n_id") + F.col("n_ref")), 12).alias("f"))
-    return scored.groupBy("id").agg(F.max_by("ref", F.struct(F.col("f"), -F.col("ref"))).alias("ref"), F.max("f").alias("f"))
+def most_similar(asked: DataFrame, items: DataFrame, metric: str = "rouge1", id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``id, ref, f``: for each row of ``asked`` the other item with the largest F of ROUGE-1, -2
+    or -L (``rouge1``, ``rouge2``, ``rougeL``), the smallest id of equal ones; rows that share
+    nothing with any item are left out, as are null texts.
+
+    An exact similarity join.  The rarest words of a query find first candidates, whose best F is
+    a bound from below.  With it only items of fitting length that share one of the query's rarer
+    words can be better: the other words, the frequent ones, are too few to reach the bound alone.
+    What has been met so far and what may still come bound each pair from above; only pairs that
+    may reach the bound are compared in full.  Words that are met in very many items are dealt
+    over tasks.  The longest common subsequence is no longer than the overlap of words, so ROUGE-L
+    has the same candidates, with the bound of its own.
+    """
+    if metric not in ("rouge1", "rouge2", "rougeL"):
+        raise ValueError(f"unknown metric {metric!r}; known: rouge1, rouge2, rougeL")
+    spark, n = asked.sparkSession, 2 if metric == "rouge2" else 1
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = folder(spark, "similar")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    held = kept(_grams(items, "ref", n, id_col, text_col))
+    often = held.groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    queries = _grams(asked, "id", n, id_col, text_col).join(often, "w", "left").na.fill(0, ["often"])
+    rarer = W.partitionBy("id").orderBy("often", "w")
+    before = F.coalesce(F.sum("k_id").over(rarer.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = kept(queries.withColumn("before", before).withColumn("place", F.count_if(F.col("often") > 1).over(rarer)))
+
+    def met(words: DataFrame) -> DataFrame:
+        """Words of queries with the items that have them."""
+        chunks = F.ceil(F.col("often") / POSTINGS).cast("int")
+        hot = often.filter(F.col("often") > POSTINGS).select("w", chunks.alias("chunks"))
+        salted = held.join(hot, "w", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("ref"), "chunks"), F.lit(0)).cast("int")).drop("chunks")
+        asked_ = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(chunks, F.lit(1)) - 1))).drop("often")
+        return asked_.join(salted, ["w", "salt"]).filter("id <> ref")
+
+    def f(o: Column) -> Column:
+        return F.round(2.0 * o / (F.col("n_id") + F.col("n_ref")), 12)
+
+    def in_full(pairs: DataFrame, words: DataFrame) -> DataFrame:
+        """``id, ref, n_id, n_ref, f`` of ``pairs`` with the overlap ``o`` so far, and ``words`` still to come."""
+        more = pairs.join(words.select("id", "w", "k_id"), "id").join(held.select("ref", "w", "k_ref"), ["ref", "w"])
+        rest = more.groupBy("id", "ref").agg(F.sum(F.least("k_id", "k_ref")).alias("more"))
+        both = pairs.join(rest, ["id", "ref"], "left").withColumn("f", f(F.col("o") + F.coalesce("more", F.lit(0))))
+        return both.select("id", "ref", "n_id", "n_ref", "f")
+
+    def best(scored: DataFrame) -> DataFrame:
+        return scored.groupBy("id").agg(F.max_by("ref", F.struct(F.col("f"), -F.col("ref"))).alias("ref"), F.max("f").alias("f"))
+
+    def subsequences(pairs: DataFrame) -> DataFrame:
+        """Pairs with the F of their longest common subsequence."""
+        a = asked.select(F.col(id_col).alias("id"), F.col(text_col).alias("a"))
+        b = items.select(F.col(id_col).alias("ref"), F.col(text_col).alias("b"))
+        texts = pairs.select("id", "ref").join(a, "id").join(b, "ref").withColumn("pair", F.struct("id", "ref"))
+        return rouge_l(texts.select("pair", "a", "b"), "pair").select("pair.id", "pair.ref", F.round("f", 12).alias("f"))
+
+    first = met(own.filter((F.col("place") <= FIRST_WORDS) & (F.col("often") > 1)))
+    few = first.groupBy("id", "ref", "n_id", "n_ref").agg(F.sum(F.least("k_id", "k_ref")).alias("o"))
+    top = few.groupBy("id").agg(F.max_by(F.struct("ref", "n_id", "n_ref"), F.struct(f(F.col("o")), -F.col("ref"))).alias("t")).select("id", "t.*")
+    start = in_full(top.withColumn("o", F.lit(0)), own)
+    start = kept((subsequences(start) if metric == "rougeL" else start).select("id", F.col("f").alias("least")))
+    bounded = own.join(start, "id", "left").na.fill(0.0, ["least"])
+    # Fewest shared words of an item that reaches the bound.
+    needed = F.ceil(F.col("least") * F.col("n_id") / (2 - F.col("least")) - 1e-9)
+    marked = kept(bounded.withColumn("early", F.col("before") <= F.col("n_id") - F.greatest(needed, F.lit(1))))
+    late = marked.groupBy("id").agg(F.sum(F.when(F.col("early"), 0).otherwise(F.col("k_id"))).alias("late"))
+    fits = (2.0 * F.least("n_id", "n_ref") >= (F.col("least") - 1e-9) * (F.col("n_id") + F.col("n_ref")))
+    shared = met(marked.filter("early")).filter(fits)
+    pairs = shared.groupBy("id", "ref", "n_id", "n_ref", "least").agg(F.sum(F.least("k_id", "k_ref")).alias("o")).join(late, "id")
+    most = F.col("o") + F.least(F.col("late"), F.col("n_ref") - F.col("o"))
+    left = kept(pairs.filter(f(most) >= F.col("least") - 1e-9).drop("late"))
+    full = in_full(left, marked.filter("not early"))
+    if metric != "rougeL":
+        return best(full)
+    return best(subsequences(full.join(start, "id", "left").filter(F.col("f") >= F.coalesce("least", F.lit(0.0)) - 1e-9)).filter("f > 0"))
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -202,10 +276,10 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(F.aggregate(a, zero, row)), F.lit(0))
 
 
-def lcs(a: list[str], b: list[str]) -> int:
+def lcs(a: list, b: list) -> int:
     """Longest common subsequence, a row of the textbook programme at a time as the
     bits of one number; memory is linear in the tokens."""
-    places: dict[str, list[int]] = defaultdict(list)
+    places: dict[object, list[int]] = defaultdict(list)
     for i, y in enumerate(b):
         places[y].append(i)
     full = (1 << len(b)) - 1
@@ -227,8 +301,14 @@ def rouge_l(pairs: DataFrame, id_col: str = "id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = []
-            for x, y in zip(batch.column(1), batch.column(2)):
-                a, b = x.as_py() or [], y.as_py() or []
+            # One number for each distinct word of the batch, so words are compared as numbers.
+            sides = [batch.column(i).fill_null([]) for i in (1, 2)]
+            coded = pa.concat_arrays([x.flatten() for x in sides]).dictionary_encode().indices.to_pylist()
+            sizes = [pc.list_value_length(x).to_pylist() for x in sides]
+            at, other = 0, sum(sizes[0])
+            for k, m in zip(*sizes):
+                a, b = coded[at : at + k], coded[other : other + m]
+                at, other = at + k, other + m
                 n = lcs(a, b)
                 f.append(2.0 * n / (len(a) + len(b)) if n else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.float64())], [id_col, "f"])

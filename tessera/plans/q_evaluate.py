@@ -159,27 +159,54 @@ def _(spark, d):
     return E.rouge_l(bench(spark, d)).select("id", F.round("f", 9).alias("f"))
 
 
-#: Items with their references, the three that follow, by the F of ROUGE-1.
-MULTI = f"""b AS (SELECT item_id AS id, [x for x in {TOK.format(c='text')} if x <> ''] AS t FROM benchmark), pr AS (SELECT x.id, y.id AS ref, x.t AS a, y.t AS b FROM b x JOIN b y ON y.id IN (x.id + 1, x.id + 2, x.id + 3)),
-    g AS (SELECT id, ref, unnest(a) AS g, 1 AS x, 0 AS y FROM pr UNION ALL SELECT id, ref, unnest(b), 0, 1 FROM pr), c AS (SELECT id, ref, g, sum(x) AS x, sum(y) AS y FROM g GROUP BY ALL),
-    o AS (SELECT id, ref, sum(least(x, y)) AS o, sum(x) AS na, sum(y) AS nb FROM c GROUP BY id, ref), s AS (SELECT pr.id, pr.ref, round(coalesce(CASE WHEN o > 0 THEN 2 * o / (na + nb) END, 0), 9) AS f FROM pr LEFT JOIN o USING (id, ref))"""
+#: Items with their references, the three that follow, by the F of ROUGE-1 and ROUGE-2.
+MULTI = f"""b AS (SELECT item_id AS id, text, [x for x in {TOK.format(c='text')} if x <> ''] AS t FROM benchmark), b2 AS (SELECT 'rouge1' AS metric, id, t FROM b UNION ALL SELECT 'rouge2', id, [array_to_string(list_slice(t, i, i + 1), ' ') for i in range(1, len(t))] FROM b),
+    pr AS (SELECT x.metric, x.id, y.id AS ref, x.t AS a, y.t AS b FROM b2 x JOIN b2 y ON x.metric = y.metric AND y.id IN (x.id + 1, x.id + 2, x.id + 3)),
+    g AS (SELECT metric, id, ref, unnest(a) AS g, 1 AS x, 0 AS y FROM pr UNION ALL SELECT metric, id, ref, unnest(b), 0, 1 FROM pr), c AS (SELECT metric, id, ref, g, sum(x) AS x, sum(y) AS y FROM g GROUP BY ALL),
+    o AS (SELECT metric, id, ref, sum(least(x, y)) AS o, sum(x) AS na, sum(y) AS nb FROM c GROUP BY ALL), s AS (SELECT pr.metric, pr.id, pr.ref, round(coalesce(CASE WHEN o > 0 THEN 2 * o / (na + nb) END, 0), 9) AS f FROM pr LEFT JOIN o USING (metric, id, ref))"""
 
 
-def multi(spark, d):
+def references(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("a"))
     asked = b.select("id", "a", F.explode(F.array(*[F.col("id") + k for k in (1, 2, 3)])).alias("ref"))
-    both = asked.join(b.select(F.col("id").alias("ref"), F.col("a").alias("b")), "ref").withColumn("pair", F.struct("id", "ref"))
-    return E.rouge_n(both.select("pair", "a", "b"), 1, "pair").select("pair.id", "pair.ref", F.round("f", 9).alias("f"))
+    return asked.join(b.select(F.col("id").alias("ref"), F.col("a").alias("b")), "ref").select(F.struct("id", "ref").alias("pair"), "a", "b")
 
 
-@query("e17_best_reference", f"WITH {MULTI} SELECT id, max(f) AS f FROM s GROUP BY id")
+def multi(spark, d, metrics=("rouge1", "rouge2")):
+    """``metric, id, ref, f`` of items with their references."""
+    pairs, found = references(spark, d), {}
+    for m in metrics:
+        found[m] = E.rouge_l(pairs, "pair") if m == "rougeL" else E.rouge_n(pairs, int(m[-1]), "pair")
+    parts = [df.select(F.lit(m).alias("metric"), "pair.id", "pair.ref", F.round("f", 9).alias("f")) for m, df in found.items()]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def best_of(rows):
+    return rows.groupBy("metric", "id").agg(F.max_by("ref", F.struct(F.col("f"), -F.col("ref"))).alias("ref"), F.max("f").alias("f"))
+
+
+@query("e17_best_reference", f"WITH {MULTI} SELECT metric, id, arg_max(ref, (f, -ref)) AS ref, max(f) AS f FROM s GROUP BY metric, id")
 def _(spark, d):
-    return multi(spark, d).groupBy("id").agg(F.max("f").alias("f"))
+    return best_of(multi(spark, d))
 
 
-@query("e18_score_summary", f"WITH {MULTI} SELECT round(avg(f), 8) AS mean, max(f) AS most, round(stddev_pop(f), 8) AS sd FROM s")
+@query("e17b_best_reference_l")
 def _(spark, d):
-    return multi(spark, d).agg(F.round(F.avg("f"), 8).alias("mean"), F.max("f").alias("most"), F.round(F.stddev_pop("f"), 8).alias("sd"))
+    return best_of(multi(spark, d, ("rougeL",)))
+
+
+def summary(rows):
+    return rows.groupBy("metric").agg(F.round(F.avg("f"), 8).alias("mean"), F.max("f").alias("most"), F.round(F.stddev_pop("f"), 8).alias("sd"))
+
+
+@query("e18_score_summary", f"WITH {MULTI} SELECT metric, round(avg(f), 8) AS mean, max(f) AS most, round(stddev_pop(f), 8) AS sd FROM s GROUP BY metric")
+def _(spark, d):
+    return summary(multi(spark, d))
+
+
+@query("e18b_score_summary_l")
+def _(spark, d):
+    return summary(multi(spark, d, ("rougeL",)))
 
 
 def sql_poisson(x: str, top: int = 8) -> str:
@@ -191,26 +218,52 @@ def sql_poisson(x: str, top: int = 8) -> str:
     return " + ".join(parts)
 
 
-@query("e19_bootstrap_mean", f"""WITH {MULTI}, one AS (SELECT id, max(f) AS f FROM s GROUP BY id), r AS (SELECT id, f, unnest(range(30))::INT AS b FROM one), un AS (SELECT *, {sql_u(SEED, 'poisson', 'b', 'id')} AS u FROM r),
+@query("e19_bootstrap_mean", f"""WITH {MULTI}, one AS (SELECT id, max(f) AS f FROM s WHERE metric = 'rouge1' GROUP BY id), r AS (SELECT id, f, unnest(range(30))::INT AS b FROM one), un AS (SELECT *, {sql_u(SEED, 'poisson', 'b', 'id')} AS u FROM r),
     m AS (SELECT b, sum(({sql_poisson('u')}) * f) / sum({sql_poisson('u')}) AS m FROM un GROUP BY b) SELECT round(quantile_cont(m, 0.5), 8) AS mid FROM m""")
 def _(spark, d):
-    one = multi(spark, d).groupBy("id").agg(F.max("f").alias("f"))
+    one = multi(spark, d, ("rouge1",)).groupBy("id").agg(F.max("f").alias("f"))
     return A.bootstrap_mean(one, "f", 30, "id", SEED).select(F.round("mid", 8).alias("mid"))
 
 
-@query("e20_most_similar", f"""WITH b AS (SELECT item_id AS id, [x for x in {TOK.format(c='text')} if x <> ''] AS t FROM benchmark), w AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(t) AS g FROM b) GROUP BY ALL),
-    o AS (SELECT x.id, y.id AS ref, sum(least(x.n, y.n)) AS o FROM w x JOIN w y ON x.g = y.g AND x.id <> y.id WHERE x.id % 100 = 0 GROUP BY ALL), s AS (SELECT o.id, ref, round(2 * o / (len(p.t) + len(q.t)), 9) AS f FROM o JOIN b p ON p.id = o.id JOIN b q ON q.id = ref)
-    SELECT id, arg_max(ref, (f, -ref)) AS ref, max(f) AS f FROM s GROUP BY id""")
-def _(spark, d):
+def sql_similar(n: int) -> str:
+    gram = "t" if n == 1 else "[array_to_string(list_slice(t, i, i + 1), ' ') for i in range(1, len(t))]"
+    return f"""WITH b0 AS (SELECT item_id AS id, [x for x in {TOK.format(c='text')} if x <> ''] AS t FROM benchmark), b AS (SELECT id, {gram} AS t FROM b0), w AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(t) AS g FROM b) GROUP BY ALL),
+    o AS (SELECT x.id, y.id AS ref, sum(least(x.n, y.n)) AS o FROM w x JOIN w y ON x.g = y.g AND x.id <> y.id WHERE x.id % 100 = 0 GROUP BY ALL), s AS (SELECT o.id, ref, round(2 * o / (len(p.t) + len(q.t)), 12) AS f FROM o JOIN b p ON p.id = o.id JOIN b q ON q.id = ref)
+    SELECT id, arg_max(ref, (f, -ref)) AS ref, round(max(f), 9) AS f FROM s GROUP BY id"""
+
+
+def similar(spark, d, metric):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text"))
-    return E.most_similar(b.filter("id % 100 = 0"), b).select("id", "ref", F.round("f", 9).alias("f"))
+    return E.most_similar(b.filter("id % 100 = 0"), b, metric).select("id", "ref", F.round("f", 9).alias("f"))
+
+
+@query("e20_most_similar", sql_similar(1))
+def _(spark, d):
+    return similar(spark, d, "rouge1")
+
+
+@query("e20b_most_similar_2", sql_similar(2))
+def _(spark, d):
+    return similar(spark, d, "rouge2")
+
+
+@query("e20c_most_similar_l")
+def _(spark, d):
+    return similar(spark, d, "rougeL")
+
+
+SHOWN = "SELECT '{side}' AS side, metric, s.id, ref, x.text AS input, y.text AS target, f FROM s JOIN b x ON x.id = s.id JOIN b y ON y.id = s.ref QUALIFY row_number() OVER (PARTITION BY metric ORDER BY f {way}, s.id, ref) <= 10"
 
 
-@query("e21_best_and_worst", f"WITH {MULTI} (SELECT 'best' AS side, id, ref, f FROM s ORDER BY f DESC, id, ref LIMIT 10) UNION ALL (SELECT 'worst', id, ref, f FROM s ORDER BY f, id, ref LIMIT 10)")
+@query("e21_best_and_worst", f"WITH {MULTI} {SHOWN.format(side='best', way='DESC')} UNION ALL {SHOWN.format(side='worst', way='ASC')}")
 def _(spark, d):
-    s = multi(spark, d)
-    best = s.orderBy(F.desc("f"), "id", "ref").limit(10).withColumn("side", F.lit("best"))
-    return best.unionByName(s.orderBy("f", "id", "ref").limit(10).withColumn("side", F.lit("worst"))).select("side", "id", "ref", "f")
+    s, parts = multi(spark, d), []
+    for m in ("rouge1", "rouge2"):  # ten rows a side, taken without a sort of all
+        own = s.filter(F.col("metric") == m)
+        parts += [own.orderBy(order, "id", "ref").limit(10).withColumn("side", F.lit(side)) for side, order in (("best", F.desc("f")), ("worst", F.asc("f")))]
+    found = F.broadcast(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    texts = references(spark, d).select("pair.id", "pair.ref", F.col("a").alias("input"), F.col("b").alias("target"))
+    return texts.join(found, ["id", "ref"]).select("side", "metric", "id", "ref", "input", "target", "f")
 
 
 LOSS = f"""{PREDS}, l AS (SELECT *, CASE gt WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS k, score_vector AS s FROM preds), prior AS (SELECT k, ln(count(*) / (SELECT count(*) FROM l)) AS lp FROM l GROUP BY k), pl AS (SELECT list(lp ORDER BY k) AS lp FROM prior),
