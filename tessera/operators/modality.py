@@ -85,3 +85,41 @@ def apply_patterns(df: DataFrame, patterns: DataFrame, rate: float = 1.0, seed:
 def noted(df: DataFrame, note: str) -> DataFrame:
     """Appends a note to the ``transformations`` of every row."""
     return df.withColumn("transformations", F.concat(F.coalesce("transformations", F.array().cast("array<string>")), F.array(F.lit(note))))
+
+
+# Grids: every statistical setting with every modal one, from one scan.
+
+
+def modal_settings(missing: list[float], cross: list[tuple[int, int]], keep: list[float]) -> list[tuple[str, str, float, int]]:
+    """``modal, kind, rate, image_only`` of aligned, missing, cross and hybrid settings."""
+    rows = [("aligned", "aligned", 0.0, 0)]
+    rows += [(f"missing_{r:g}", "missing", float(r), 0) for r in missing]
+    rows += [(f"cross_{a}_{b}", "cross", 0.0, a) for a, b in cross]
+    return rows + [(f"hybrid_{r:g}", "hybrid", float(r), 0) for r in keep]
+
+
+def settings_table(spark, stats: list[str], modals: list[tuple[str, str, float, int]], clients: int, seed: int = 0) -> DataFrame:
+    """``stat, modal, client, kind, rate, image_client``: a row for each setting and client; in
+    cross settings ``image_only`` random clients keep the image."""
+    names = F.explode(F.array(*[F.lit(s) for s in stats])).alias("stat")
+    rows = spark.createDataFrame(modals, "modal string, kind string, rate double, image_only int").select("*", names)
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(clients - 1))).alias("client"))
+    order = W.partitionBy("stat", "modal").orderBy(u(seed, "grid-cross", "stat", "modal", "client"), "client")
+    return each.select("stat", "modal", "client", "kind", "rate", (F.row_number().over(order) <= F.col("image_only")).alias("image_client"))
+
+
+def setting_grid(df: DataFrame, placed: Column, settings: DataFrame, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """``df`` once for each setting, with ``stat, modal, client`` and what the setting leaves of
+    ``img`` and ``text``; ``placed`` is an array of ``stat, client`` of a row.
+
+    The table is read once; settings x clients rows are broadcast, and their columns are part
+    of the masks.  Draws differ between settings."""
+    own = df.withColumn("_placed", F.explode(placed)).select(*df.columns, F.col("_placed.stat").alias("stat"), F.col("_placed.client").alias("client"))
+    each = own.join(F.broadcast(settings), ["stat", "client"])
+    ui, ut, uc = (u(seed, f"grid-{x}", "stat", "modal", id_col) for x in ("img", "text", "coin"))
+    hit = lambda x: F.when(F.col("kind") == "missing", x < F.col("rate")).when(F.col("kind") == "hybrid", x >= F.col("rate")).otherwise(F.lit(False))
+    marked = each.withColumn("_hi", hit(ui)).withColumn("_ht", hit(ut)).withColumn("_coin", uc < 0.5)
+    cross = F.col("kind") == "cross"
+    drop_img = F.when(cross, ~F.col("image_client")).otherwise(F.col("_hi") & ~(F.col("_ht") & F.col("_coin")))
+    drop_text = F.when(cross, F.col("image_client")).otherwise(F.col("_ht") & ~(F.col("_hi") & ~F.col("_coin")))
+    return mask(marked, drop_img, drop_text).drop("_hi", "_ht", "_coin", "kind", "rate", "image_client")

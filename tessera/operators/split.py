@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -205,6 +205,19 @@ def stratified_round_robin(df: DataFrame, clients: int, seed: int = 0, label: st
     return ranked.join(ordinal, label).withColumn("client", F.pmod(F.col("rank") + F.col("_l"), F.lit(clients)).cast("int")).drop("rank", "_l")
 
 
+def placements(df: DataFrame, labels: list[str], clients: int, alphas: list[float], seed: int = 0, label: str = "label", id_col: str = "id") -> tuple[DataFrame, Column]:
+    """``df`` with what a column of ``stat, client`` arrays needs, and that column: the client of a
+    row in the iid split (dealt in turn) and in a Dirichlet split for each alpha."""
+    cuts = {f"dir_{a}": dirichlet_shares(labels, clients, a, seed) for a in alphas}
+    rows = [(x, [[r[3] for r in bounds({x: shares[x]})] for shares in cuts.values()]) for x in labels]
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, f"{label} string, _cuts array<array<double>>"))
+    dealt = stratified_round_robin(df.select(id_col, label), clients, seed, label, id_col).select(id_col, F.col("client").alias("_iid"))
+    own = df.join(dealt, id_col).join(table, label).withColumn("_u", u(seed, "dir", id_col))
+    at = lambda k: F.size(F.filter(F.col("_cuts")[k], lambda c: c <= F.col("_u"))).cast("int")
+    stats = [F.struct(F.lit(name).alias("stat"), at(k).alias("client")) for k, name in enumerate(cuts)]
+    return own, F.array(F.struct(F.lit("iid").alias("stat"), F.col("_iid").alias("client")), *stats)
+
+
 def participation(spark, rounds: int, clients: int, rate: float | None = None, count: int | None = None, seed: int = 0) -> DataFrame:
     """``round, client``: the clients that take part, ``int(rate * clients)`` or
     ``count`` of them (all where that is more)."""

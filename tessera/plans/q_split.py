@@ -316,27 +316,34 @@ def _(spark, d):
     return modality.noted(own.filter("label = 'en'"), "kept").unionByName(modality.noted(own.filter("label <> 'en'"), "missing")).select("id", "transformations")
 
 
-SETTINGS = [("aligned", "FALSE", "FALSE"), ("missing_0.3", *sql_bernoulli(0.3, "missing")), ("hybrid_0.6", *sql_bernoulli(0.6, "hybrid", keep=True))]
+MISSING = sql_bernoulli(0.3, "missing")
+
+
+#: The settings of the grid, four statistical and ten modal ones.
+ALPHAS = [1.0, 0.5, 0.1]
+MODALS = modality.modal_settings([0.3, 0.4, 0.5], [(3, 7), (5, 5), (7, 3)], [0.8, 0.7, 0.6])
 
 
 def grid(spark, d):
-    """Every statistical setting with every modal one, as columns of one plan."""
-    base = samples(spark, d)
-    stats = [split.dirichlet_assign(base, split.dirichlet_shares(LABELS, CLIENTS, a, SEED), SEED).withColumn("stat", F.lit(f"dir_{a}")) for a in (0.1, 1.0)]
-    both = stats[0].unionByName(stats[1])
-    masks = {"aligned": both, "missing_0.3": modality.bernoulli(both, 0.3, SEED), "hybrid_0.6": modality.hybrid(both, 0.6, SEED)}
-    parts = [df.withColumn("modal", F.lit(name)) for name, df in masks.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Every statistical setting with every modal one, from one scan."""
+    own, placed = split.placements(samples(spark, d), LABELS, CLIENTS, ALPHAS, SEED)
+    settings = modality.settings_table(spark, ["iid", *[f"dir_{a}" for a in ALPHAS]], MODALS, CLIENTS, SEED)
+    return modality.setting_grid(own.select("id", "label", "img", "text", placed.alias("_p")), F.col("_p"), settings, SEED).drop("_p")
 
 
 def sql_grid() -> str:
-    parts = []
-    for a in (0.1, 1.0):
-        name = f"a{str(a).replace('.', '_')}"
+    parts, names = [], {a: f"a{str(a).replace('.', '_')}" for a in ALPHAS}
+    for a, name in names.items():
         parts.append(sql_assigned("samples", name, split.dirichlet_shares(LABELS, CLIENTS, a, SEED)))
-    union = " UNION ALL ".join(f"SELECT id, label, client, 'dir_{a}' AS stat, img, text FROM a{str(a).replace('.', '_')}" for a in (0.1, 1.0))
-    masked = " UNION ALL ".join(f"SELECT id, label, client, stat, '{m}' AS modal, CASE WHEN NOT {di} THEN img END AS img, CASE WHEN NOT {dt} THEN text END AS text FROM both_" for m, di, dt in SETTINGS)
-    return f"{SAMPLES}, {', '.join(parts)}, both_ AS ({union}), grid AS ({masked})"
+    dealt = f"""dealt AS (SELECT *, ((row_number() OVER (PARTITION BY label ORDER BY {sql_u(SEED, 'strat', 'id')}, id) - 1 + l) % {CLIENTS})::INT AS client FROM (SELECT *, dense_rank() OVER (ORDER BY label) - 1 AS l FROM samples))"""
+    union = " UNION ALL ".join(["SELECT id, label, client, 'iid' AS stat, img, text FROM dealt", *[f"SELECT id, label, client, 'dir_{a}' AS stat, img, text FROM {name}" for a, name in names.items()]])
+    ranks = f"row_number() OVER (PARTITION BY stat, modal ORDER BY {sql_u(SEED, 'grid-cross', 'stat', 'modal', 'client')}, client) <= image_only AS image_client"
+    settings = f"settings AS (SELECT *, {ranks} FROM modals CROSS JOIN (SELECT DISTINCT stat FROM both_) CROSS JOIN (SELECT range::INT AS client FROM range({CLIENTS})))"
+    hit = lambda x: f"CASE kind WHEN 'missing' THEN {sql_u(SEED, f'grid-{x}', 'b.stat', 'modal', 'id')} < rate WHEN 'hybrid' THEN {sql_u(SEED, f'grid-{x}', 'b.stat', 'modal', 'id')} >= rate ELSE FALSE END"
+    marked = f"marked AS (SELECT b.*, modal, kind, image_client, {hit('img')} AS hi, {hit('text')} AS ht, {sql_u(SEED, 'grid-coin', 'b.stat', 'modal', 'id')} < 0.5 AS coin FROM both_ b JOIN settings s ON s.stat = b.stat AND s.client = b.client)"
+    di, dt = "CASE WHEN kind = 'cross' THEN NOT image_client ELSE hi AND NOT (ht AND coin) END", "CASE WHEN kind = 'cross' THEN image_client ELSE ht AND NOT (hi AND NOT coin) END"
+    masked = f"SELECT id, label, client, stat, modal, CASE WHEN NOT {di} THEN img END AS img, CASE WHEN NOT {dt} THEN text END AS text FROM marked"
+    return f"{SAMPLES}, {values('modals', 'modal, kind, rate, image_only', MODALS)}, {', '.join(parts)}, {dealt}, both_ AS ({union}), {settings}, {marked}, grid AS ({masked})"
 
 
 @query("s20_setting_grid", f"WITH {sql_grid()} SELECT stat, modal, client, count(*) AS n, count(img) AS with_img, count(text) AS with_text FROM grid GROUP BY ALL")
@@ -344,7 +351,7 @@ def _(spark, d):
     return grid(spark, d).groupBy("stat", "modal", "client").agg(F.count(F.lit(1)).alias("n"), F.count("img").alias("with_img"), F.count("text").alias("with_text"))
 
 
-@query("s21_processing_grid", f"""WITH {SPLIT_SAMPLES}, {PATTERNS}, m AS (SELECT * REPLACE (CASE WHEN NOT {SETTINGS[1][1]} THEN img END AS img, CASE WHEN NOT {SETTINGS[1][2]} THEN text END AS text) FROM assigned),
+@query("s21_processing_grid", f"""WITH {SPLIT_SAMPLES}, {PATTERNS}, m AS (SELECT * REPLACE (CASE WHEN NOT {MISSING[0]} THEN img END AS img, CASE WHEN NOT {MISSING[1]} THEN text END AS text) FROM assigned),
     j AS (SELECT m.*, pattern, {sql_u(SEED, 'apply', 'id')} < 1.0 AS hit FROM m JOIN patterns USING (client))
     SELECT client, count(*) AS n, count(CASE WHEN pattern <> 'text_only' THEN img END) AS with_img, count(CASE WHEN pattern <> 'image_only' THEN text END) AS with_text FROM j GROUP BY ALL""")
 def _(spark, d):

@@ -29,22 +29,30 @@ def stored(spark, d) -> str:
     return path
 
 
+def streamed(spark, events, keys, sums, by_window=False):
+    """The sums of a stream over all there is."""
+    out = folder(spark, "totals")
+    R.running_totals(events, keys, sums, out, folder(spark, "ck")).awaitTermination()
+    return R.read_totals(spark, out, keys, list(sums), by_window)
+
+
+def events(spark, d):
+    return R.trace(spark, logged(spark, d)).select("event", "context.*")
+
+
 @query("r01_trace_stream", f"WITH {TRACE} SELECT event, count(*) AS n FROM trace GROUP BY event")
 def _(spark, d):
-    events = R.trace(spark, logged(spark, d))
-    return R.drained(events.groupBy("event").agg(F.count(F.lit(1)).alias("n")), "r01_trace", folder(spark, "ck"))
+    return streamed(spark, events(spark, d), ["event"], {"n": R.LOSSES["n"]})
 
 
 @query("r02_round_losses", f"WITH {TRACE} SELECT round, client, count(*) AS n, round(sum(loss), 4) AS loss FROM trace GROUP BY round, client")
 def _(spark, d):
-    events = R.trace(spark, logged(spark, d)).select("event", "context.*")
-    out = R.drained(R.round_losses(events), "r02_losses", folder(spark, "ck"))
-    return out.withColumn("loss", F.round("loss", 4))
+    return streamed(spark, events(spark, d), ["round", "client"], R.LOSSES).withColumn("loss", F.round("loss", 4))
 
 
 @query("r02b_windowed_losses", f"WITH {TRACE} SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event, count(*) AS n, round(sum(loss), 4) AS loss FROM trace GROUP BY 1, 2")
 def _(spark, d):
-    return R.windowed_losses(trace(spark, d)).withColumn("loss", F.round("loss", 4))
+    return streamed(spark, events(spark, d), ["event"], R.LOSSES, by_window=True).withColumn("loss", F.round("loss", 4))
 
 
 @query("r03_running_scores", f"""WITH {SCORED}, c AS (SELECT round, scope, gt, pred, count(*) AS n FROM scored GROUP BY ALL),
@@ -60,8 +68,7 @@ def _(spark, d):
 
 @query("r04_evaluation_cadence", f"WITH {TRACE} SELECT round, count(*) AS n FROM trace WHERE (round + 1) % 5 = 0 GROUP BY round")
 def _(spark, d):
-    events = R.trace(spark, logged(spark, d)).select("event", "context.*")
-    return R.drained(R.due(events, 5).groupBy("round").agg(F.count(F.lit(1)).alias("n")), "r04_due", folder(spark, "ck"))
+    return streamed(spark, R.due(events(spark, d), 5), ["round"], {"n": R.LOSSES["n"]})
 
 
 @query("r05_quarantine_stream", f"WITH {SCORED} SELECT CASE WHEN trim(raw) = '' THEN 'raw' ELSE 'pred' END AS error, count(*) AS n FROM scored WHERE trim(raw) = '' OR pred = 'UNK' GROUP BY 1")

@@ -21,6 +21,14 @@ def client_shards(df: DataFrame, path: str, seed: int = 0, overwrite: bool = Fal
     dealt.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(client).json(path)
 
 
+def setting_shards(df: DataFrame, path: str, seed: int = 0, id_col: str = "id", rows_per_file: int = 1_000_000) -> None:
+    """JSON lines by ``stat, modal, client``, shuffled within each, in files of bounded size."""
+    keys = ["stat", "modal", "client"]
+    parts = max(1, -(-df.count() // rows_per_file))
+    dealt = df.withColumn("_u", u(seed, "order", id_col)).repartitionByRange(parts, *keys, "_u").sortWithinPartitions(*keys, "_u").drop("_u")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).json(path)
+
+
 def manifest(spark, path: str, kind: str, parameters: dict[str, str], history: list[dict[str, str]] | None = None) -> DataFrame:
     """One-row manifest with its transform history; written and returned."""
     rows = [(kind, {k: str(v) for k, v in parameters.items()}, [{k: str(v) for k, v in h.items()} for h in history or []])]

@@ -18,16 +18,50 @@ def trace(spark: SparkSession, path: str, schema: str = TRACE) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
+#: What is summed of a run's events, as SQL.
+LOSSES = {"n": "1L", "loss": "loss"}
+
+
+def totals(events: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """``keys`` with the sum of each of ``sums``, of a batch table."""
+    return events.groupBy(*keys).agg(*[F.sum(F.expr(e)).alias(name) for name, e in sums.items()])
+
+
 def round_losses(events: DataFrame, *by: str) -> DataFrame:
-    """``round, client, n, loss``; streams in update or complete mode."""
-    return events.groupBy("round", "client", *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("loss"), 6).alias("loss"))
+    """``round, client, n, loss`` of a batch table."""
+    return totals(events, ["round", "client", *by], LOSSES)
+
+
+def windowed(events: DataFrame, keys: list[str], sums: dict[str, str], width: str) -> DataFrame:
+    """Sums by window of ``ts`` and ``keys``: ``start``, ``keys``, ``sums``."""
+    own = events.groupBy(F.window("ts", width).alias("w"), *keys).agg(*[F.sum(F.expr(e)).alias(name) for name, e in sums.items()])
+    return own.select(F.col("w.start").alias("start"), *keys, *sums)
+
 
+def running_totals(events: DataFrame, keys: list[str], sums: dict[str, str], out: str, checkpoint: str, late: str = "1 hour", width: str = "6 hours", files: int | None = None):
+    """Streams ``windowed`` sums in update mode to the table at ``out`` (see ``read_totals``).
 
-def windowed_losses(events: DataFrame, late: str = "1 hour", width: str = "6 hours") -> DataFrame:
-    """Counts and loss by time window; rows later than the watermark are dropped
-    in streams (in batch all rows count)."""
-    own = events.withWatermark("ts", late) if events.isStreaming else events
-    return own.groupBy(F.window("ts", width).alias("w"), "event").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("loss"), 6).alias("loss")).select(F.col("w.start").alias("start"), "event", "n", "loss")
+    State holds only windows that the watermark has not passed; rows later than that are
+    dropped.  Each batch writes the sums that it changed to a folder of its own number, so a
+    batch that runs again after a failure overwrites what it wrote and changes nothing.
+    """
+    spark = events.sparkSession
+    own = windowed(events.withWatermark("ts", late), keys, sums, width)
+    # Without any batch there is a table, too.
+    spark.createDataFrame([], own.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return own.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store).trigger(availableNow=True).start()
+
+
+def read_totals(spark: SparkSession, out: str, keys: list[str], names: list[str], by_window: bool = False) -> DataFrame:
+    """What ``running_totals`` has summed so far, by ``keys`` (and ``start``): of each window the
+    sums of the last batch that changed it."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    last = rows.groupBy("start", *keys).agg(F.max_by(F.struct(*names), "batch").alias("v")).select("start", *keys, "v.*")
+    return last if by_window else last.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def due(rows: DataFrame, every: int, round_col: str = "round") -> DataFrame:
@@ -61,14 +95,6 @@ def quarantined(stream: DataFrame, checks: dict[str, Column], good: str, bad: st
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is and returns its in-memory result table
-    (for bounded aggregates and tests)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 class Hooks:
     """Named events with handlers; a handler gets the event and its context."""
 
