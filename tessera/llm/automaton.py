@@ -9,6 +9,7 @@ anchored one gives the longest match at a place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -169,18 +170,19 @@ class Automaton:
     def states(self) -> int:
         return len(self.step) // self.classes
 
-    def scan(self, text: bytes, lanes: int = 4096, segment: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of matches (index of their last byte) and the bits of their rules.
+    def scan(self, text: bytes, lanes: int = 4096, segment: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of matches (index of their last byte) and the bits of their rules."""
+        parts = list(self.segments(text, lanes, segment))
+        ends, bits = zip(*parts) if parts else ((np.zeros(0, np.int64),), (np.zeros(0, np.uint32),))
+        return np.concatenate(ends), np.concatenate(bits)
 
-        Memory beyond the text and the result is bounded by ``segment``: the
-        state is carried from one segment to the next.
-        """
-        ends, bits, state = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], 0
+    def segments(self, text: bytes, lanes: int = 4096, segment: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``scan`` a segment at a time: the state is carried from one to the next, and memory
+        beyond the text is some 80 bytes for each byte of a segment at most."""
+        state = 0
         for at in range(0, len(text), segment):
             e, b, state = self._segment(text[at : at + segment], lanes, state)
-            ends.append(e + at)
-            bits.append(b)
-        return np.concatenate(ends), np.concatenate(bits)
+            yield e + at, b
 
     def _segment(self, text: bytes, lanes: int, first: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The text is cut into lanes that step together; a lane that began in

@@ -203,24 +203,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     components has no link and is its own component.  Only vectors of equal
     length are compared.  Equal vectors are one node with a row count; a row
     links to the other rows of its node and to all rows of linked nodes.
+
+    Nodes are numbered apart from the ids, so ids may repeat or be null: rows of one id
+    with different vectors are different nodes, and rows with a null id link, too.  The
+    component is the smallest id of its rows that have one, else null; a null id is kept
+    only there.  Other columns, whatever their names, are not read.
     """
     rows = written(_prepared(vectors, id_col, vector_col), "vectors")
-    distinct = written(
-        rows.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n_rows"), F.first("vec").alias("vec")), "distinct"
-    )
+    grouped = rows.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n_rows"), F.first("vec").alias("vec"))
+    distinct = written(grouped.withColumn("node", F.monotonically_increasing_id()), "distinct")
     edges, adds = None, None
     # One pass for each vector length; a table has one length, or very few.
-    sizes = [r[0] for r in distinct.filter("node is not null").select(F.expr("length(vec) div 8").alias("d")).distinct().collect()]
+    sizes = [r[0] for r in distinct.select(F.expr("length(vec) div 8").alias("d")).distinct().collect()]
     for dims in sizes:
-        own = distinct.filter((F.length("vec") == 8 * dims) & F.col("node").isNotNull())
+        own = distinct.filter(F.length("vec") == 8 * dims)
         plan = Plan.of(own.count(), dims, threshold)
         found = written(_linked(_blocks(_coded(own, plan)), plan), "linked")
         edge, add = found.filter("b is not null").select("a", "b"), found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("add").alias("add"))
         edges, adds = (edge, add) if edges is None else (edges.unionByName(edge), adds.unionByName(add))
     if edges is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    named = distinct.select("digest", "node", "n_rows").join(components(edges), "node", "left").join(adds, "node", "left")
-    named = written(named.select("digest", "n_rows", (F.col("n_rows") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "named")
+    linked = components(edges)
+    firsts = written(linked.join(distinct.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n_rows")), "firsts")
+    placed = join_unique(linked, firsts, "component", linked.count(), how="inner").select("node", "first")
+    named = distinct.select("digest", "node", "least", "n_rows").join(placed, "node", "left").join(adds, "node", "left")
+    component = F.when(F.col("first").isNull(), F.col("least")).otherwise(F.col("first"))
+    named = written(named.select("digest", "n_rows", (F.col("n_rows") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"), component.alias("component_id")), "named")
     lone = rows.filter("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     some = join_unique(rows.filter("digest is not null").select("vec_id", "digest"), named, "digest", rows.count())
     return some.select("vec_id", "n_links", "component_id").unionByName(lone).withColumn("kept", F.expr("vec_id <=> component_id"))

@@ -68,45 +68,62 @@ def combined(rules: tuple[Rule, ...]) -> Machines:
     return Machines(compile_rules(pairs), compile_rules(pairs, backwards=True), whole, heads)
 
 
-def _spans(text: bytes, starts: list[int], rule: Rule, whole: Automaton, head: Automaton | None) -> Iterator[tuple[int, int]]:
-    """Byte spans of one rule; ``starts`` are all places where it matches."""
+def _spans(text: bytes, firsts: list[int], lasts: list[int], rule: Rule, whole: Automaton, head: Automaton | None) -> Iterator[tuple[int, int]]:
+    """Byte spans of one rule, which matches from every place of the stretches from ``firsts``
+    to ``lasts`` and from no other."""
     at = 0
-    while (i := bisect_left(starts, at)) < len(starts):
-        start = starts[i]
+    while (i := bisect_left(lasts, at)) < len(lasts):
+        start = max(at, firsts[i])
         at = whole.longest(text, start)
         value = head.longest(text[start : at - 1], 0) if head else 0
         if at - start - value >= rule.least:
             yield start, at
 
 
-def _finder(rules: tuple[Rule, ...], machines: Machines):
-    def owners(texts: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        own = np.searchsorted(begins, places, "right") - 1
-        return own, places - begins[own]
+def _stretches(text: bytes, machine: Automaton, rules: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each rule the first and the last place of each stretch of places where it starts to
+    match.  In a long run of hexadecimal digits nearly every place does: they are one stretch."""
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(rules)]
+    for places, bits in machine.segments(text[::-1]):
+        for k in range(rules):
+            own = places[bits >> k & 1 == 1]
+            if len(own):
+                cuts = np.flatnonzero(np.diff(own) > 1)
+                held[k].append((own[np.append(0, cuts + 1)], own[np.append(cuts, len(own) - 1)]))
+    out = []
+    for parts in held:
+        first, last = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+        # A stretch that a segment's end cuts is one.
+        new = np.append(True, first[1:] > last[:-1] + 1)[: len(first)]
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:] - 1, len(first) - 1)[: len(begin)]
+        out.append((len(text) - 1 - last[end][::-1], len(text) - 1 - first[begin][::-1]))
+    return out
+
 
+def _finder(rules: tuple[Rule, ...], machines: Machines):
     def find(texts: list[bytes]) -> list[list[tuple[str, int, int]]]:
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        ends, _ = machines.ends.scan(b"\n".join(texts))
-        if not len(ends):
+        begins, hit = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]), set()
+        for ends, _ in machines.ends.segments(b"\n".join(texts)):
+            hit.update((np.unique(np.searchsorted(begins, ends, "right")) - 1).tolist())
+        if not hit:
             return found
-        hit = np.unique(owners(texts, ends)[0])
-        some = [texts[i] for i in hit]
-        joined = b"\n".join(some)
-        places, bits = machines.starts.scan(joined[::-1])
-        own, places = owners(some, len(joined) - 1 - places[::-1])
-        bits = bits[::-1]
-        first = np.searchsorted(own, np.arange(len(some) + 1))
+        order = sorted(hit)
+        some = [texts[i] for i in order]
+        stretches = _stretches(b"\n".join(some), machines.starts, len(rules))
+        begins = np.cumsum([0, *(len(t) + 1 for t in some)])
         for i, text in enumerate(some):
-            mine, marks = places[first[i] : first[i + 1]], bits[first[i] : first[i + 1]]
             hits = []
-            for k, rule in enumerate(rules):
-                starts = mine[marks >> k & 1 == 1].tolist()
-                hits += [(a, k, b) for a, b in _spans(text, starts, rule, machines.whole[k], machines.heads[k])]
+            for k, (first, last) in enumerate(stretches):
+                lo, hi = np.searchsorted(first, begins[i : i + 2])
+                if hi > lo:
+                    own = _spans(text, (first[lo:hi] - begins[i]).tolist(), (last[lo:hi] - begins[i]).tolist(), rules[k], machines.whole[k], machines.heads[k])
+                    hits += [(a, k, b) for a, b in own]
             # Code points: bytes that do not continue one.
-            point = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) if not text.isascii() else None
+            point = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80, dtype=np.int32) if not text.isascii() else None
             at = (lambda x: int(point[x - 1]) if x else 0) if point is not None else int
-            found[hit[i]] = [(rules[k].kind, at(a), at(b)) for a, k, b in sorted(hits)]
+            found[order[i]] = [(rules[k].kind, at(a), at(b)) for a, k, b in sorted(hits)]
         return found
 
     return find
@@ -117,7 +134,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     points) by start, then kind in the order of ``rules``.
 
     Null and empty texts have no spans; repeated rows and ids each give their own
-    row; whole texts of any length are read, in segments.  Other columns, whatever
+    row; whole texts of any length are read, in segments, and memory grows with the
+    text and its spans, not with the places where a rule could start.  Other columns, whatever
     their names, are not read.  An empty table gives an empty one.
     """
     machines = combined(rules)

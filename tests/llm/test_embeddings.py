@@ -68,3 +68,13 @@ def test_tables_without_usable_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, E.near_duplicates(df).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    """Ids name rows, not vectors: different vectors of one id are compared apart, and rows
+    without an id link; columns of the operator's own names are not read."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0, 0.0]), (None, [0.0, 0.0, 1.0, 0.0]), (5, [0.0, 0.0, 1.0, 0.01]), (None, [0.0, 0.0, 0.0, 1.0]), (None, [0.0, 0.0, 0.0, 1.0]), (None, None)]
+    df = spark.createDataFrame([(i, v, "x", 7, b"y", 1.0) for i, v in rows], "vec_id long, embedding array<double>, digest string, node int, vec binary, n_rows double")
+    got = sorted(map(tuple, E.near_duplicates(df).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (None, 1, 5, False), (5, 1, 5, True), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)

@@ -235,3 +235,20 @@ def test_passages_do_not_depend_on_pieces(monkeypatch):
     for size in (1, 17, 150, 700):
         monkeypatch.setattr(licenses, "PIECE", size)
         assert [key(find(t)) for t in texts] == whole
+
+
+def test_long_hexadecimal_texts_need_little_memory():
+    """Nearly every byte starts a match: what is held are stretches, not places."""
+    import tracemalloc
+
+    from tessera.llm import secrets as S
+
+    find = S._finder(S.RULES, S.combined(S.RULES))
+    text = b"ab12" * (1 << 20) + b"\xc3\xa9 token=" + b"0f" * (1 << 20) + b" x"
+    tracemalloc.start()
+    spans = find([b"nothing", text, b"AKIA" + b"Z" * 30])
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    n = 4 << 20
+    assert spans[1] == [("hex", 0, n), ("assign", n + 2, n + 8 + (2 << 20)), ("hex", n + 8, n + 8 + (2 << 20))] and spans[0] == [] and len(spans[2]) == 1
+    assert most < 40 * len(text)
