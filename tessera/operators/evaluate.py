@@ -76,6 +76,43 @@ def error_counts(rows: DataFrame, kinds: tuple[str, ...] = ("correct", "empty_ou
     return base.join(F.broadcast(n), "error_type", "left").join(F.broadcast(total)).select("error_type", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("t")).alias("ratio"))
 
 
+#: Parsed answers that stand for not knowing.
+UNKNOWN_ALIASES = ("unk", "unknown", "none", "n a", "not sure")
+
+
+def abnormal_outputs(rows: DataFrame, labels: list[str], aliases: tuple[str, ...] = UNKNOWN_ALIASES) -> DataFrame:
+    """One row of counts over ``gt, raw, pred`` and their shares of all rows: ``raw_empty`` (blank
+    answers), ``out_of_set`` (parsed to no label of the set), ``fallback`` (parsed to a label that
+    the answer itself is not), ``unknown`` (parsed to an alias of not knowing), and
+    ``missing_labels``, those of the set that no row truly has."""
+    raw, pred = T.label_words(F.coalesce("raw", F.lit(""))), F.coalesce("pred", F.lit(""))
+    known, plain = F.array(*[F.lit(x) for x in labels]), F.array(*[F.lit(T.plain_words(x)) for x in labels])
+    inside = F.array_contains(known, pred)
+    kinds = {
+        "raw_empty": F.length(F.trim(F.coalesce("raw", F.lit("")))) == 0, "out_of_set": ~inside,
+        "fallback": inside & ~((raw != "") & F.array_contains(plain, raw)), "unknown": T.label_words(pred).isin(*aliases),
+    }
+    n = F.greatest(F.count(F.lit(1)), F.lit(1))
+    counts = [c for name, hit in kinds.items() for c in (F.count_if(hit).alias(name), (F.count_if(hit) / n).alias(f"{name}_share"))]
+    return rows.agg(F.count(F.lit(1)).alias("n"), *counts, F.array_sort(F.array_except(known, F.collect_set("gt"))).alias("missing_labels"))
+
+
+def batch_weighted(rows: DataFrame, batch: list[str], metrics: list[str]) -> DataFrame:
+    """One row: the means over batches of each metric's mean in a batch, weighted by the batch's
+    size, and ``batches``; rows without a value count in no mean of that metric."""
+    own = rows.groupBy(*batch).agg(*[x for m in metrics for x in (F.avg(m).alias(m), F.count(m).alias(f"_n_{m}"))])
+    return own.agg(*[(F.sum(F.col(m) * F.col(f"_n_{m}")) / F.sum(f"_n_{m}")).alias(m) for m in metrics], F.count(F.lit(1)).alias("batches"))
+
+
+def round_times(events: DataFrame, start: str, end: str) -> DataFrame:
+    """``round, seconds, mean_seconds``: from a round's first ``start`` event to its last ``end``
+    event, at least 0, and the mean over the rounds that have both; other rounds have nulls."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    per = events.groupBy("round").agg(F.min(F.when(F.col("event") == start, micros)).alias("a"), F.max(F.when(F.col("event") == end, micros)).alias("b"))
+    timed = per.select("round", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest(F.col("b") - F.col("a"), F.lit(0)) / 1e6).alias("seconds"))
+    return timed.join(F.broadcast(timed.agg(F.avg("seconds").alias("mean_seconds"))))
+
+
 def confusion(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by, "gt", "pred").agg(F.count(F.lit(1)).alias("n"))
 

@@ -34,10 +34,11 @@ def primary_answer(answers: DataFrame, normal: Column | None = None) -> DataFram
 
 def questions_with_answers(questions: DataFrame, annotations: DataFrame, answers: DataFrame) -> DataFrame:
     """Questions left joined to their last annotation; the answer is the
-    annotation's own choice, else the primary one of its answers."""
+    annotation's own choice, else (null or blank) the primary one of its answers."""
     one = last_per_key(annotations, ["question_id"], "ordinal").select("question_id", F.col("choice"))
     both = questions.join(one, "question_id", "left").join(primary_answer(answers), "question_id", "left")
-    return both.withColumn("answer", F.coalesce("choice", "answer")).withColumn("annotated", F.col("choice").isNotNull() | F.col("n_answers").isNotNull())
+    own = F.when(F.trim("choice") != "", F.col("choice"))
+    return both.withColumn("answer", F.coalesce(own, F.col("answer"))).withColumn("annotated", F.col("choice").isNotNull() | F.col("n_answers").isNotNull())
 
 
 def with_category(instances: DataFrame, categories: DataFrame, unknown: str = "unknown") -> DataFrame:

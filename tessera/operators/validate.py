@@ -17,9 +17,10 @@ def conflicting_labels(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.groupBy(id_col).agg(F.countDistinct("label").alias("labels"), F.count(F.lit(1)).alias("rows")).filter("labels > 1")
 
 
-def unit_alignment(questions: DataFrame, annotations: DataFrame, clients: int, least_units: int, unit: str = "image_id") -> DataFrame:
-    """Per client: units, questions, questions without annotation (issue),
-    annotations without question (warning), and whether the sizes suffice."""
+def unit_alignment(questions: DataFrame, annotations: DataFrame, clients: int, least_units: int, groups: DataFrame | None = None, least_groups: int = 0, unit: str = "image_id") -> DataFrame:
+    """Per client: units, questions, questions without annotation (issue), annotations without
+    question (warning), and whether the sizes suffice.  With ``groups`` (``unit, grp``) also
+    ``coverage``, the groups that its units have, and ``coverage_share`` of all groups."""
     q = questions.select("client", "question_id", unit)
     a = annotations.select("client", "question_id").distinct()
     own = q.groupBy("client").agg(F.countDistinct(unit).alias("units"), F.count(F.lit(1)).alias("questions"))
@@ -27,7 +28,37 @@ def unit_alignment(questions: DataFrame, annotations: DataFrame, clients: int, l
     lost = a.join(q.select("client", "question_id").distinct(), ["client", "question_id"], "left_anti").groupBy("client").agg(F.count(F.lit(1)).alias("unasked"))
     base = questions.sparkSession.range(clients).select(F.col("id").cast("int").alias("client"))
     out = base.join(own, "client", "left").join(bare, "client", "left").join(lost, "client", "left").na.fill(0)
-    return out.withColumn("ok", (F.col("unannotated") == 0) & (F.col("units") >= least_units))
+    ok = (F.col("unannotated") == 0) & (F.col("units") >= least_units)
+    if groups is None:
+        return out.withColumn("ok", ok)
+    # Units of a client are few against its questions: one row each meets its group.
+    met = q.select("client", F.col(unit).alias("unit")).distinct().join(groups.select("unit", "grp"), "unit")
+    seen = met.groupBy("client").agg(F.countDistinct("grp").alias("coverage"))
+    total = groups.agg(F.countDistinct("grp").alias("_groups"))
+    both = out.join(seen, "client", "left").na.fill(0, ["coverage"]).join(F.broadcast(total))
+    share = F.when(F.col("_groups") > 0, F.col("coverage") / F.col("_groups")).otherwise(0.0)
+    return both.withColumn("coverage_share", share).withColumn("ok", ok & (F.col("coverage") >= least_groups)).drop("_groups")
+
+
+def repair_report(before: DataFrame, after: DataFrame, clients: int, label: str = "label", id_col: str = "id") -> DataFrame:
+    """One row on a repaired assignment: ``rows`` and those ``moved``, ``routes`` (pairs of clients
+    that rows moved between), ids on one side only (``lost``, ``added``), and the smallest client,
+    the fewest labels of a client and the empty clients ``before`` and ``after``."""
+
+    def sizes(df: DataFrame, when: str) -> DataFrame:
+        cells = df.groupBy("client", label).agg(F.count(F.lit(1)).alias("n"))
+        per = cells.groupBy("client").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+        all_ = df.sparkSession.range(clients).select(F.col("id").cast("int").alias("client")).join(per, "client", "left").na.fill(0, ["n", "k"])
+        return all_.agg(F.min("n").alias(f"smallest_{when}"), F.min("k").alias(f"fewest_labels_{when}"), F.count_if(F.col("n") == 0).alias(f"empty_{when}"))
+
+    both = before.select(id_col, F.col("client").alias("a")).join(after.select(id_col, F.col("client").alias("b")), id_col, "full")
+    routes = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    away = F.col("a") != F.col("b")
+    report = routes.agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(away, F.col("n"))), F.lit(0)).alias("moved"), F.count_if(away).alias("routes"),
+        F.coalesce(F.sum(F.when(F.col("b").isNull(), F.col("n"))), F.lit(0)).alias("lost"), F.coalesce(F.sum(F.when(F.col("a").isNull(), F.col("n"))), F.lit(0)).alias("added"),
+    )
+    return report.join(sizes(before, "before")).join(sizes(after, "after"))
 
 
 def failed_rules(df: DataFrame, rules: dict[str, Column], *by: str) -> DataFrame:

@@ -112,6 +112,17 @@ def qa(spark, d):
     return own.withColumn("exact", exact).withColumn("soft", soft)
 
 
+@query("e11b_abnormal_outputs", f"""WITH {SCORED}, w AS (SELECT *, trim(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS words, pred IN ('A', 'N', 'R', 'Z') AS inside FROM scored)
+    SELECT count(*) AS n, count(*) FILTER (WHERE trim(raw) = '') AS raw_empty, round(count(*) FILTER (WHERE trim(raw) = '') / count(*), 9) AS raw_empty_share,
+        count(*) FILTER (WHERE NOT inside) AS out_of_set, round(count(*) FILTER (WHERE NOT inside) / count(*), 9) AS out_of_set_share,
+        count(*) FILTER (WHERE inside AND words NOT IN ('a', 'n', 'r', 'z')) AS fallback, round(count(*) FILTER (WHERE inside AND words NOT IN ('a', 'n', 'r', 'z')) / count(*), 9) AS fallback_share,
+        count(*) FILTER (WHERE pred = 'UNK') AS unknown, round(count(*) FILTER (WHERE pred = 'UNK') / count(*), 9) AS unknown_share,
+        list_sort(list_filter(['A', 'N', 'R', 'Z'], lambda x: NOT list_contains(list(DISTINCT gt), x))) AS missing_labels FROM w""")
+def _(spark, d):
+    out = E.abnormal_outputs(scored(spark, d), [*NAMES, "Z"])
+    return out.select("n", *[F.round(c, 9).alias(c) if c.endswith("_share") else F.col(c) for c in out.columns if c not in ("n", "missing_labels")], "missing_labels")
+
+
 @query("e12_qa_scores", f"WITH {QA_ROWS} SELECT id, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact, round(soft::DOUBLE, 9) AS soft FROM s")
 def _(spark, d):
     return qa(spark, d).select("id", "exact", F.round("soft", 9).alias("soft"))
@@ -281,6 +292,16 @@ def _(spark, d):
     return both.agg(F.round(F.avg(lse("s") - F.element_at("s", F.col("k"))), 6).alias("cross_entropy"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg(lse("sb") - F.element_at("sb", F.col("k"))), 6).alias("balanced"))
 
 
+@query("e22b_batch_metrics", f"""WITH {LOSS}, r AS (SELECT id // 640 AS batch, ln(list_sum([exp(x) for x in s])) - s[k] AS cross_entropy, (list_position(s, list_max(s)) = k)::INT AS accuracy FROM b),
+    m AS (SELECT batch, avg(cross_entropy) AS cross_entropy, avg(accuracy) AS accuracy, count(*) AS n FROM r GROUP BY batch) SELECT round(sum(cross_entropy * n) / sum(n), 6) AS cross_entropy, round(sum(accuracy * n) / sum(n), 6) AS accuracy, count(*) AS batches FROM m""")
+def _(spark, d):
+    k = F.when(F.col("gt") == "A", 1).when(F.col("gt") == "N", 2).otherwise(3)
+    s = F.col("score_vector")
+    lse = F.log(F.aggregate(F.transform(s, F.exp), F.lit(0.0), lambda a, b: a + b))
+    rows = preds(spark, d).select(F.expr("id div 640").alias("batch"), (lse - F.element_at(s, k)).alias("cross_entropy"), (F.array_position(s, F.array_max(s)) == k).cast("int").alias("accuracy"))
+    return E.batch_weighted(rows, ["batch"], ["cross_entropy", "accuracy"]).select(F.round("cross_entropy", 6).alias("cross_entropy"), F.round("accuracy", 6).alias("accuracy"), "batches")
+
+
 @query("e23_weighted_mean", "SELECT l_returnflag AS metric, round(sum(l_quantity * l_discount) / sum(l_quantity), 9) AS mean FROM lineitem GROUP BY 1")
 def _(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("metric")).agg(F.round(F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity"), 9).alias("mean"))
@@ -339,12 +360,12 @@ def _(spark, d):
     return E.best_round(rounds(spark, d), "accuracy")
 
 
-@query("e29_round_wall_time", f"WITH {TRACE} SELECT round, round(epoch(max(ts)) - epoch(min(ts)), 3) AS seconds, round(avg(loss), 6) AS loss FROM trace GROUP BY round")
+@query("e29_round_wall_time", f"""WITH {TRACE}, p AS (SELECT round, min(epoch_us(ts)) FILTER (WHERE event = 'signup') AS a, max(epoch_us(ts)) FILTER (WHERE event = 'purchase') AS b, avg(loss) AS loss FROM trace GROUP BY round),
+    t AS (SELECT round, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN greatest(b - a, 0) / 1e6 END AS seconds, loss FROM p) SELECT round, round(seconds, 3) AS seconds, round((SELECT avg(seconds) FROM t), 3) AS mean_seconds, round(loss, 6) AS loss FROM t""")
 def _(spark, d):
-    t = trace(spark, d).withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return t.groupBy("round").agg(F.round(F.max("s") - F.min("s"), 3).alias("seconds"), F.round(F.avg("loss"), 6).alias("loss"))
-
-
+    t = trace(spark, d)
+    loss = t.groupBy("round").agg(F.round(F.avg("loss"), 6).alias("loss"))
+    return E.round_times(t, "signup", "purchase").join(loss, "round").select("round", F.round("seconds", 3).alias("seconds"), F.round("mean_seconds", 3).alias("mean_seconds"), "loss")
 
 
 @query("j10_setting_comparison", f"""WITH {SCORED}, s AS (SELECT scope || (client % 2) AS dataset, CASE WHEN round <= 3 THEN 'early' ELSE 'late' END AS setting, 100 * avg((pred = gt)::INT) AS score FROM scored GROUP BY ALL)

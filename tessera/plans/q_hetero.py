@@ -263,6 +263,22 @@ def _(spark, d):
     return total.join(cover)
 
 
+REPAIRED = f"{ASSIGNED}, emptied AS (SELECT * REPLACE (CASE WHEN client IN (2, 5) THEN client + 1 ELSE client END AS client) FROM assigned)"
+
+
+@query("h22b_repair_report", f"""WITH {REPAIRED}, j AS (SELECT e.client AS a, a.client AS b FROM emptied e JOIN assigned a USING (id)),
+    sizes AS (SELECT s.side, c.client, count(id) AS n, count(DISTINCT label) AS k FROM (SELECT unnest(['before', 'after']) AS side) s CROSS JOIN (SELECT range::INT AS client FROM range({CLIENTS})) c
+        LEFT JOIN (SELECT 'before' AS side, client, id, label FROM emptied UNION ALL SELECT 'after', client, id, label FROM assigned) x ON x.side = s.side AND x.client = c.client GROUP BY ALL)
+    SELECT (SELECT count(*) FROM j) AS rows, (SELECT count(*) FROM j WHERE a <> b) AS moved, (SELECT count(DISTINCT (a, b)) FROM j WHERE a <> b) AS routes, 0 AS lost, 0 AS added,
+        {', '.join(f"min({c}) FILTER (WHERE side = '{when}') AS {name}_{when}" for when in ('before', 'after') for c, name in (('n', 'smallest'), ('k', 'fewest_labels')))},
+        {', '.join(f"count(*) FILTER (WHERE side = '{when}' AND n = 0) AS empty_{when}" for when in ('before', 'after'))} FROM sizes""")
+def _(spark, d):
+    # The repair gives two emptied clients their rows back.
+    whole = assigned(spark, d)
+    emptied = whole.withColumn("client", F.col("client") + F.col("client").isin(2, 5).cast("int"))
+    return validate.repair_report(emptied, whole, CLIENTS)
+
+
 @query("v01_exact_cover", f"WITH {ASSIGNED}, s AS (SELECT id FROM assigned WHERE id % 97 <> 0 UNION ALL SELECT id FROM assigned WHERE id % 50 = 0), g AS (SELECT id, count(*) AS n FROM s GROUP BY id) SELECT (SELECT count(*) FROM g WHERE n > 1) AS repeated, (SELECT count(*) FROM ids WHERE id NOT IN (SELECT id FROM s)) AS missing, (SELECT count(*) FROM g WHERE id NOT IN (SELECT id FROM ids)) AS extra, FALSE AS ok")
 def _(spark, d):
     own = assigned(spark, d).select("id")
@@ -277,15 +293,17 @@ def _(spark, d):
 
 @query("v03_unit_alignment", f"""WITH {UNIT_SPLIT}, ann AS (SELECT DISTINCT a.client, n.question_id FROM answers n JOIN asked a USING (question_id) WHERE n.question_id % 7 <> 0 UNION SELECT 3, question_id FROM answers WHERE question_id % 500 = 0),
     c AS (SELECT range::INT AS client FROM range(10))
-    SELECT c.client, count(DISTINCT a.image_id) AS units, count(a.question_id) AS questions, count(a.question_id) FILTER (WHERE (a.client, a.question_id) NOT IN (SELECT (client, question_id) FROM ann)) AS unannotated,
+    SELECT c.client, count(DISTINCT a.image_id) AS units, count(a.question_id) AS questions, count(DISTINCT m.c_mktsegment) AS coverage, round(count(DISTINCT m.c_mktsegment) / (SELECT count(DISTINCT c_mktsegment) FROM customer), 9) AS coverage_share, count(a.question_id) FILTER (WHERE (a.client, a.question_id) NOT IN (SELECT (client, question_id) FROM ann)) AS unannotated,
         (SELECT count(*) FROM ann WHERE ann.client = c.client AND (ann.client, ann.question_id) NOT IN (SELECT (client, question_id) FROM asked)) AS unasked,
-        count(a.question_id) FILTER (WHERE (a.client, a.question_id) NOT IN (SELECT (client, question_id) FROM ann)) = 0 AND count(DISTINCT a.image_id) >= 5 AS ok FROM c LEFT JOIN asked a ON a.client = c.client GROUP BY c.client""")
+        count(a.question_id) FILTER (WHERE (a.client, a.question_id) NOT IN (SELECT (client, question_id) FROM ann)) = 0 AND count(DISTINCT a.image_id) >= 5 AND count(DISTINCT m.c_mktsegment) >= 4 AS ok FROM c LEFT JOIN asked a ON a.client = c.client LEFT JOIN customer m ON m.c_custkey = a.image_id GROUP BY c.client""")
 def _(spark, d):
     q = asked(spark, d)
     a = answers(spark, d).select("question_id").distinct()
     ann = a.filter("question_id % 7 <> 0").join(q.select("question_id", "client"), "question_id").select("client", "question_id")
     ann = ann.unionByName(a.filter("question_id % 500 = 0").select(F.lit(3).alias("client"), "question_id"))
-    return validate.unit_alignment(q, ann, 10, 5)
+    groups = table(spark, d, "customer").select(F.col("c_custkey").alias("unit"), F.col("c_mktsegment").alias("grp"))
+    out = validate.unit_alignment(q, ann, 10, 5, groups, 4)
+    return out.withColumn("coverage_share", F.round("coverage_share", 9))
 
 
 @query("v04_schema_rules", f"""WITH {SAMPLES} SELECT rule, count(*) AS rows FROM (SELECT unnest([CASE WHEN img IS NULL THEN 'img' END, CASE WHEN NOT coalesce(quality IN (0, 1), FALSE) THEN 'quality' END, CASE WHEN NOT coalesce(length(text) < 3000, FALSE) THEN 'length' END]) AS rule FROM samples) WHERE rule IS NOT NULL GROUP BY rule""")

@@ -489,12 +489,16 @@ def _(spark, d):
 # Joins.
 
 
-@query("j01_primary_answer", f"""WITH {QA}, g AS (SELECT question_id, answer, count(*) AS n, min(ordinal) AS first FROM answers GROUP BY ALL), b AS (SELECT question_id, arg_max(answer, (n, -first, answer)) AS best, sum(n)::BIGINT AS n_answers FROM g GROUP BY question_id)
-    SELECT q.question_id, best AS answer, coalesce(n_answers, 0) AS n_answers, best IS NOT NULL AS annotated FROM questions q LEFT JOIN b USING (question_id)""")
-def _(spark, d):
-    a = answers(spark, d)
-    none = a.limit(0).select("question_id", "ordinal", F.lit(None).cast("string").alias("choice"))
-    return J.questions_with_answers(questions(spark, d), none, a).select("question_id", "answer", F.coalesce("n_answers", F.lit(0)).alias("n_answers"), "annotated")
+@query("j01_primary_answer", f"""WITH {QA}, g AS (SELECT question_id, answer, count(*) AS n, min(ordinal) AS first FROM answers GROUP BY ALL), b AS (SELECT question_id, arg_max(answer, (n, -first, answer)) AS best, sum(n)::BIGINT AS n_answers FROM g GROUP BY question_id),
+    chosen AS (SELECT l_orderkey AS question_id, arg_max(CASE WHEN l_linenumber % 3 > 0 THEN l_linestatus || ' chosen' ELSE '' END, (l_linenumber, l_linestatus)) AS choice FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1)
+    SELECT q.question_id, CASE WHEN choice <> '' THEN choice ELSE best END AS answer, coalesce(n_answers, 0) AS n_answers, choice IS NOT NULL OR best IS NOT NULL AS annotated FROM questions q LEFT JOIN b USING (question_id) LEFT JOIN chosen USING (question_id)""")
+def _(spark, d):
+    # A fifth of the questions have annotations of their own, several each: the last one counts, and an empty choice falls back to the answers.
+    li = table(spark, d, "lineitem").filter("l_orderkey % 5 = 0")
+    choice = F.when(F.col("l_linenumber") % 3 > 0, F.concat("l_linestatus", F.lit(" chosen"))).otherwise("")
+    annotations = li.select(F.col("l_orderkey").alias("question_id"), F.struct("l_linenumber", "l_linestatus").alias("ordinal"), choice.alias("choice"))
+    out = J.questions_with_answers(questions(spark, d), annotations, answers(spark, d))
+    return out.select("question_id", "answer", F.coalesce("n_answers", F.lit(0)).alias("n_answers"), "annotated")
 
 
 @query("j02_category", "SELECT c_custkey AS id, coalesce(n_name, 'unknown') AS supercategory FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2")

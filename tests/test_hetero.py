@@ -129,3 +129,12 @@ def test_classes_follow_the_counts(spark, cells, want):
     got = H.classify(matrix(spark, cells), H.alpha_grid(40), 60, 1).first()
     strength, kind = want
     assert got["kind"] == kind and strength in (None, got["strength"])
+
+
+def test_repair_report_of_moved_lost_and_added_rows(spark):
+    from tessera.operators import validate
+
+    before = spark.createDataFrame([(i, "ab"[i % 2], 0 if i < 8 else 1) for i in range(10)], "id long, label string, client int")
+    after = spark.createDataFrame([(i, "ab"[i % 2], 2 if i in (0, 1) else 0 if i < 8 else 1) for i in range(1, 11)], "id long, label string, client int")
+    got = validate.repair_report(before, after, 3).first().asDict()
+    assert got == {"rows": 11, "moved": 1, "routes": 1, "lost": 1, "added": 1, "smallest_before": 0, "fewest_labels_before": 0, "empty_before": 1, "smallest_after": 1, "fewest_labels_after": 1, "empty_after": 0}
