@@ -136,9 +136,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
 WIDE = 512
 BLOCK = 512
 EARLY = 4  # blocks of the first pass
-FORESTS = 4  # spanning forests of candidates in the first whole pass; later passes take MORE times as many
-MORE = 16
-MARGIN = 5  # standard deviations of the distance of a pair just at the similarity
+FORESTS = 16  # spanning forests of candidates in the first whole pass; later passes take MORE times as many
+MORE = 256
+MARGIN = 3  # standard deviations of the distance of a pair just at the similarity: one in 700 such pairs lies beyond
+SAMPLE = 16  # one row in so many tells which buckets are large
 PAIRS = 1 << 21  # pairs of rows that are compared at once
 SUBSETS_SEED = 7
 
@@ -201,10 +202,12 @@ def _keyed(distinct: DataFrame, plan: WidePlan) -> DataFrame:
 
 def _dealt(keyed: DataFrame, first: int, count: int) -> DataFrame:
     """``bucket, i, j, chunk, node, known, fp`` of ``count`` blocks from ``first``:
-    buckets of more than BLOCK rows are dealt out as pairs of chunks, so that
-    none is one task's work."""
+    buckets of more than about BLOCK rows are dealt out as pairs of chunks, so that
+    none is one task's work.  A sample of the rows tells their sizes, which change the
+    chunks but never the pairs: all rows are dealt."""
     rows = keyed.select("node", "known", "fp", F.explode(F.slice("buckets", first + 1, count)).alias("bucket"))
-    large = rows.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks"))
+    some = rows.filter(F.pmod(F.xxhash64("node", F.lit(SUBSETS_SEED)), F.lit(SAMPLE)) == 0).groupBy("bucket").count()
+    large = some.filter(F.col("count") > BLOCK / SAMPLE).select("bucket", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("chunks"))
     rows = rows.join(written(large, "large"), "bucket", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("node"), "chunks").cast("int"), F.lit(0)))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
     return rows.select("*", other).select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "known", "fp")
@@ -348,11 +351,18 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     # then look only at pairs that are not joined yet, and so give few candidates.
     likely = _forest(_dealt(keyed.withColumn("known", F.col("node")), 0, EARLY), plan, plan.likely, 1)
     linked = components(_verified(likely, given, width, similarity).filter("ok"))
-    asked, forests = keyed, FORESTS
+    asked, forests, before = keyed, FORESTS, None
     while True:
         known = KeySet(linked, "node", "known")
         again = known.left(asked).withColumn("known", F.coalesce("component", "node")).drop("component")
-        checked = _verified(_forest(_dealt(again, 0, plan.blocks), plan, plan.distance, forests), given, width, similarity)
+        met = _forest(_dealt(again, 0, plan.blocks), plan, plan.distance, forests)
+        # Pairs that failed before are not compared again.
+        checked = _verified(met if before is None else met.join(before, ["a", "b"], "left_anti"), given, width, similarity)
+        failed_ = checked.filter("not ok").select("a", "b")
+        if before is not None:
+            checked = checked.unionByName(met.join(before, ["a", "b"], "left_semi").withColumn("ok", F.lit(False)))
+            failed_ = failed_.unionByName(before)
+        before = failed_
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(checked.filter("ok").select("a", "b")))
         # A pair that was left out is joined, or a link that failed leads out of the
         # component of either end: only those components are asked again.
