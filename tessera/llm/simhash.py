@@ -130,11 +130,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
 # Similarity of shingles as such.  Two texts whose shingle sets have Jaccard
 # similarity s are at an angle of at most acos(2s / (1 + s)), and a bit of the
 # SimHash of the sets differs with probability angle / pi.  Random choices of bits
-# are the blocks, the distance with a margin gives candidates, and the shingle
-# sets of the texts decide.
+# are the blocks; the first SKETCH bits, which is all that travels to the blocks, and
+# then all bits, each with a margin, give candidates; the shingle sets of the texts
+# decide.
 
 WIDE = 512
+SKETCH = 128
 BLOCK = 512
+SHARED = 6  # a block has 2^SHARED rows or so: wider blocks miss more pairs, so more of them travel
 EARLY = 4  # blocks of the first pass
 FORESTS = 16  # spanning forests of candidates in the first whole pass; later passes take MORE times as many
 MORE = 256
@@ -171,12 +174,11 @@ class WidePlan:
     """Blocks of ``block_bits`` random bits, and as many as it takes for a pair
     just at the similarity to share one with probability ``1 - miss``."""
 
-    def __init__(self, distinct: int, similarity: float, bits: int = WIDE, miss: float = 0.01):
-        self.bits = bits
+    def __init__(self, distinct: int, similarity: float, bits: int = WIDE, miss: float = 0.003):
         share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-        self.likely = int(bits * share)
-        self.distance = int(bits * share + MARGIN * np.sqrt(bits * share * (1 - share)))
-        self.block_bits = max(16, int(np.ceil(np.log2(max(2, distinct)))) - 2)
+        self.likely = int(SKETCH * share)
+        self.sketch, self.distance = (int(n * share + MARGIN * np.sqrt(n * share * (1 - share))) for n in (SKETCH, bits))
+        self.block_bits = max(8, int(np.ceil(np.log2(max(2, distinct)))) - SHARED)
         self.blocks = int(np.ceil(np.log(miss) / np.log1p(-((1 - share) ** self.block_bits))))
         rng = np.random.default_rng(SUBSETS_SEED)
         self.chosen = np.stack([rng.choice(bits, self.block_bits, replace=False) for _ in range(self.blocks)])
@@ -188,38 +190,39 @@ class WidePlan:
 
 
 def _keyed(distinct: DataFrame, plan: WidePlan) -> DataFrame:
-    """Adds ``buckets``, the keys of all blocks, to ``node, fp``."""
+    """``node, words, buckets``: the fingerprint as longs and the keys of all blocks."""
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             fps = batch.column("fp").to_pylist()
-            yield {"node": batch.column("node"), "fp": fps, "buckets": list(plan.keys(fps))}
+            words = np.frombuffer(b"".join(fps), np.int64).reshape(len(fps), -1)
+            yield {"node": batch.column("node"), "words": list(words), "buckets": list(plan.keys(fps))}
 
         return work
 
-    return written(arrow_map(distinct.select("node", "fp"), make, "node long, fp binary, buckets array<long>", slice_bytes=1 << 18), "keyed")
+    return written(arrow_map(distinct.select("node", "fp"), make, "node long, words array<long>, buckets array<long>", slice_bytes=1 << 18), "keyed")
 
 
 def _dealt(keyed: DataFrame, first: int, count: int) -> DataFrame:
-    """``bucket, i, j, chunk, node, known, fp`` of ``count`` blocks from ``first``:
+    """``bucket, i, j, chunk, node, known, s0, s1`` of ``count`` blocks from ``first``:
     buckets of more than about BLOCK rows are dealt out as pairs of chunks, so that
     none is one task's work.  A sample of the rows tells their sizes, which change the
     chunks but never the pairs: all rows are dealt."""
-    rows = keyed.select("node", "known", "fp", F.explode(F.slice("buckets", first + 1, count)).alias("bucket"))
+    sketch = [F.col("words")[k].alias(f"s{k}") for k in range(SKETCH // 64)]
+    rows = keyed.select("node", "known", *sketch, F.explode(F.slice("buckets", first + 1, count)).alias("bucket"))
     some = rows.filter(F.pmod(F.xxhash64("node", F.lit(SUBSETS_SEED)), F.lit(SAMPLE)) == 0).groupBy("bucket").count()
     large = some.filter(F.col("count") > BLOCK / SAMPLE).select("bucket", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("chunks"))
     rows = rows.join(written(large, "large"), "bucket", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("node"), "chunks").cast("int"), F.lit(0)))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
-    return rows.select("*", other).select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "known", "fp")
+    return rows.select("*", other).select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "known", "s0", "s1")
 
 
-def _forest(dealt: DataFrame, plan: WidePlan, distance: int, forests: int) -> DataFrame:
-    """``a, b, more``: candidate pairs of nodes within ``distance`` bits whose components
+def _forest(dealt: DataFrame, distance: int, forests: int) -> DataFrame:
+    """``a, b, more``: candidate pairs of nodes within ``distance`` bits of the sketch whose components
     (``known``) differ.  A task gives ``forests`` spanning forests of them, one
     after the other and close pairs first: so many edges a row at most, however
     many pairs are close.  ``more`` is set where it left pairs out."""
     ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    near, head = int(128 * distance / plan.bits) + 16, 2
 
     def pairs(rows: pa.Table) -> Iterator[tuple[int, int, int, int]]:
         bucket, i, j = (rows.column(c).to_numpy() for c in ("bucket", "i", "j"))
@@ -233,7 +236,7 @@ def _forest(dealt: DataFrame, plan: WidePlan, distance: int, forests: int) -> Da
 
     def some(rows: pa.Table, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         i, j, chunk, node, known = (rows.column(c).to_numpy() for c in ("i", "j", "chunk", "node", "known"))
-        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(node), -1)
+        s0, s1 = (rows.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1"))
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(node))
         x, step = np.flatnonzero(left > 1), 1
         met: list[tuple[np.ndarray, ...]] = []
@@ -241,12 +244,10 @@ def _forest(dealt: DataFrame, plan: WidePlan, distance: int, forests: int) -> Da
             y = x + step
             ok = ((i[x] == j[x]) | (chunk[x] != chunk[y])) & (known[x] != known[y])
             a, b = x[ok], y[ok]
-            ok = np.bitwise_count(fps[a, :head] ^ fps[b, :head]).sum(1, dtype=np.int64) <= near
-            a, b = a[ok], b[ok]
-            apart = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64)
+            apart = np.bitwise_count(s0[a] ^ s0[b]).astype(np.int16) + np.bitwise_count(s1[a] ^ s1[b])
             ok = apart <= distance
             if ok.any():
-                met.append((apart[ok].astype(np.int16), a[ok].astype(np.int32), b[ok].astype(np.int32)))
+                met.append((apart[ok], a[ok].astype(np.int32), b[ok].astype(np.int32)))
             step += 1
             x = x[left[x] > step]
         if met:
@@ -296,9 +297,20 @@ def _forest(dealt: DataFrame, plan: WidePlan, distance: int, forests: int) -> Da
     return written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Adds ``ok`` to ``a, b, more``: whether the shingle sets of the two texts have
-    the Jaccard similarity.  Of ids with several texts one pair of texts is enough."""
+def _within(pairs: DataFrame, keyed: DataFrame, distance: int) -> DataFrame:
+    """The ``a, b`` of ``pairs`` whose whole fingerprints are within ``distance`` bits.  Of
+    ids with several texts one pair is enough."""
+    ends = KeySet(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "ends")
+    held = ends.maybe(keyed.select("node", "words"))
+    met = pairs.join(held.select(F.col("node").alias("a"), F.col("words").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("words").alias("two")), "b")
+    apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return written(met.filter(apart <= distance).select("a", "b").distinct(), "within")
+
+
+def _verified(found: DataFrame, keyed: DataFrame, plan: WidePlan, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Adds ``ok`` to ``a, b, more``: whether the whole fingerprints are close enough and
+    the shingle sets of the two texts have the Jaccard similarity.  Of ids with several
+    texts one pair of texts is enough."""
 
     def shingles():
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -315,15 +327,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float)
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             ok = [any(similar(x, y) for x in one for y in two) for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())]
-            yield {"a": batch.column("a"), "b": batch.column("b"), "more": batch.column("more"), "ok": ok}
+            yield {"a": batch.column("a"), "b": batch.column("b"), "ok": ok}
 
         return work
 
+    pairs = _within(found, keyed, plan.distance)
     ends = KeySet(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "ends")
     held = arrow_map(ends.maybe(docs.filter("doc_id is not null")), shingles, "doc_id long, own binary")
     sets = written(held.groupBy("doc_id").agg(F.collect_set("own").alias("sets")), "sets")
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sets").alias("one")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sets").alias("two")), "b")
-    return written(arrow_map(met.select("a", "b", "more", "one", "two"), compare, "a long, b long, more boolean, ok boolean"), "verified")
+    compared = arrow_map(met.select("a", "b", "one", "two"), compare, "a long, b long, ok boolean")
+    return written(found.join(compared, ["a", "b"], "left").select("a", "b", "more", F.coalesce("ok", F.lit(False)).alias("ok")), "verified")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,15 +363,15 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
     keyed = _keyed(some, plan)
     # The first blocks join most of a large group by its closest pairs; the others
     # then look only at pairs that are not joined yet, and so give few candidates.
-    likely = _forest(_dealt(keyed.withColumn("known", F.col("node")), 0, EARLY), plan, plan.likely, 1)
-    linked = components(_verified(likely, given, width, similarity).filter("ok"))
+    likely = _forest(_dealt(keyed.withColumn("known", F.col("node")), 0, EARLY), plan.likely, 1)
+    linked = components(_verified(likely, keyed, plan, given, width, similarity).filter("ok"))
     asked, forests, before = keyed, FORESTS, None
     while True:
         known = KeySet(linked, "node", "known")
         again = known.left(asked).withColumn("known", F.coalesce("component", "node")).drop("component")
-        met = _forest(_dealt(again, 0, plan.blocks), plan, plan.distance, forests)
+        met = _forest(_dealt(again, 0, plan.blocks), plan.sketch, forests)
         # Pairs that failed before are not compared again.
-        checked = _verified(met if before is None else met.join(before, ["a", "b"], "left_anti"), given, width, similarity)
+        checked = _verified(met if before is None else met.join(before, ["a", "b"], "left_anti"), keyed, plan, given, width, similarity)
         failed_ = checked.filter("not ok").select("a", "b")
         if before is not None:
             checked = checked.unionByName(met.join(before, ["a", "b"], "left_semi").withColumn("ok", F.lit(False)))
