@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,22 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark removes a query's shuffle files at its end, not when the driver next collects garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of each query go when it ends: for chains of written
+    tables, where no later query reads them."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, count: str = "n_rows", how: str = "left") -> DataFrame:
     """Left (or inner) join of ``rows`` to ``unique`` (one row per ``key``, with the
     number of rows of that key in ``count``) whose tasks stay even.

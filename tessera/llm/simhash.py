@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeySet, arrow_map, join_unique, small_batches, written
+from .common import KeySet, arrow_map, join_unique, released_shuffles, small_batches, written
 from .components import components
 
 BITS = 64
@@ -126,24 +126,22 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-
 # Similarity of shingles as such.  Two texts whose shingle sets have Jaccard
 # similarity s are at an angle of at most acos(2s / (1 + s)), and a bit of the
 # SimHash of the sets differs with probability angle / pi.  Random choices of bits
-# are the blocks; the first SKETCH bits, which is all that travels to the blocks, and
-# then all bits, each with a margin, give candidates; the shingle sets of the texts
-# decide.
+# are the blocks.  In a block the first SKETCH bits, all that travels there, give
+# candidates, of which one spanning forest a block is kept: its components hold every
+# candidate pair.  Inside a component all pairs are held against all bits and then
+# against the shingle sets, which decide.
 
 WIDE = 512
 SKETCH = 128
-BLOCK = 512
-SHARED = 6  # a block has 2^SHARED rows or so: wider blocks miss more pairs, so more of them travel
-EARLY = 4  # blocks of the first pass
-FORESTS = 16  # spanning forests of candidates in the first whole pass; later passes take MORE times as many
-MORE = 256
+SHARED = 10  # a block has 2^SHARED rows or so: wider blocks miss more pairs, so more of them travel
+BLOCK = 4096
 MARGIN = 3  # standard deviations of the distance of a pair just at the similarity: one in 700 such pairs lies beyond
 SAMPLE = 16  # one row in so many tells which buckets are large
-PAIRS = 1 << 21  # pairs of rows that are compared at once
+PAIRS = 1 << 24  # pairs of rows that one step through the blocks takes together
+CHUNK, CHUNK_BYTES = 512, 16 << 20  # texts, and bytes of shingle sets, of half a comparison inside a component
 SUBSETS_SEED = 7
 
 
@@ -156,10 +154,10 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return held
 
 
-def wide_fingerprint(text: bytes, width: int, bits: int = WIDE) -> bytes:
-    """SimHash of ``bits`` bits over the set of shingles; further words are mixed
+def set_fingerprint(hashes: np.ndarray, bits: int = WIDE) -> bytes:
+    """SimHash of ``bits`` bits over a set of shingle hashes; further words are mixed
     from a shingle's hash."""
-    ones, hashes = np.zeros(bits, np.int64), shingle_set(text, width)
+    ones = np.zeros(bits, np.int64)
     odd = np.arange(1, bits // BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(hashes), 4096):
         h = hashes[at : at + 4096, None] + odd
@@ -170,15 +168,18 @@ def wide_fingerprint(text: bytes, width: int, bits: int = WIDE) -> bytes:
     return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
+def wide_fingerprint(text: bytes, width: int, bits: int = WIDE) -> bytes:
+    return set_fingerprint(shingle_set(text, width), bits)
+
+
 class WidePlan:
     """Blocks of ``block_bits`` random bits, and as many as it takes for a pair
     just at the similarity to share one with probability ``1 - miss``."""
 
     def __init__(self, distinct: int, similarity: float, bits: int = WIDE, miss: float = 0.003):
         share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-        self.likely = int(SKETCH * share)
         self.sketch, self.distance = (int(n * share + MARGIN * np.sqrt(n * share * (1 - share))) for n in (SKETCH, bits))
-        self.block_bits = max(8, int(np.ceil(np.log2(max(2, distinct)))) - SHARED)
+        self.block_bits = max(4, int(np.ceil(np.log2(max(2, distinct)))) - SHARED)
         self.blocks = int(np.ceil(np.log(miss) / np.log1p(-((1 - share) ** self.block_bits))))
         rng = np.random.default_rng(SUBSETS_SEED)
         self.chosen = np.stack([rng.choice(bits, self.block_bits, replace=False) for _ in range(self.blocks)])
@@ -190,94 +191,86 @@ class WidePlan:
 
 
 def _keyed(distinct: DataFrame, plan: WidePlan) -> DataFrame:
-    """``node, words, buckets``: the fingerprint as longs and the keys of all blocks."""
+    """``node, s0, s1, buckets``: the sketch as longs and the keys of all blocks."""
 
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             fps = batch.column("fp").to_pylist()
             words = np.frombuffer(b"".join(fps), np.int64).reshape(len(fps), -1)
-            yield {"node": batch.column("node"), "words": list(words), "buckets": list(plan.keys(fps))}
+            yield {"node": batch.column("node"), "s0": words[:, 0], "s1": words[:, 1], "buckets": list(plan.keys(fps))}
 
         return work
 
-    return written(arrow_map(distinct.select("node", "fp"), make, "node long, words array<long>, buckets array<long>", slice_bytes=1 << 18), "keyed")
+    return written(arrow_map(distinct.select("node", "fp"), make, "node long, s0 long, s1 long, buckets array<long>", slice_bytes=1 << 18), "keyed")
+
+
+def _halves(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows with ``chunk`` of ``chunks`` (null: one), once for each pair of chunks
+    ``i <= j`` that they take part in."""
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
+    return rows.select("*", other).select(key, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", *columns)
 
 
-def _dealt(keyed: DataFrame, first: int, count: int) -> DataFrame:
-    """``bucket, i, j, chunk, node, known, s0, s1`` of ``count`` blocks from ``first``:
-    buckets of more than about BLOCK rows are dealt out as pairs of chunks, so that
-    none is one task's work.  A sample of the rows tells their sizes, which change the
-    chunks but never the pairs: all rows are dealt."""
-    sketch = [F.col("words")[k].alias(f"s{k}") for k in range(SKETCH // 64)]
-    rows = keyed.select("node", "known", *sketch, F.explode(F.slice("buckets", first + 1, count)).alias("bucket"))
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """``bucket, i, j, chunk, node, s0, s1``: buckets of more than about BLOCK rows are
+    dealt out as pairs of chunks, so that none is one task's work.  A sample of the rows
+    tells their sizes, which change the chunks but never the pairs: all rows are dealt."""
+    rows = keyed.select("node", "s0", "s1", F.explode("buckets").alias("bucket"))
     some = rows.filter(F.pmod(F.xxhash64("node", F.lit(SUBSETS_SEED)), F.lit(SAMPLE)) == 0).groupBy("bucket").count()
     large = some.filter(F.col("count") > BLOCK / SAMPLE).select("bucket", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("chunks"))
     rows = rows.join(written(large, "large"), "bucket", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("node"), "chunks").cast("int"), F.lit(0)))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
-    return rows.select("*", other).select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "known", "s0", "s1")
+    return _halves(rows, "bucket", "node", "s0", "s1")
+
+
+def _find(root: list[int], k: int) -> int:
+    while root[k] != k:
+        root[k] = root[root[k]]
+        k = root[k]
+    return k
 
 
-def _forest(dealt: DataFrame, distance: int, forests: int) -> DataFrame:
-    """``a, b, more``: candidate pairs of nodes within ``distance`` bits of the sketch whose components
-    (``known``) differ.  A task gives ``forests`` spanning forests of them, one
-    after the other and close pairs first: so many edges a row at most, however
-    many pairs are close.  ``more`` is set where it left pairs out."""
+def _forest(dealt: DataFrame, distance: int) -> DataFrame:
+    """``a, b``: for each block a spanning forest of its pairs within ``distance`` bits of
+    the sketch, so fewer edges than rows, however many pairs are close."""
     ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def pairs(rows: pa.Table) -> Iterator[tuple[int, int, int, int]]:
+    def edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, i, j = (rows.column(c).to_numpy() for c in ("bucket", "i", "j"))
         first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         sizes = np.diff(np.append(first, len(bucket)))
         start = 0
-        while start < len(first):  # whole groups with about PAIRS pairs
+        while start < len(first):  # whole blocks with about PAIRS pairs
             stop = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start:] ** 2), PAIRS, "right")) + start)
-            yield from some(rows.slice(first[start], int(sizes[start:stop].sum())), sizes[start:stop])
+            yield some(rows.slice(first[start], int(sizes[start:stop].sum())), sizes[start:stop])
             start = stop
 
-    def some(rows: pa.Table, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        i, j, chunk, node, known = (rows.column(c).to_numpy() for c in ("i", "j", "chunk", "node", "known"))
+    def some(rows: pa.Table, sizes: np.ndarray) -> pa.RecordBatch:
+        i, j, chunk, node = (rows.column(c).to_numpy() for c in ("i", "j", "chunk", "node"))
         s0, s1 = (rows.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1"))
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(node))
+        whole, split = i == j, bool((i != j).any())
+        root, ends = np.arange(len(node)), ([], [])
         x, step = np.flatnonzero(left > 1), 1
-        met: list[tuple[np.ndarray, ...]] = []
         while len(x):
             y = x + step
-            ok = ((i[x] == j[x]) | (chunk[x] != chunk[y])) & (known[x] != known[y])
+            ok = root[x] != root[y]  # joined rows are not compared again
+            if split:
+                ok &= whole[x] | (chunk[x] != chunk[y])
             a, b = x[ok], y[ok]
-            apart = np.bitwise_count(s0[a] ^ s0[b]).astype(np.int16) + np.bitwise_count(s1[a] ^ s1[b])
-            ok = apart <= distance
-            if ok.any():
-                met.append((apart[ok], a[ok].astype(np.int32), b[ok].astype(np.int32)))
+            near = np.flatnonzero(np.bitwise_count(s0[a] ^ s0[b]) + np.bitwise_count(s1[a] ^ s1[b]) <= distance)
+            if len(near):
+                flat = root.tolist()
+                for p, q in zip(a[near].tolist(), b[near].tolist()):
+                    if (rp := _find(flat, p)) != (rq := _find(flat, q)):
+                        flat[rp] = rq
+                        ends[0].append(p)
+                        ends[1].append(q)
+                root = np.array(flat)
+                while (root[root] != root).any():
+                    root = root[root]
             step += 1
             x = x[left[x] > step]
-        if met:
-            apart, a, b = (np.concatenate(c) for c in zip(*met))
-            for at in np.array_split(np.argsort(apart, kind="stable"), len(a) // 65536 + 1):
-                yield from zip(*(c.tolist() for c in (known[a[at]], known[b[at]], node[a[at]], node[b[at]])))
-
-    def find(root: dict[int, int], k: int) -> int:
-        while (up := root.setdefault(k, k)) != k:
-            root[k] = root[up]
-            k = up
-        return k
-
-    def edges(rows: pa.Table) -> pa.RecordBatch:
-        roots: list[dict[int, int]] = [{} for _ in range(forests)]
-        out: dict[tuple[int, int], int] = {}
-        short: set[int] = set()
-        for ka, kb, a, b in pairs(rows):
-            if (pair := (min(a, b), max(a, b))) in out:
-                continue
-            for root in roots:
-                if (ra := find(root, ka)) != (rb := find(root, kb)):
-                    root[ra] = rb
-                    out[pair] = ka
-                    break
-            else:
-                short.add(ka)
-        short = {find(roots[0], k) for k in short}
-        more = [find(roots[0], k) in short for k in out.values()]
-        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(node[np.array(e, np.int64)]) for e in ends], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -287,57 +280,77 @@ def _forest(dealt: DataFrame, distance: int, forests: int) -> DataFrame:
             last = [held.column(c).to_numpy() for c in ("bucket", "i", "j")]
             cut = np.flatnonzero(np.any([k != k[-1] for k in last], axis=0))
             if len(cut):
-                yield edges(held.slice(0, cut[-1] + 1))
+                yield from edges(held.slice(0, cut[-1] + 1))
                 held = held.slice(cut[-1] + 1)
         if held is not None and held.num_rows:
-            yield edges(held)
+            yield from edges(held)
 
     small_batches(dealt.sparkSession)
-    found = ordered.mapInArrow(run, "a long, b long, more boolean")
-    return written(found.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
-def _within(pairs: DataFrame, keyed: DataFrame, distance: int) -> DataFrame:
-    """The ``a, b`` of ``pairs`` whose whole fingerprints are within ``distance`` bits.  Of
-    ids with several texts one pair is enough."""
-    ends = KeySet(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "ends")
-    held = ends.maybe(keyed.select("node", "words"))
-    met = pairs.join(held.select(F.col("node").alias("a"), F.col("words").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("words").alias("two")), "b")
-    apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return written(met.filter(apart <= distance).select("a", "b").distinct(), "within")
+def _links(candidates: DataFrame, distance: int, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``a, b``: spanning forests of the links inside the components of ``candidates``
+    (``node, component``).
 
-
-def _verified(found: DataFrame, keyed: DataFrame, plan: WidePlan, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Adds ``ok`` to ``a, b, more``: whether the whole fingerprints are close enough and
-    the shingle sets of the two texts have the Jaccard similarity.  Of ids with several
-    texts one pair of texts is enough."""
+    The sets of a component's texts go to tasks as pairs of chunks of about CHUNK texts
+    or CHUNK_BYTES, so a text travels as often as its component has chunks, not partners.
+    Every pair of texts is held against ``distance``, close ones first, and then
+    by the sets, unless its ends are joined already.  Of ids with several texts one
+    pair of texts is enough.
+    """
 
     def shingles():
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield {"doc_id": batch.column("doc_id"), "own": [shingle_set(t or b"", width).tobytes() for t in texts]}
+            sets = [shingle_set(t or b"", width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield {"node": batch.column("node"), "fp": [set_fingerprint(x) for x in sets], "own": [x.tobytes() for x in sets]}
 
         return work
 
-    def compare():
-        def similar(a: bytes, b: bytes) -> bool:
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return both >= similarity * (len(x) + len(y) - both) - 1e-9
-
-        def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            ok = [any(similar(x, y) for x in one for y in two) for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())]
-            yield {"a": batch.column("a"), "b": batch.column("b"), "ok": ok}
-
-        return work
-
-    pairs = _within(found, keyed, plan.distance)
-    ends = KeySet(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "ends")
-    held = arrow_map(ends.maybe(docs.filter("doc_id is not null")), shingles, "doc_id long, own binary")
-    sets = written(held.groupBy("doc_id").agg(F.collect_set("own").alias("sets")), "sets")
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sets").alias("one")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sets").alias("two")), "b")
-    compared = arrow_map(met.select("a", "b", "one", "two"), compare, "a long, b long, ok boolean")
-    return written(found.join(compared, ["a", "b"], "left").select("a", "b", "more", F.coalesce("ok", F.lit(False)).alias("ok")), "verified")
+    def common(x: np.ndarray, y: np.ndarray) -> int:
+        if not len(x) or not len(y):
+            return 0
+        return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+
+    def joined(rows: pa.Table) -> pa.Table:
+        node, chunk = rows.column("node").to_numpy(), rows.column("chunk").to_numpy()
+        across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        words = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("own").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        met: list[tuple[np.ndarray, ...]] = []
+        for x in range(len(node) - 1):
+            apart = np.bitwise_count(words[x + 1 :] ^ words[x]).sum(1, dtype=np.int32)
+            least, most = np.minimum(sizes[x + 1 :], sizes[x]), np.maximum(sizes[x + 1 :], sizes[x])
+            ok = (apart <= distance) & (least >= similarity * most - 1e-9) & (node[x + 1 :] != node[x])
+            if across:
+                ok &= chunk[x + 1 :] != chunk[x]
+            y = np.flatnonzero(ok)
+            met.append((apart[y], np.full(len(y), x, np.int32), (y + x + 1).astype(np.int32)))
+        names, at = np.unique(node, return_inverse=True)
+        root, ends = list(range(len(names))), ([], [])
+        if met:
+            apart, a, b = (np.concatenate(c) for c in zip(*met))
+            order = np.argsort(apart, kind="stable")
+            for p, q in zip(a[order].tolist(), b[order].tolist()):
+                if (rp := _find(root, int(at[p]))) == (rq := _find(root, int(at[q]))):
+                    continue
+                both = common(sets[p], sets[q])
+                if both >= similarity * (sizes[p] + sizes[q] - both) - 1e-9:
+                    root[rp] = rq
+                    ends[0].append(node[p])
+                    ends[1].append(node[q])
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    known = KeySet(candidates, "node", "candidates")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    held = arrow_map(known.maybe(texts), shingles, "node long, fp binary, own binary").groupBy("node", "fp").agg(F.first("own").alias("own"))
+    sets = written(held.join(known.keys, "node"), "sets")
+    sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("own")).alias("bytes"))
+    chunks = F.ceil(F.greatest(F.col("n_rows") / CHUNK, F.col("bytes") / CHUNK_BYTES)).cast("int")
+    large = written(sizes.select("component", "n_rows", F.greatest(chunks, F.lit(1)).alias("chunks")).filter("chunks > 1"), "large")
+    rows = join_unique(sets, large, "component", sets.count()).withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("node", "fp"), "chunks").cast("int"), F.lit(0)))
+    return _halves(rows, "component", "node", "fp", "own").groupBy("component", "i", "j").applyInArrow(joined, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,38 +369,14 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_
         return work
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = written(arrow_map(given, make, "doc_id long, fp binary"), "wide")
-    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_rows")), "distinct")
-    some = groups.filter("node is not null")
-    plan = WidePlan(some.count(), similarity)
-    keyed = _keyed(some, plan)
-    # The first blocks join most of a large group by its closest pairs; the others
-    # then look only at pairs that are not joined yet, and so give few candidates.
-    likely = _forest(_dealt(keyed.withColumn("known", F.col("node")), 0, EARLY), plan.likely, 1)
-    linked = components(_verified(likely, keyed, plan, given, width, similarity).filter("ok"))
-    asked, forests, before = keyed, FORESTS, None
-    while True:
-        known = KeySet(linked, "node", "known")
-        again = known.left(asked).withColumn("known", F.coalesce("component", "node")).drop("component")
-        met = _forest(_dealt(again, 0, plan.blocks), plan.sketch, forests)
-        # Pairs that failed before are not compared again.
-        checked = _verified(met if before is None else met.join(before, ["a", "b"], "left_anti"), keyed, plan, given, width, similarity)
-        failed_ = checked.filter("not ok").select("a", "b")
-        if before is not None:
-            checked = checked.unionByName(met.join(before, ["a", "b"], "left_semi").withColumn("ok", F.lit(False)))
-            failed_ = failed_.unionByName(before)
-        before = failed_
-        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(checked.filter("ok").select("a", "b")))
-        # A pair that was left out is joined, or a link that failed leads out of the
-        # component of either end: only those components are asked again.
-        of = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-        failed = checked.filter("more and not ok").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        apart = written(failed.filter("ca <> cb").select(F.explode(F.array("ca", "cb")).alias("known")).distinct(), "apart")
-        if apart.isEmpty():
-            break
-        named = KeySet(linked, "node", "known").left(keyed).withColumn("known", F.coalesce("component", "node")).drop("component")
-        asked, forests = written(KeySet(apart, "known", "apart").join(named, "left_semi").drop("known"), "asked"), forests * MORE
-    named = written(groups.join(linked, "node", "left").select("fp", "n_rows", F.coalesce("component", "node").alias("component_id")), "named")
+    with released_shuffles(docs.sparkSession):
+        fps = written(arrow_map(given, make, "doc_id long, fp binary"), "wide")
+        groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_rows")), "distinct")
+        some = groups.filter("node is not null")
+        plan = WidePlan(some.count(), similarity)
+        candidates = components(_forest(_dealt(_keyed(some, plan)), plan.sketch))
+        linked = components(_links(candidates, plan.distance, given, width, similarity))
+        named = written(groups.join(linked, "node", "left").select("fp", "n_rows", F.coalesce("component", "node").alias("component_id")), "named")
     return join_unique(fps, named, "fp", fps.count()).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

@@ -134,9 +134,10 @@ def test_groups_are_those_of_exact_jaccard(spark):
     assert {want[1000 + k] for k in range(40)} == {1000}
 
 
-def test_a_task_that_leaves_pairs_out_is_asked_again(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "FORESTS", 1)
-    monkeypatch.setattr(simhash, "EARLY", 1)
+def test_large_blocks_and_components_are_dealt_as_pairs_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
     rows = [(k, " ".join(prose(5, 200).split()[: 150 + 5 * (k * 7 % 11)] + prose(3000 + k // 2, 20).split())) for k in range(30)]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_groups(rows)
