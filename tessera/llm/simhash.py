@@ -3,7 +3,8 @@
 A fingerprint is cut into ``blocks`` blocks of bits; two fingerprints that
 differ in at most ``distance`` bits agree on at least ``blocks - distance`` of
 them.  Every choice of that many blocks is a join key, so a join on the keys
-meets every close pair, and the join's condition verifies the Hamming distance.
+meets every close pair, and the Hamming distance is verified there.  For groups a
+block gives a spanning forest of its close pairs, not the pairs.
 Only distinct fingerprints are joined: copies of one fingerprint share its row,
 and pairs are never formed inside such a group.
 """
@@ -101,7 +102,8 @@ def block_keys(fp: Column, blocks: int, distance: int) -> Column:
 
 
 def close_pairs(distinct: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
-    """``(a, b)`` node pairs of ``(fp, node)`` rows within ``distance`` bits."""
+    """``(a, b)``: all node pairs of ``(fp, node)`` rows within ``distance`` bits; as many
+    as there are, so for groups take ``close_forest``."""
     blocks = blocks or plan_blocks(distinct.count(), distance)
     keyed = distinct.select("fp", "node", F.explode(block_keys(F.col("fp"), blocks, distance)).alias("k")).select("fp", "node", "k.choice", "k.key")
     one, two = keyed.alias("x"), keyed.alias("y")
@@ -110,6 +112,15 @@ def close_pairs(distinct: DataFrame, distance: int = 4, blocks: int | None = Non
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def close_forest(distinct: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """``(a, b)`` node pairs within ``distance`` bits that connect what ``close_pairs``
+    connects, fewer than there are rows in the blocks."""
+    blocks = blocks or plan_blocks(distinct.count(), distance)
+    # Two keys of one hash share a block, which adds comparisons and no false pair.
+    keys = F.transform(block_keys(F.col("fp"), blocks, distance), lambda k: F.xxhash64(k["choice"], k["key"]))
+    return _forest(_dealt(distinct.select("node", F.col("fp").alias("s0"), keys.alias("buckets")), ("s0",)), distance, ("s0",))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -120,7 +131,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     """
     fps = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
     groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_rows")), "distinct")
-    linked = components(close_pairs(groups.filter("node is not null").select("fp", "node"), distance))
+    linked = components(close_forest(groups.filter("node is not null").select("fp", "node"), distance))
     named = written(groups.join(linked, "node", "left").select("fp", "n_rows", F.coalesce("component", "node").alias("component_id")), "named")
     rows = join_unique(fps, named, "fp", fps.count())
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -136,6 +147,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
 
 WIDE = 512
 SKETCH = 128
+SKETCH_WORDS = ("s0", "s1")
 SHARED = 10  # a block has 2^SHARED rows or so: wider blocks miss more pairs, so more of them travel
 BLOCK = 4096
 MARGIN = 3  # standard deviations of the distance of a pair just at the similarity: one in 700 such pairs lies beyond
@@ -211,15 +223,15 @@ def _halves(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return rows.select("*", other).select(key, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", *columns)
 
 
-def _dealt(keyed: DataFrame) -> DataFrame:
-    """``bucket, i, j, chunk, node, s0, s1``: buckets of more than about BLOCK rows are
+def _dealt(keyed: DataFrame, words: tuple[str, ...] = SKETCH_WORDS) -> DataFrame:
+    """``bucket, i, j, chunk, node`` and ``words``: buckets of more than about BLOCK rows are
     dealt out as pairs of chunks, so that none is one task's work.  A sample of the rows
     tells their sizes, which change the chunks but never the pairs: all rows are dealt."""
-    rows = keyed.select("node", "s0", "s1", F.explode("buckets").alias("bucket"))
+    rows = keyed.select("node", *words, F.explode("buckets").alias("bucket"))
     some = rows.filter(F.pmod(F.xxhash64("node", F.lit(SUBSETS_SEED)), F.lit(SAMPLE)) == 0).groupBy("bucket").count()
     large = some.filter(F.col("count") > BLOCK / SAMPLE).select("bucket", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("chunks"))
     rows = rows.join(written(large, "large"), "bucket", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("node"), "chunks").cast("int"), F.lit(0)))
-    return _halves(rows, "bucket", "node", "s0", "s1")
+    return _halves(rows, "bucket", "node", *words)
 
 
 def _find(root: list[int], k: int) -> int:
@@ -229,9 +241,9 @@ def _find(root: list[int], k: int) -> int:
     return k
 
 
-def _forest(dealt: DataFrame, distance: int) -> DataFrame:
+def _forest(dealt: DataFrame, distance: int, words: tuple[str, ...] = SKETCH_WORDS) -> DataFrame:
     """``a, b``: for each block a spanning forest of its pairs within ``distance`` bits of
-    the sketch, so fewer edges than rows, however many pairs are close."""
+    ``words``, so fewer edges than rows, however many pairs are close."""
     ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -246,7 +258,7 @@ def _forest(dealt: DataFrame, distance: int) -> DataFrame:
 
     def some(rows: pa.Table, sizes: np.ndarray) -> pa.RecordBatch:
         i, j, chunk, node = (rows.column(c).to_numpy() for c in ("i", "j", "chunk", "node"))
-        s0, s1 = (rows.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1"))
+        bits = [rows.column(c).to_numpy().view(np.uint64) for c in words]
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(node))
         whole, split = i == j, bool((i != j).any())
         root, ends = np.arange(len(node)), ([], [])
@@ -257,7 +269,7 @@ def _forest(dealt: DataFrame, distance: int) -> DataFrame:
             if split:
                 ok &= whole[x] | (chunk[x] != chunk[y])
             a, b = x[ok], y[ok]
-            near = np.flatnonzero(np.bitwise_count(s0[a] ^ s0[b]) + np.bitwise_count(s1[a] ^ s1[b]) <= distance)
+            near = np.flatnonzero(sum(np.bitwise_count(w[a] ^ w[b]) for w in bits) <= distance)
             if len(near):
                 flat = root.tolist()
                 for p, q in zip(a[near].tolist(), b[near].tolist()):

@@ -93,6 +93,23 @@ def test_blocks_meet_every_close_pair(spark, blocks):
     assert got == want and len(want) > 100
 
 
+@pytest.mark.parametrize("block", [4096, 32])
+def test_near_copies_of_one_text_give_a_forest_and_not_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    near = [0x123456789ABCDEF ^ (1 << i) ^ (1 << j) for i, j in itertools.combinations(range(62), 2)][:400]
+    far = [int(x) for x in np.random.default_rng(4).integers(0, 2**63, 200)]
+    fps = list(enumerate([*near, *far]))
+    edges = simhash.close_forest(spark.createDataFrame([(f, i) for i, f in fps], "fp long, node long"))
+    got = {(r["a"], r["b"]) for r in edges.collect()}
+    close = {(i, j) for (i, a), (j, b) in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 4}
+    assert {tuple(sorted(e)) for e in got} <= close and len(close) > 70_000
+    low = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert low == dict.fromkeys(range(400), 0)
+    if block == 4096:
+        assert edges.count() < 15 * len(fps)
+
+
 def test_similar_texts_share_a_group(spark):
     rows = []
     for k in range(60):
