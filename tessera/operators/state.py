@@ -123,10 +123,12 @@ def critical_mask(rows: DataFrame, share: float) -> DataFrame:
     is at most 1e-10, it is the smallest score above 1e-20."""
     own = rows.withColumn("score", F.abs(F.col("d") * F.col("w")))
     keys = ["client", "key"]
-    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.min(F.when(F.col("score") > 1e-20, F.col("score"))).alias("least"))
-    placed = own.join(F.broadcast(sizes), keys)
-    ranked = rank(placed, keys, [F.desc("score"), F.col("pos")])
-    kth = ranked.filter(F.col("rank") == F.greatest(F.floor(F.col("n") * share), F.lit(1)) - 1).select(*keys, F.col("score").alias("at"))
+    # The ranked rows are written once, and scores and thresholds both come from there: sums of
+    # floats that are computed again may differ in their last bits, and a cell from its own score.
+    ranked = rank(own, keys, [F.desc("score"), F.col("pos")])
+    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("score") > 1e-20, F.col("score"))).alias("least"))
+    placed = ranked.join(F.broadcast(sizes), keys)
+    kth = placed.filter(F.col("rank") == F.greatest(F.floor(F.col("n") * share), F.lit(1)) - 1).select(*keys, F.col("score").alias("at"))
     cut = F.when(F.col("at") <= 1e-10, F.coalesce("least", F.lit(float("inf")))).otherwise(F.col("at"))
     marked = placed.join(F.broadcast(kth), keys).withColumn("mask", F.col("score") >= cut)
     return marked.select(*rows.columns, "score", "mask")
