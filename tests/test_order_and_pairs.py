@@ -53,6 +53,15 @@ def test_critical_masks_of_values_that_differ_when_computed_again(spark):
     assert got == [(c, k, p) for c in range(8) for k in ("a", "b") for p in range(20) if p * 7 % 20 >= 14]
 
 
+def test_overlap_of_masks_of_values_that_differ_when_computed_again(spark):
+    again = F.udf(lambda x: x * (1 + random.SystemRandom().random() * 1e-12), "double").asNondeterministic()
+    df = spark.createDataFrame([(c, "k", p, float((p + 2 * c) % 20 + 1)) for c in range(6) for p in range(20)], "client int, key string, pos int, v double")
+    rows = df.select("client", "key", "pos", again("v").alias("w")).withColumn("d", F.col("w") * 0.5)
+    held = {c: {p for p in range(20) if (p + 2 * c) % 20 >= 14} for c in range(6)}
+    got = {(r["i"], r["j"]): r["overlap"] for r in A.mask_overlap(A.critical_mask(rows, 0.3)).collect()}
+    assert got == {(i, j): pytest.approx(len(held[i] & held[j]) / 6) for i in held for j in held if i != j}
+
+
 def test_client_pairs_from_bits(spark):
     rng = random.Random(3)
     held = {(c, k, p): rng.random() < 0.4 for c in range(5) for k in ("a", "b") for p in (*range(300), 4095, 4096, 70_000) if rng.random() < 0.8 and (c, k) != (4, "b")}
