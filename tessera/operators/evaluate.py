@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,9 +36,18 @@ def strict_label(answer: Column, options: dict[str, str]) -> Column:
     )
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once a row, however often ``use`` names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def answer_letter(answer: Column, options: dict[str, str]) -> Column:
     """The option letter of a free answer: after an answer cue, a leading letter,
     the first stand-alone valid letter, else an option's text within it."""
+    return F.coalesce(_stated_letter(answer, options), once(T.label_words(answer), lambda text: _letter_by_text(text, options)))
+
+
+def _stated_letter(answer: Column, options: dict[str, str]) -> Column:
     valid = "".join(options)
 
     def pick(pattern: str) -> Column:
@@ -46,22 +55,28 @@ def answer_letter(answer: Column, options: dict[str, str]) -> Column:
         return F.when(found.isin(list(options)), found)
 
     alone = F.nullif(F.regexp_extract(F.upper(answer), rf"\b([{valid}])\b", 1), F.lit(""))
-    text = T.label_words(answer)
-    by_text = [F.when(text.contains(T.plain_words(v)), F.lit(k)) for k, v in options.items() if T.plain_words(v)]
-    return F.coalesce(pick(r"(?i)(?:the answer is|answer)\s*[:：]?\s*\(?\s*([A-Z])\s*\)?"), pick(r"(?i)^\s*\(?\s*([A-Z])\s*\)?(?:[.):-]|$|\s)"), alone, *by_text)
+    return F.coalesce(pick(r"(?i)(?:the answer is|answer)\s*[:：]?\s*\(?\s*([A-Z])\s*\)?"), pick(r"(?i)^\s*\(?\s*([A-Z])\s*\)?(?:[.):-]|$|\s)"), alone)
+
+
+def _letter_by_text(text: Column, options: dict[str, str]) -> Column:
+    return F.coalesce(*[F.when(text.contains(T.plain_words(v)), F.lit(k)) for k, v in options.items() if T.plain_words(v)], F.lit(None).cast("string"))
 
 
 def canonical_label(answer: Column, options: dict[str, str]) -> Column:
     """The exact label, the label of the answer's letter, a label within the
     answer (2 letters at least), a label that holds the answer (3 at least),
     else UNK; labels in their given order."""
-    text = T.label_words(answer)
     names = {v: T.plain_words(v) for v in options.values()}
-    exact = [F.when(text == n, F.lit(v)) for v, n in names.items()]
-    letter = F.try_element_at(F.create_map(*[F.lit(x) for kv in options.items() for x in kv]), answer_letter(answer, options))
-    inside = [F.when(text.contains(n), F.lit(v)) for v, n in names.items() if len(n) >= 2]
-    around = [F.when((F.length(text) >= 3) & F.lit(n).contains(text), F.lit(v)) for v, n in names.items()]
-    return F.when(text != "", F.coalesce(*exact, letter, *inside, *around, F.lit(UNKNOWN))).otherwise(UNKNOWN)
+    labels = F.create_map(*[F.lit(x) for kv in options.items() for x in kv])
+
+    def label(text: Column) -> Column:
+        exact = [F.when(text == n, F.lit(v)) for v, n in names.items()]
+        letter = F.try_element_at(labels, F.coalesce(_stated_letter(answer, options), _letter_by_text(text, options)))
+        inside = [F.when(text.contains(n), F.lit(v)) for v, n in names.items() if len(n) >= 2]
+        around = [F.when((F.length(text) >= 3) & F.lit(n).contains(text), F.lit(v)) for v, n in names.items()]
+        return F.when(text != "", F.coalesce(*exact, letter, *inside, *around, F.lit(UNKNOWN))).otherwise(UNKNOWN)
+
+    return once(T.label_words(answer), label)
 
 
 def error_type(gt: Column, raw: Column, pred: Column) -> Column:

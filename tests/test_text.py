@@ -115,3 +115,12 @@ def test_segments_are_cleaned_or_skipped(spark):
     clean, skipped = T.clean_segment("p", "^Which")
     got = {r["id"]: (r["c"], r["s"]) for r in df.select("id", clean.alias("c"), skipped.alias("s")).collect()}
     assert got == {0: ("<image>\nPick.\nsee x\nWhich one?\n(A) y", 0), 1: (rows[1], 1), 2: (rows[2], 1), 3: (rows[3], 1), 4: ("", 1), 5: ("<image>\nPick.\na b\nWhich one?", 0)}
+
+
+def test_normal_form_of_an_answer_is_computed_once(spark):
+    options = {"A": "answered", "N": "never", "R": "flag"}
+    df = spark.createDataFrame([(None,), ("",), ("no idea",), ("(A) flag",), ("it is Never!",), ("ans",), ("fla",), ("zz",)], "raw string")
+    for label, want in ((E.canonical_label, ["UNK", "UNK", "UNK", "answered", "never", "answered", "flag", "UNK"]), (E.answer_letter, [None, None, None, "A", "N", None, None, None])):
+        out = df.select(label(F.col("raw"), options).alias("x"))
+        assert [r["x"] for r in out.collect()] == want
+        assert out._jdf.queryExecution().optimizedPlan().toString().count(r"(?U)[^\w\s]") == 1
