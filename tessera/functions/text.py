@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once a row, however often ``use`` names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -59,10 +65,19 @@ MOJIBAKE = (
     ("‚Äô", "'"),
     ("Â", ""),
 )
+#: How they begin, and by which most texts are seen to hold none.
+MOJIBAKE_STARTS = ("â€", "‚Ä", "Â")
 URL = r"(?i)(?:https?://|www\.)\S+"
 RETWEET = r"(?i)^\s*(?:RT\s+@[A-Za-z0-9_]{1,20}:?\s*)+"
 
 
+def _any(c: Column, parts: tuple[str, ...]) -> Column:
+    hit = F.lit(False)
+    for part in parts:
+        hit = hit | c.contains(part)
+    return hit
+
+
 def unescaped(c: Column) -> Column:
     for a, b in ENTITIES:
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -75,10 +90,16 @@ def repaired(c: Column) -> Column:
     return c
 
 
+def occurrences(c: Column, text: str) -> Column:
+    """How often a constant that cannot overlap itself occurs, by the bytes that go without it."""
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(text), F.lit("")))) / len(text.encode())).cast("int")
+
+
 def clean_tweet(c: Column | str) -> Column:
     """Entities, mojibake, extended Greek, control characters, URLs, repeated
     retweet prefixes and ``#`` in this order; blanks squeezed."""
-    x = repaired(unescaped(_col(c)))
+    x = once(_col(c), lambda x: F.when(x.contains("&"), unescaped(x)).otherwise(x))
+    x = once(x, lambda x: F.when(_any(x, MOJIBAKE_STARTS), repaired(x)).otherwise(x))
     x = F.regexp_replace(x, r"[\x{1F00}-\x{1FFF}]", "")
     x = F.regexp_replace(x, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]+", " ")
     x = F.regexp_replace(x, URL, "")
@@ -89,10 +110,10 @@ def clean_tweet(c: Column | str) -> Column:
 def clean_counts(c: Column | str) -> dict[str, Column]:
     """What cleaning would remove, as integer columns."""
     x = _col(c)
-    fixes = sum((F.regexp_count(x, F.lit(re.escape(a))) for a, _ in MOJIBAKE), F.lit(0))
+    fixes = F.when(~_any(x, MOJIBAKE_STARTS), 0).otherwise(sum((occurrences(x, a) for a, _ in MOJIBAKE), F.lit(0)))
     return {
         "changed": (clean_tweet(x) != x).cast("int"), "urls": F.regexp_count(x, F.lit(URL)), "retweets": F.when(x.rlike(RETWEET), 1).otherwise(0),
-        "hashes": F.regexp_count(x, F.lit("#")), "mojibake": fixes,
+        "hashes": occurrences(x, "#"), "mojibake": fixes,
     }
 
 

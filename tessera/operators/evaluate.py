@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,15 +36,10 @@ def strict_label(answer: Column, options: dict[str, str]) -> Column:
     )
 
 
-def once(c: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(c)`` with ``c`` computed once a row, however often ``use`` names it."""
-    return F.transform(F.array(c), use)[0]
-
-
 def answer_letter(answer: Column, options: dict[str, str]) -> Column:
     """The option letter of a free answer: after an answer cue, a leading letter,
     the first stand-alone valid letter, else an option's text within it."""
-    return F.coalesce(_stated_letter(answer, options), once(T.label_words(answer), lambda text: _letter_by_text(text, options)))
+    return F.coalesce(_stated_letter(answer, options), T.once(T.label_words(answer), lambda text: _letter_by_text(text, options)))
 
 
 def _stated_letter(answer: Column, options: dict[str, str]) -> Column:
@@ -76,7 +71,7 @@ def canonical_label(answer: Column, options: dict[str, str]) -> Column:
         around = [F.when((F.length(text) >= 3) & F.lit(n).contains(text), F.lit(v)) for v, n in names.items()]
         return F.when(text != "", F.coalesce(*exact, letter, *inside, *around, F.lit(UNKNOWN))).otherwise(UNKNOWN)
 
-    return once(T.label_words(answer), label)
+    return T.once(T.label_words(answer), label)
 
 
 def error_type(gt: Column, raw: Column, pred: Column) -> Column:

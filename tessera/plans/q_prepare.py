@@ -193,7 +193,10 @@ def _(spark, d):
     sum(len(text) - len(replace(text, '#', '')))::BIGINT AS hashes, sum((len(text) - len(replace(text, 'â€™', ''))) // 3 + len(text) - len(replace(text, 'Â', '')))::BIGINT AS mojibake FROM tweets GROUP BY ROLLUP (file)""")
 def _(spark, d):
     counts = T.clean_counts("text")
-    return tweets(spark, d).rollup("file").agg(F.count(F.lit(1)).alias("n"), *[F.sum(counts[c]).alias(c) for c in ("changed", "urls", "retweets", "hashes", "mojibake")])
+    names = ("changed", "urls", "retweets", "hashes", "mojibake")
+    # A rollup expands its rows; so texts are read into sums by file first, and the few sums rolled up.
+    files = tweets(spark, d).groupBy("file").agg(F.count(F.lit(1)).alias("n"), *[F.sum(counts[c]).alias(c) for c in names])
+    return files.rollup("file").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
 
 
 INSTRUCTION, QUESTION = "Look at the post.", "Which label fits?"

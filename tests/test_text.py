@@ -124,3 +124,22 @@ def test_normal_form_of_an_answer_is_computed_once(spark):
         out = df.select(label(F.col("raw"), options).alias("x"))
         assert [r["x"] for r in out.collect()] == want
         assert out._jdf.queryExecution().optimizedPlan().toString().count(r"(?U)[^\w\s]") == 1
+
+
+def test_texts_are_counted_before_a_rollup_expands_them(spark):
+    from compare import SMALL
+
+    from tessera.plans import catalog
+
+    plan = catalog.queries()["p07_clean_counts"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Expand", 1)[1]
+
+
+def test_counts_of_what_cleaning_removes(spark):
+    rows = [(0, None), (1, ""), (2, "ÂÂ â€™â€™ ## www.x HTTPS://y"), (3, "â€ ‚Ä Ã &amp"), (4, "RT @u: a‚Ä¶b#Âc â€\u009d"), (5, "&amp;lt; a  b")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {r["id"]: tuple(r)[1:] for r in df.select("id", *[c.alias(k) for k, c in T.clean_counts("text").items()], T.clean_tweet("text").alias("clean")).collect()}
+    assert got[0][0] is None and got[0][1] is None and got[0][3:] == (None, None, None)
+    assert got[1] == (0, 0, 0, 0, 0, "") and got[2] == (1, 2, 0, 2, 4, "''") and got[3] == (0, 0, 0, 0, 0, "â€ ‚Ä Ã &amp")
+    assert got[4] == (1, 0, 1, 1, 3, 'a...bc "') and got[5] == (1, 0, 0, 0, 0, "&lt; a b")
+    assert {n[: len(s)] for n, _ in T.MOJIBAKE for s in T.MOJIBAKE_STARTS if n.startswith(s)} == set(T.MOJIBAKE_STARTS) and all(n.startswith(T.MOJIBAKE_STARTS) for n, _ in T.MOJIBAKE)
