@@ -136,32 +136,39 @@ def critical_mask(rows: DataFrame, share: float) -> DataFrame:
 
 def packed_masks(masks: DataFrame, words: int = 64) -> DataFrame:
     """``key, chunk, clients``: for each 64 * ``words`` places of a key an array of ``client, held,
-    mask``: the places that the client has, and those with its mask set, as bits of longs."""
+    known, mask``: the places that the client has, those whose mask is not null, and those with
+    its mask set, as bits of longs."""
     bit = lambda c: F.bit_or(F.when(c, F.expr("shiftleft(1L, cast(pos % 64 as int))")).otherwise(F.lit(0).cast("long")))
-    word = masks.groupBy("key", "client", F.expr("pos div 64").alias("word")).agg(bit(F.lit(True)).alias("held"), bit(F.col("mask").cast("boolean")).alias("mask"))
-    chunk = word.groupBy("key", "client", F.expr(f"word div {words}").alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % words).cast("int"), F.struct("held", "mask")))).alias("m"))
+    word = masks.groupBy("key", "client", F.expr("pos div 64").alias("word")).agg(bit(F.lit(True)).alias("held"), bit(F.col("mask").isNotNull()).alias("known"), bit(F.col("mask").cast("boolean")).alias("mask"))
+    chunk = word.groupBy("key", "client", F.expr(f"word div {words}").alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % words).cast("int"), F.struct("held", "known", "mask")))).alias("m"))
     slots = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda k: F.try_element_at("m", k))
     full = lambda name: F.transform("slots", lambda x: F.coalesce(x[name], F.lit(0).cast("long")))
-    own = chunk.withColumn("slots", slots).select("key", "chunk", F.struct("client", full("held").alias("held"), full("mask").alias("mask")).alias("c"))
+    own = chunk.withColumn("slots", slots).select("key", "chunk", F.struct("client", *[full(n).alias(n) for n in ("held", "known", "mask")]).alias("c"))
     return own.groupBy("key", "chunk").agg(F.collect_list("c").alias("clients"))
 
 
 def client_pairs(masks: DataFrame) -> DataFrame:
-    """``i, j, cells, differ, ones`` of each ordered pair of clients: the cells that both have,
-    those where their masks differ, and those where that of ``i`` is set.
+    """``i, j, cells, known, differ, ones`` of each ordered pair of clients: the cells that both
+    have, those where neither mask is null, those where the masks differ (a null neither differs
+    nor agrees), and those where that of ``i`` is set.
 
     Masks travel as bits, 64 cells a long, and a chunk of them gives one row a pair, summed
     before it is shuffled."""
     total = lambda e: f"aggregate(transform(sequence(0, size(a.held) - 1), k -> bit_count({e})), 0L, (s, x) -> s + x)"
-    both = "a.held[k] & b.held[k]"
-    pair = f"named_struct('i', a.client, 'j', b.client, 'cells', {total(both)}, 'differ', {total(f'(a.mask[k] ^ b.mask[k]) & {both}')}, 'ones', {total(f'a.mask[k] & {both}')})"
+    both, known = "a.held[k] & b.held[k]", "a.known[k] & b.known[k]"
+    counts = {"cells": both, "known": known, "differ": f"(a.mask[k] ^ b.mask[k]) & {known}", "ones": f"a.mask[k] & {both}"}
+    pair = "named_struct('i', a.client, 'j', b.client, " + ", ".join(f"'{name}', {total(e)}" for name, e in counts.items()) + ")"
     pairs = packed_masks(masks).select(F.explode(F.expr(f"flatten(transform(clients, a -> transform(filter(clients, b -> b.client <> a.client), b -> {pair})))")).alias("p")).select("p.*")
-    return pairs.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("cells", "differ", "ones")]).filter("cells > 0")
+    return pairs.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in counts]).filter("cells > 0")
 
 
 def mask_overlap(masks: DataFrame) -> DataFrame:
-    """``i, j, overlap`` of each ordered pair of clients: 1 - sum|m_i - m_j| / (2 sum m_i)."""
-    return client_pairs(masks).select("i", "j", (1 - F.col("differ") / F.when(F.col("ones") > 0, 2 * F.col("ones"))).alias("overlap"))
+    """``i, j, overlap`` of each ordered pair of clients: 1 - sum|m_i - m_j| / (2 sum m_i), as
+    floats divide: minus infinity or NaN where ``i`` has no mask set; null where no cell has both
+    masks."""
+    by_zero = F.when(F.col("differ") > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    away = F.when(F.col("ones") > 0, F.col("differ") / F.when(F.col("ones") > 0, 2 * F.col("ones"))).otherwise(by_zero)
+    return client_pairs(masks).select("i", "j", F.when(F.col("known") > 0, 1 - away).alias("overlap"))
 
 
 def collaborators(overlap: DataFrame, epoch: int, beta: float) -> DataFrame:

@@ -243,4 +243,4 @@ def _(spark, d):
 @query("j09_pairwise_clients", f"WITH {PARAMS}, m AS (SELECT client, key, pos, avg(value) > 0 AS m FROM params GROUP BY ALL) SELECT a.client AS i, b.client AS j, count(*) AS cells, count(*) FILTER (WHERE a.m = b.m) AS same FROM m a JOIN m b ON a.key = b.key AND a.pos = b.pos AND a.client <> b.client GROUP BY ALL")
 def _(spark, d):
     m = params(spark, d).groupBy("client", *CELL).agg((F.avg("value") > 0).alias("mask"))
-    return A.client_pairs(m).select("i", "j", "cells", (F.col("cells") - F.col("differ")).alias("same"))
+    return A.client_pairs(m).select("i", "j", "cells", (F.col("known") - F.col("differ")).alias("same"))

@@ -77,6 +77,23 @@ def test_client_pairs_from_bits(spark):
     assert len(got) == 20
 
 
+def test_client_pairs_with_null_masks_and_with_none_set(spark):
+    rng = random.Random(5)
+    held = {(c, "k", p): None if c == 3 or rng.random() < 0.3 else c != 2 and rng.random() < 0.4 for c in range(5) for p in (*range(100), 5000)}
+    held |= {(5, "k", p): False if held[2, "k", p] is not None else None for p in range(100)}
+    df = spark.createDataFrame([(*x, m) for x, m in held.items()], "client int, key string, pos int, mask boolean")
+    got = {(r["i"], r["j"]): (r["cells"], r["known"], r["differ"], r["ones"]) for r in A.client_pairs(df).collect()}
+    over = {(r["i"], r["j"]): r["overlap"] for r in A.mask_overlap(df).collect()}
+    for i, j in ((i, j) for i in range(6) for j in range(6) if i != j):
+        both = [(m, held[j, *x[1:]]) for x, m in held.items() if x[0] == i and (j, *x[1:]) in held]
+        known = [(a, b) for a, b in both if a is not None and b is not None]
+        differ, ones = sum(a != b for a, b in known), sum(bool(a) for a, _ in both)
+        assert got[i, j] == (len(both), len(known), differ, ones)
+        want = None if not known else 1 - differ / (2 * ones) if ones else float("-inf") if differ else float("nan")
+        assert over[i, j] == (want if want is None else pytest.approx(want, nan_ok=True))
+    assert over[2, 0] == float("-inf") and over[2, 5] != over[2, 5] and over[3, 0] is None and len(over) == 30
+
+
 def test_customised_average_of_collaborators(spark):
     state = spark.createDataFrame([(c, "k", p, float(10 * c + p)) for c in range(4) for p in range(3) if (c, p) != (2, 1)], "client int, key string, pos int, value double")
     pairs = spark.createDataFrame([(0, 1), (0, 2), (3, 2)], "i int, j int")

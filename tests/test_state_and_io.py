@@ -1,9 +1,13 @@
 """Server rules, sources, sinks and streams on small tables."""
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import state as A
+from tessera.plans import catalog
 from tessera.registry import Registry
 from tessera.sources import readers, sinks
 from tessera.sources.scratch import folder
@@ -45,6 +49,31 @@ def test_client_without_a_weight_keeps_its_control(spark):
     assert [r["c_new"] for r in A.client_control(rows, 10, 0.1).collect()] == [pytest.approx(0.55), pytest.approx(0.1)]
 
 
+@pytest.fixture(scope="module")
+def odd_vectors(spark, tmp_path_factory):
+    """Vectors of zeros only for client 3, with nulls at other places for each client."""
+    rng, path = random.Random(6), tmp_path_factory.mktemp("odd")
+
+    def vector(i):
+        return [0.0 if i % 10 == 3 else None if (p + i % 10) % 4 == 0 else rng.uniform(-1, 1) for p in range(64)]
+
+    rows = spark.createDataFrame([(i, vector(i), i // 10 % 3) for i in range(300)], "vec_id long, embedding array<float>, label int")
+    rows.toPandas().to_parquet(path / "embeddings.parquet")
+    return str(path)
+
+
+def both_ways(spark, name, folder):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    return [sorted(repr(tuple(r)) for r in rows) for rows in (catalog.queries()[name](spark, folder).collect(), c.execute(catalog.oracle_sql()[name]).fetchall())]
+
+
+@pytest.mark.parametrize("name", ["a13_critical_mask", "a14_mask_overlap", "j09_pairwise_clients"])
+def test_masks_of_zeros_and_nulls_match_sql(spark, odd_vectors, name):
+    got, want = both_ways(spark, name, odd_vectors)
+    assert got == want and len(got) >= 90
+
+
 def test_shards_are_refused_and_missing_ones_reported(spark):
     path = folder(spark, "t")
     rows = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, client_id int")
