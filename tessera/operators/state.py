@@ -179,17 +179,19 @@ def collaborators(overlap: DataFrame, epoch: int, beta: float) -> DataFrame:
 
 
 def customised(state: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``client, key, pos, custom``: the mean of a client and its collaborators.
+    """``client, key, pos, custom``: the mean of a client and its collaborators over the values
+    that are not null (null if there is none) of the cells that any of them has.
 
     The clients' values of a cell meet once, and the table of collaborators (clients x clients
     at most) says which of them count for whom."""
-    own = state.select("client").distinct().select(F.col("client").alias("i"), F.col("client").alias("j"))
-    with_ = pairs.select("i", "j").unionByName(own).distinct().groupBy("i").agg(F.collect_list("j").alias("js"))
+    selves = state.select("client").distinct().select(F.col("client").alias("i"), F.col("client").alias("j"))
+    with_ = pairs.select("i", "j").unionByName(selves).distinct().groupBy("i").agg(F.collect_list("j").alias("js"))
     circles = with_.agg(F.collect_list(F.struct("i", "js")).alias("circles"))
     cells = state.groupBy(*CELL).agg(F.collect_list(F.struct("client", "value")).alias("held")).join(F.broadcast(circles))
-    mean = "transform(array(filter(held, h -> array_contains(c.js, h.client))), g -> if(size(g) = 0, null, aggregate(g, 0D, (a, h) -> a + h.value) / size(g)))[0]"
-    each = cells.select(*CELL, F.explode(F.expr(f"transform(circles, c -> named_struct('client', c.i, 'custom', {mean}))")).alias("c"))
-    return each.select("c.client", *CELL, "c.custom").filter("custom is not null")
+    own = "array_contains(c.js, h.client)"
+    mean = f"transform(array(filter(held, h -> {own} and h.value is not null)), g -> if(size(g) = 0, null, aggregate(g, 0D, (a, h) -> a + h.value) / size(g)))[0]"
+    each = cells.select(*CELL, F.explode(F.expr(f"transform(filter(circles, c -> exists(held, h -> {own})), c -> named_struct('client', c.i, 'custom', {mean}))")).alias("c"))
+    return each.select("c.client", *CELL, "c.custom")
 
 
 def masked_merge(masks: DataFrame, custom: DataFrame, global_: DataFrame) -> DataFrame:

@@ -74,6 +74,15 @@ def test_masks_of_zeros_and_nulls_match_sql(spark, odd_vectors, name):
     assert got == want and len(got) >= 90
 
 
+@pytest.mark.parametrize("name", ["a01_weighted_average", "a13_critical_mask", "a14_mask_overlap", "a15_customised_average", "a16_masked_merge", "j09_pairwise_clients"])
+def test_null_short_and_long_vectors_match_sql(spark, tmp_path, name):
+    rng, lengths = random.Random(7), {2: 0, 3: 40, 4: 80}
+    rows = [(i, None if i % 10 == 5 else [rng.uniform(-1, 1) for _ in range(lengths.get(i % 10, 64))], i // 50 % 3) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    got, want = both_ways(spark, name, str(tmp_path))
+    assert got == want and len(got) >= 90
+
+
 def test_shards_are_refused_and_missing_ones_reported(spark):
     path = folder(spark, "t")
     rows = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, client_id int")
