@@ -13,7 +13,7 @@ many eigenvalues a slice holds, so none can be missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass, replace
 from fractions import Fraction
 
 import numpy as np
@@ -67,12 +67,38 @@ def above(diagonal: np.ndarray, off: np.ndarray, shifts: np.ndarray) -> np.ndarr
 @dataclass(frozen=True)
 class Slice:
     """Eigenvalues between ``low`` and ``high``: those numbered ``first`` to
-    ``first + count - 1``, from 0, largest first."""
+    ``first + count - 1``, from 0, largest first; ``width`` dimensions (0: a few more
+    than ``count``) are enough for its contour."""
 
     low: float
     high: float
     first: int
     count: int
+    width: int = 0
+
+
+def quadrature(part: Slice, nodes: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Points and factors of a contour integral: Gauss-Legendre nodes on the upper half of
+    a circle around the slice; the lower half is its mirror image, so real parts are enough."""
+    centre, radius = (part.low + part.high) / 2, (part.high - part.low) / 2
+    nodes_at, weights = np.polynomial.legendre.leggauss(nodes)
+    turn = np.exp(1j * np.pi / 2 * (nodes_at + 1))
+    return centre + radius * turn, weights / 2 * radius * turn
+
+
+def spare(count: int) -> int:
+    """Dimensions that a contour has beside those of ``count`` eigenvalues."""
+    return max(6, count // 2)
+
+
+def width_of(part: Slice, value: np.ndarray, fall: float = 0.1) -> int:
+    """Dimensions with which a round at a slice leaves at most ``fall`` of any error, given
+    all eigenvalues: what the quadrature passes nearly as well as the slice has to fit in."""
+    points, factors = quadrature(part)
+    passed = np.abs((factors / (points - value[:, None])).real.sum(axis=1))
+    inside = passed[part.first : part.first + part.count]
+    outside = np.delete(passed, np.s_[part.first : part.first + part.count])
+    return part.count + max(spare(part.count), int((outside > fall * inside.min()).sum()))
 
 
 def slices_of(diagonal: np.ndarray, off: np.ndarray, most: int, each: int = 8, steps: int = 80) -> list[Slice]:
@@ -80,7 +106,8 @@ def slices_of(diagonal: np.ndarray, off: np.ndarray, most: int, each: int = 8, s
 
     Eigenvalues are bracketed by bisection on inertia counts.  A slice ends at the
     widest gap after ``each / 2`` to 2 * ``each`` of them, earlier where they fall to
-    a quarter (a contour tells apart what differs against its radius); a cluster without
+    a quarter (a contour tells apart what differs against its radius) or where a contour
+    reaching on into a dense part would pass much of what lies beyond; a cluster without
     a gap stays whole, however large.
     """
     d = len(diagonal)
@@ -94,22 +121,36 @@ def slices_of(diagonal: np.ndarray, off: np.ndarray, most: int, each: int = 8, s
         more = above(diagonal, off, middle) > np.arange(found)
         low, high = np.where(more, middle, low), np.where(more, high, middle)
     value = np.append(np.sqrt(low * high), zero)
+    every = np.concatenate([value[:-1], np.zeros(d - found)])
     gap = 1 - value[1:] / value[:-1] if found else value
     wide = np.flatnonzero(gap > 1e-7) + 1  # where a slice may end
+
+    def between(first: int, end: int) -> Slice:
+        # To the middle of the gaps around, but on neither side far beyond the other or the slice.
+        spread = value[first] - value[end - 1]
+        over = min(0.25, (value[first - 1] / value[first] - 1) / 2 if first else 0.25) * value[first]
+        under = min(0.2, gap[end - 1] / 2) * value[end - 1]
+        upper = value[first] + min(over, max(spread, under))
+        lower = value[end - 1] - min(under, max(spread, over))
+        part = Slice(float(lower), float(upper), first, end - first)
+        return replace(part, width=width_of(part, every))
+
     out, first = [], 0
     while first < min(most, found):
         ends = wide[(wide > first) & (wide <= first + 2 * each)]
         near = ends[value[ends - 1] * 4 >= value[first]]
-        near = near if len(near) else ends[:1]
+        near = near if len(near) else ends[:1] if len(ends) else wide[wide > first][:1]
+        parts = {int(end): between(first, int(end)) for end in near}
+        more = {end: p.width - p.count - spare(p.count) for end, p in parts.items()}
+        near = np.array([end for end in parts if more[end] == min(more.values())])
         late = near[near >= min(first + each // 2, found)]
-        ends = late if len(late) else near[-1:]
-        end = int(ends[np.argmax(gap[ends - 1])] if len(ends) else wide[wide > first][0])
-        upper = value[first] * (1 + min(0.25, (value[first - 1] / value[first] - 1) / 2 if first else 0.25))
-        lower = value[end - 1] * (1 - min(0.2, gap[end - 1] / 2))
-        over, under = above(diagonal, off, np.array([upper, lower]))
+        near = late if len(late) else near[-1:]
+        part = parts[int(near[np.argmax(gap[near - 1])])]
+        end = first + part.count
+        over, under = above(diagonal, off, np.array([part.high, part.low]))
         if (over, under) != (first, end):
             raise ArithmeticError(f"inertia counts {over} and {under} do not bound the slice {first} to {end}")
-        out.append(Slice(float(lower), float(upper), first, end - first))
+        out.append(part)
         first = end
     return out
 
@@ -117,34 +158,31 @@ def slices_of(diagonal: np.ndarray, off: np.ndarray, most: int, each: int = 8, s
 def contour(v: np.ndarray, part: Slice, nodes: int = 8, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues (falling) and unit eigenvectors of ``v`` in a slice.
 
-    Gauss-Legendre nodes on the upper half of a circle around the slice; the lower
-    half is its mirror image, so real parts are enough.
+    Mixtures of what lies above and below the slice can have values inside; of more values
+    than the slice has, those that fit worst are no eigenvalues.
     """
     d = len(v)
-    centre, radius = (part.low + part.high) / 2, (part.high - part.low) / 2
-    nodes_at, weights = np.polynomial.legendre.leggauss(nodes)
-    angle = np.pi / 2 * (nodes_at + 1)
-    points = centre + radius * np.exp(1j * angle)
-    width = min(d, part.count + max(6, part.count // 2))
+    points, factors = quadrature(part, nodes)
+    width = min(d, part.width or part.count + spare(part.count))
     basis = np.random.default_rng(part.first).standard_normal((d, width))
     size = np.abs(v).sum(axis=1).max()
     worst = np.inf
     for _ in range(rounds):
         summed = np.zeros_like(basis)
-        for z, a, w in zip(points, angle, weights):
-            solved = np.linalg.solve(z * np.eye(d) - v, basis.astype(complex))
-            summed += (w / 2 * radius * np.exp(1j * a) * solved).real
+        for z, factor in zip(points, factors):
+            summed += (factor * np.linalg.solve(z * np.eye(d) - v, basis.astype(complex))).real
         basis, _ = np.linalg.qr(summed)
         value, inner = np.linalg.eigh(basis.T @ v @ basis)
         basis = basis @ inner
         inside = np.flatnonzero((value > part.low) & (value < part.high))[::-1]
+        misfit = np.abs(v @ basis[:, inside] - basis[:, inside] * value[inside]).max(axis=0, initial=0)
+        best = np.sort(np.argsort(misfit, kind="stable")[: part.count])
         last, worst = worst, np.inf
-        if len(inside) == part.count:
-            vectors = basis[:, inside]
-            worst = np.abs(v @ vectors - vectors * value[inside]).max(initial=0)
+        if len(best) == part.count:
+            worst = misfit[best].max(initial=0)
             if worst <= 4 * np.finfo(float).eps * size or worst >= last / 2 and worst <= 1e-12 * size:
-                return value[inside], vectors
-    raise ArithmeticError(f"the slice {part} has {part.count} eigenvalues by inertia, of which {len(inside)} were found")
+                return value[inside[best]], basis[:, inside[best]]
+    raise ArithmeticError(f"the slice {part} has {part.count} eigenvalues by inertia, of which {len(inside)} were found, to {worst:.1e} of {size:.1e}")
 
 
 # Sums over all vectors.
@@ -222,12 +260,12 @@ def leading(spark, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     def make():
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             for r in batch.to_pylist():
-                value, vectors = contour(v, Slice(r["low"], r["high"], r["first"], r["count"]))
+                value, vectors = contour(v, Slice(**r))
                 yield {"number": np.arange(r["first"], r["first"] + r["count"]), "value": value, "vector": list(vectors.T)}
 
         return work
 
-    given = spark.createDataFrame([(p.low, p.high, p.first, p.count) for p in parts], "low double, high double, first int, count int")
+    given = spark.createDataFrame([astuple(p) for p in parts], "low double, high double, first int, count int, width int")
     rows = arrow_map(given.repartition(len(parts)), make, "number int, value double, vector array<double>").collect()
     rows.sort(key=lambda r: r.number)
     if [r.number for r in rows] != list(range(sum(p.count for p in parts))):

@@ -241,3 +241,39 @@ def test_whitening_of_odd_vectors(spark):
     large = spark.createDataFrame([(i, [1e9 * i, -7.0 * i * i]) for i in range(9)], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="larger than a long"):
         whitening.whitened(large.unionByName(large)).collect()
+
+
+@pytest.mark.parametrize("tight", [1e-2, 1e-3, 1e-4])
+@pytest.mark.parametrize("far", [[], [150.0], [150.0, 149.0, 90.0]])
+def test_contours_tell_far_eigenvalues_from_a_dense_part(far, tight):
+    rng = np.random.default_rng(len(far))
+    want = np.sort(np.concatenate([far, 64 * (1 + tight * rng.random(64 - len(far)))]))[::-1]
+    turn, _ = np.linalg.qr(rng.standard_normal((64, 64)))
+    v = turn * want @ turn.T
+    parts = whitening.slices_of(*whitening.tridiagonal((v + v.T) / 2), 32)
+    found = [whitening.contour((v + v.T) / 2, p) for p in parts]
+    values = np.concatenate([f[0] for f in found])
+    np.testing.assert_allclose(values, want[: len(values)], rtol=1e-12)
+    vectors = np.concatenate([f[1] for f in found], axis=1)
+    assert np.abs(v @ vectors - vectors * values).max() < 1e-11 and max(p.width for p in parts) < 32
+
+
+def test_contours_leave_out_values_that_are_mixtures():
+    # With a wide basis, what lies above and below a slice mixes to values inside.
+    v = np.diag(np.concatenate([64 + np.arange(20.0), 100 + np.arange(5.0), 120 + np.arange(20.0)])[::-1])
+    for width in range(6, 46):
+        values, vectors = whitening.contour(v, whitening.Slice(99.5, 104.5, 20, 5, width))
+        np.testing.assert_allclose(values, [104, 103, 102, 101, 100], rtol=1e-12)
+        assert np.abs(vectors[:20]).max() < 1e-9 and np.abs(vectors[25:]).max() < 1e-9
+
+
+def test_whitening_of_large_tables_spectrum(spark):
+    # Two far eigenvalues over 62 within half a percent, as of many random vectors with groups of copies.
+    sides = np.array([2000.0, 1900.0] + [1000 + k / 32 for k in range(62)])
+    rows = [(2 * k + s, [float(c * (1 - 2 * s)) if j == k else 0.0 for j in range(64)]) for k, c in enumerate(sides) for s in (0, 1)]
+    got = whitening.whitened(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    share = np.sort(sides**2)[::-1] / (sides**2).sum()
+    assert len(got) == 128 * 32 and max(r.identity_error for r in got) < 1e-9
+    for r in got:
+        assert r.explained == pytest.approx(share[r.component - 1], rel=1e-9)
+        assert r.deviation == (128 * int(64 * sides[r.vec_id // 2])) ** 2
